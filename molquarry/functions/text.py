@@ -31,5 +31,5 @@ DECIMAL = "^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$"
 def decimal(c: Column) -> Column:
     """The number that a text writes, null for anything else (also nan and inf)."""
     t = strip_blanks(c)
-    x = F.when(t.rlike(DECIMAL), F.expr("1") * t.try_cast("double"))
+    x = F.when(t.rlike(DECIMAL), t.try_cast("double"))
     return F.when(F.abs(x) < F.lit(float("inf")), x)

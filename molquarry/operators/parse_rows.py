@@ -81,8 +81,8 @@ def _fields(line: Column, delimiter: Column) -> tuple[Column, Column]:
             parts,
             lambda x, i: outside(i)
             & (
-                ((i > 0) & (x != "") & ~x.rlike(closes) & ~((i == last) & x.rlike("^ *$")))
-                | ((i < last) & (x != "") & ~x.rlike(opens) & ~((i == 0) & x.rlike("^ *$")))
+                ((i > 0) & (x != "") & ~F.rlike(x, closes) & ~((i == last) & x.rlike("^ *$")))
+                | ((i < last) & (x != "") & ~F.rlike(x, opens) & ~((i == 0) & x.rlike("^ *$")))
             ),
         ),
         lambda b: b,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,24 @@ def salted(df: DataFrame, *keys: str | Column, salts: int = SALTS) -> DataFrame:
 def replicated(df: DataFrame, salts: int = SALTS) -> DataFrame:
     """df once for every salt: the other side of a salted join. Only for sides with one row a key."""
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+class Scratch:
+    """Tables written to the shared checkpoint folder: lineage ends there, and what is no longer read can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, checkpoint_dir(spark).rstrip("/"), []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but: int = 0) -> None:
+        """Delete all tables kept so far but the last few."""
+        gone, self.paths = self.paths[: len(self.paths) - but], self.paths[len(self.paths) - but :]
+        jvm = self.spark._jvm
+        for path in gone:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
