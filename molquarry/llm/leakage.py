@@ -18,9 +18,9 @@ from molquarry.llm.words import batch_words
 
 #: Places that a seed compares; the gaps may hold any word.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5))
-#: A passage must share so many seeds with the item: 16 words in a row share 36, four fifths in order with every
-#: fifth word replaced two in each five words.
-LEAST_SEEDS = 5
+#: A passage must share so many seeds with the item, or a quarter of the item's words if that is less: 16 words in a
+#: row share 36; four fifths in order, every fifth word replaced, share four in each five words.
+LEAST_SEEDS = 12
 #: Words in a row, and share of an item's words within a passage of at most STRETCH times its length, that count.
 RUN, SHARE, STRETCH = 16, 0.8, 1.25
 #: Items that one pass over the documents takes: their seeds are some 200 bytes a word. More items take more passes.
@@ -41,6 +41,7 @@ class ItemIndex:
         self.number["\x00"] = -1
         self.items = [np.fromiter((self.number[w] for w in x), np.int64, len(x)) for x in own]
         self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
+        self.least = np.clip(self.lengths // 4, 2, LEAST_SEEDS)
         self.places: list[dict[int, int]] = []
         for x in self.items:
             at: dict[int, int] = {}
@@ -102,7 +103,7 @@ class ItemIndex:
         text, item, place, slot = text[order], item[order], place[order], slot[order]
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (slot[1:] != slot[:-1])]))
         ends = np.concatenate([new[1:], [len(text)]])
-        enough = ends - new >= LEAST_SEEDS
+        enough = ends - new >= self.least[item[new]]
         for a, z in zip(new[enough].tolist(), ends[enough].tolist()):
             yield int(text[a]), int(item[a]), int(place[a]), int(place[z - 1])
 
