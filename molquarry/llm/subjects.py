@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.words import STOPS, batch_sentences
+from molquarry.llm.words import Numbers, batch_sentences
 from molquarry.runtime import Scratch
 
 #: Documents of the hand-labelled sample that the first lexicon is learned from, at most.
-LABELLED = 6_000
+LABELLED = 4_000
 #: Words of the lexicon, at most: those of the most weight in the corpus.
 LEXICON = 60_000
 #: Share of its sentences that a document's subject needs.
@@ -45,35 +46,64 @@ def log_odds(counts: np.ndarray, totals: np.ndarray, smooth: float = 0.5) -> np.
 
 
 class Lexicon:
-    """Numbers and subject weights of words; furniture lines are known too."""
+    """Each word speaks for one subject, with its weight, or for none; hashes of furniture lines are known too."""
 
-    def __init__(self, words: list[str], weights: np.ndarray, furniture: frozenset[str] = frozenset()):
-        self.number = {w: i + 1 for i, w in enumerate(words)} | STOPS
-        # Evidence against a subject counts no more than none: a word speaks for one subject or for none.
-        strong = np.where((weights == weights.max(1, keepdims=True)) & (weights > 1.0), weights, 0.0)
-        self.weights = np.concatenate([np.zeros((1, weights.shape[1])), np.minimum(strong, 4.0)]).astype(np.float32)
+    def __init__(self, words: list[str], weights: np.ndarray, furniture: frozenset[int] = frozenset()):
+        best = weights.max(1) if len(words) else np.zeros(0)
+        self.k = weights.shape[1]
+        self.entries = {w: (int(s), float(v)) for w, s, v in zip(words, weights.argmax(1), np.minimum(best, 4.0)) if v > 1.0} if len(words) else {}
         self.furniture = furniture
 
-    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, first, last + 1, text, subject voted for or -1, whether strongly) of each sentence that counts."""
+
+class Judge:
+    """Judges batches of texts by a lexicon, numbering words as they come."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.furniture = np.sort(np.fromiter(lexicon.furniture, np.uint64, len(lexicon.furniture)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.subject, self.weight, self.hash = np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.uint64)
+
+    def _grown(self) -> None:
+        new = self.number.words[len(self.subject) - 1 :]
+        if new:
+            got = [self.lexicon.entries.get(w, (0, 0.0)) for w in new]
+            self.subject = np.concatenate([self.subject, np.asarray([s for s, _ in got], np.int64)])
+            self.weight = np.concatenate([self.weight, np.asarray([v for _, v in got])])
+            self.hash = np.concatenate([self.hash, np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))])
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(words' numbers, sentence of each word, first token, length, line hash, text, vote or -1, whether strong) of the sentences that count."""
         tokens, numbers, first, last, text = batch_sentences(texts, self.number)
-        keep = last - first >= LEAST_WORDS
-        if self.furniture:
-            short = np.flatnonzero(keep & (last - first <= FURNITURE_WORDS))
-            for i in short.tolist():
-                if " ".join(tokens[first[i] : last[i]]) in self.furniture:
-                    keep[i] = False
-        first, last, text = first[keep], last[keep], text[keep]
-        k = self.weights.shape[1]
-        use = np.flatnonzero(numbers > 0)
-        sentence = np.searchsorted(first, use, "right") - 1
-        inside = (sentence >= 0) & (use < last[np.maximum(sentence, 0)]) if len(first) else np.zeros(len(use), bool)
-        use, sentence = use[inside], sentence[inside]
-        scores = np.stack([np.bincount(sentence, self.weights[numbers[use], s], len(first)) for s in range(k)], 1) if len(first) else np.zeros((0, k))
-        vote = np.where(scores.max(1, initial=0) > 0, scores.argmax(1) if len(first) else 0, -1)
-        two = np.sort(scores, 1)[:, -2:] if len(first) else np.zeros((0, 2))
-        strong = two[:, 1] - two[:, 0] > 4.0
-        return tokens, first, last, text, vote, strong
+        self._grown()
+        size = last - first
+        keep = size >= LEAST_WORDS
+        first, size, text = first[keep], size[keep], text[keep]
+        n = len(first)
+        owner = np.repeat(np.arange(n), size)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        words = numbers[np.repeat(first, size) + place] if n else np.zeros(0, np.int32)
+        with np.errstate(over="ignore"):
+            mixed = (self.hash[words] ^ place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            line = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), np.cumsum(size) - size) if n else np.zeros(0, np.uint64)
+        if len(self.furniture) and n:
+            at = np.minimum(np.searchsorted(self.furniture, line), len(self.furniture) - 1)
+            keep = (self.furniture[at] != line) | (size > FURNITURE_WORDS)
+            inside = keep[owner]
+            renumbered = np.cumsum(keep) - 1
+            words, owner = words[inside], renumbered[owner[inside]]
+            first, size, text, line = first[keep], size[keep], text[keep], line[keep]
+            n = len(first)
+        k = self.lexicon.k
+        speaks = self.weight[words] > 0
+        scores = np.bincount(owner[speaks] * k + self.subject[words[speaks]], self.weight[words[speaks]], n * k).reshape(n, k)
+        top = scores.max(1) if n else np.zeros(0)
+        vote = np.where(top > 0, scores.argmax(1), -1) if n else np.zeros(0, np.int64)
+        second = np.partition(scores, k - 2, axis=1)[:, k - 2] if n and k > 1 else np.zeros(n)
+        return words, owner, first, size, line, text, vote, top - second > 4.0
 
 
 def first_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str) -> Lexicon:
@@ -83,12 +113,12 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str],
     picked = picked.orderBy(F.xxhash64(key), key).limit(LABELLED)
     sample = picked.join(documents.select(key, text).filter(F.col(text).isNotNull()), key).select("subjects", text).toPandas()
     counts: dict[str, np.ndarray] = {}
-    totals = np.zeros(len(subjects))
+    totals, number = np.zeros(len(subjects)), Numbers()
     for names, own in zip(sample["subjects"], sample[text]):
         share = np.zeros(len(subjects))
         share[[rank[s] for s in names]] = 1 / len(names)
         totals += share
-        tokens, numbers, first, last, _ = batch_sentences([own], STOPS)
+        tokens, _, first, last, _ = batch_sentences([own], number)
         for w in {w for a, z in zip(first, last) if z - a >= LEAST_WORDS for w in tokens[a:z]}:
             counts[w] = counts[w] + share if w in counts else share.copy()
     words = sorted(w for w, c in counts.items() if c.sum() >= 2)
@@ -98,58 +128,64 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str],
     return Lexicon(words, log_odds(table, totals) * (1 - np.exp(-table.sum(1, keepdims=True) / 2)))
 
 
-def _spread(shared, documents: DataFrame, key: str, text: str, extras: list[str]) -> DataFrame:
+#: Words that a task numbers before it hands on its counts and begins anew.
+REMEMBERED = 300_000
+
+
+def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataFrame:
     """What the corpus says, by kind: words and metadata by subject, lines by the number of texts, documents."""
-    k = shared.value.weights.shape[1]
+    k = shared.value.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon: Lexicon = shared.value
-        words: dict[str, np.ndarray] = {}
+        judge = Judge(shared.value)
+        words = np.zeros((1, k))
         lines: Counter = Counter()
         other: dict[str, np.ndarray] = {}
         seen: set[int] = set()
         n = 0
 
         def flush() -> pa.RecordBatch:
-            kinds = ["w"] * len(words) + ["l"] * sum(c > 1 for c in lines.values()) + ["m"] * len(other) + ["n"]
-            names = [*words, *(x for x, c in lines.items() if c > 1), *other, ""]
-            zero = np.zeros(k)
-            table = [*words.values(), *(zero for c in lines.values() if c > 1), *other.values(), zero]
-            much = [0] * len(words) + [c for c in lines.values() if c > 1] + [0] * len(other) + [n]
-            flat = pa.array(np.concatenate(table), pa.float64())
-            out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), pa.FixedSizeListArray.from_arrays(flat, k).cast(pa.list_(pa.float64())), pa.array(much, pa.int64())], names=["kind", "name", "by", "n"])
-            words.clear(), lines.clear(), other.clear()
+            nonlocal words, n
+            known = np.flatnonzero(words.any(1))
+            repeated = [(x, c) for x, c in lines.items() if c > 1]
+            kinds = ["w"] * len(known) + ["l"] * len(repeated) + ["m"] * len(other) + ["n"]
+            names = [*(judge.number.words[i - 1] for i in known), *(str(x) for x, _ in repeated), *other, ""]
+            table = np.concatenate([words[known], np.zeros((len(repeated), k)), np.asarray([*other.values()]).reshape(-1, k), np.zeros((1, k))])
+            much = [0] * len(known) + [c for _, c in repeated] + [0] * len(other) + [n]
+            by = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, k, dtype=np.int32)), pa.array(table.ravel()))
+            out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), by, pa.array(much, pa.int64())], names=["kind", "name", "by", "n"])
+            words, n = np.zeros((1, k)), 0
+            lines.clear(), other.clear(), judge.forget()
             return out
 
         for b in batches:
             for start in range(0, b.num_rows, _BATCH):
                 part = b.slice(start, _BATCH)
                 texts = part.column(0).to_pylist()
-                fresh = [i for i, t in enumerate(texts) if hash(t) not in seen]
-                if len(seen) < 1_000_000:
-                    seen.update(hash(texts[i]) for i in fresh)
-                n += len(fresh)
-                tokens, first, last, text_of, vote, strong = lexicon.judge(texts)
                 new = np.zeros(len(texts), bool)
-                new[fresh] = True
-                for a, z, v, s, t in zip(first.tolist(), last.tolist(), vote.tolist(), strong.tolist(), text_of.tolist()):
-                    if new[t]:
-                        if z - a <= FURNITURE_WORDS:
-                            lines[" ".join(tokens[a:z])] += 1
-                        if s:
-                            for w in set(tokens[a:z]):
-                                c = words.get(w)
-                                if c is None:
-                                    c = words[w] = np.zeros(k)
-                                c[v] += 1
+                for i, t in enumerate(texts):
+                    h = hash(t)
+                    if h not in seen:
+                        new[i] = True
+                        if len(seen) < 1_000_000:
+                            seen.add(h)
+                n += int(new.sum())
+                numbers, owner, _, size, line, text_of, vote, strong = judge.judge(texts)
+                counts = new[text_of]
+                short, many = np.unique(line[counts & (size <= FURNITURE_WORDS)], return_counts=True)
+                lines.update(dict(zip(short.tolist(), many.tolist())))
+                use = (counts & strong)[owner]
+                words = np.concatenate([words, np.zeros((len(judge.number.words) + 1 - len(words), k))])
+                words += np.bincount(numbers[use].astype(np.int64) * k + vote[owner[use]], minlength=words.size).reshape(words.shape)
+                voted = vote >= 0
                 for e in range(len(extras)):
-                    names = part.column(1 + e).to_pylist()
-                    for t, v in zip(text_of[vote >= 0].tolist(), vote[vote >= 0].tolist()):
-                        c = other.setdefault(f"{e}:{names[t] or ''}", np.zeros(k))
-                        c[v] += 1
-                if len(words) > 300_000 or len(lines) > 300_000 or len(other) > 10_000:
+                    names, code = np.unique(np.asarray([x or "" for x in part.column(1 + e).to_pylist()], object).astype(str), return_inverse=True)
+                    table = np.bincount(code[text_of[voted]] * k + vote[voted], minlength=len(names) * k).reshape(-1, k)
+                    for name, c in zip(names.tolist(), table):
+                        key = f"{e}:{name}"
+                        other[key] = other[key] + c if key in other else c.astype(float)
+                if len(judge.number.words) > REMEMBERED or len(lines) > REMEMBERED or len(other) > 10_000:
                     yield flush()
-                    n = 0
         yield flush()
 
     return documents.select(text, *extras).filter(F.col(text).isNotNull()).mapInArrow(run, "kind string, name string, by array<double>, n long")
@@ -162,12 +198,12 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
     start = first_lexicon(documents, labels, subjects, key, text)
     shared = spark.sparkContext.broadcast(start)
     by = F.array(*(F.sum(F.col("by")[i]) for i in range(k)))
-    found = _spread(shared, documents, key, text, extras).groupBy("kind", "name").agg(by.alias("by"), F.sum("n").alias("n")).withColumn("all", F.aggregate("by", F.lit(0.0), lambda a, x: a + x))
+    found = _spread(shared, documents, text, extras).groupBy("kind", "name").agg(by.alias("by"), F.sum("n").alias("n")).withColumn("all", F.aggregate("by", F.lit(0.0), lambda a, x: a + x))
     found = Scratch(spark).keep(found)
     n_documents = found.filter("kind = 'n'").agg(F.sum("n")).first()[0] or 0
     words = found.filter("kind = 'w' and all >= 5").orderBy(F.desc("all"), "name").limit(LEXICON).select("name", "by").toPandas()
     least = max(8, int(n_documents * FURNITURE_SHARE))
-    furniture = frozenset(r["name"] for r in found.filter(f"kind = 'l' and n >= {least}").orderBy(F.desc("n"), "name").limit(10_000).collect())
+    furniture = frozenset(int(r["name"]) for r in found.filter(f"kind = 'l' and n >= {least}").orderBy(F.desc("n"), "name").limit(10_000).collect())
     votes: list[dict[str, int]] = [{} for _ in extras]
     meta = [(r["name"], np.asarray(r["by"])) for r in found.filter("kind = 'm' and all >= 50").orderBy(F.desc("all"), "name").limit(10_000).collect()]
     for e in range(len(extras)):
@@ -184,9 +220,11 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
     weights[table.sum(1) < 5] = 0
     # Words that the hand labels knew but the corpus hardly has stay as they were.
     known = dict(zip(words["name"], range(len(words))))
-    extra = [w for w, i in start.number.items() if i > 0 and w not in known]
-    weights = np.concatenate([weights, start.weights[[start.number[w] for w in extra]]]) if extra else weights
-    return Lexicon([*words["name"], *extra], weights, furniture), votes
+    extra = [w for w in start.entries if w not in known]
+    rows = np.zeros((len(extra), k))
+    for i, w in enumerate(extra):
+        rows[i, start.entries[w][0]] = start.entries[w][1]
+    return Lexicon([*words["name"], *extra], np.concatenate([weights, rows]), furniture), votes
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
@@ -239,11 +277,14 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, (by_source, by_address) = shared.value
+        judge = Judge(lex)
         for b in batches:
             for start in range(0, b.num_rows, _BATCH):
                 part = b.slice(start, _BATCH)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                _, _, _, text_of, vote, strong = lex.judge(part.column(1).to_pylist())
+                if len(judge.number.words) > REMEMBERED:
+                    judge.forget()
+                *_, text_of, vote, strong = judge.judge(part.column(1).to_pylist())
                 if not len(vote):
                     continue
                 before, after = np.full(len(vote), -1), np.full(len(vote), -1)

@@ -77,15 +77,28 @@ _PROSE = re.compile("[^\\W\\d_]{2,}|[.!?;\u2026](?=[\\s\"')\\]\x00])|\n(?=[ \t>]
 _BREAKS = frozenset(".!?;\u2026\n")
 
 
-def batch_sentences(texts: list[str], number: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """Numbers words from 1 as they come; stops have theirs. A word's own hash is the same in every task."""
+
+    def __init__(self) -> None:
+        super().__init__(STOPS)
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.words.append(word)
+        self[word] = n = len(self.words)
+        return n
+
+
+def batch_sentences(texts: list[str], number: Numbers) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, their numbers, first and last + 1 token of each sentence, text of each sentence).
 
-    Sentences end at full stops, blank lines and block markup, not at line ends. Tokens are words of letters; number
-    gives theirs, 0 for others. Runs of 25 and more characters without a blank are codes and left out.
+    Sentences end at full stops, blank lines and block markup, not at line ends. Tokens are words of letters. Runs of
+    25 and more characters without a blank are codes and left out.
     """
     whole = _CODE.sub(" ", _MARKUP.sub(" ", _BLOCK.sub("\n\n", folded(texts, lines=True))))
     tokens = _PROSE.findall(whole)
-    numbers = np.fromiter((number.get(w, 0) for w in tokens), np.int32, len(tokens))
+    numbers = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
     stop = numbers < 0
     ends = np.flatnonzero(stop)
     first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
