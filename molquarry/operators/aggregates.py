@@ -100,7 +100,7 @@ def percent_within(df: DataFrame, group: str, item: str) -> DataFrame:
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: list, rows: list | None = None) -> DataFrame:
     """Counts of row by fixed column values, 0 where there is none; also fixed rows if given."""
-    got = df.groupBy(row).pivot(col, values).agg(F.count("*"))
+    got = df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))
     if rows is not None:
         every = df.sparkSession.createDataFrame([(r,) for r in rows], f"{row} {dict(df.dtypes)[row]}")
         got = every.join(got, row, "left")

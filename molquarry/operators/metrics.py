@@ -135,11 +135,11 @@ def ranking_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.7, group
     own = finite_pairs(df, y, p).groupBy(*keys, F.col(p).cast("double").alias("_s")).agg(F.count_if(F.col(y) >= threshold).alias("_p"), F.count_if(F.col(y) < threshold).alias("_n"))
     part = Window.partitionBy(*(keys or [F.lit(0)]))
     down = part.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = own.withColumns({"_tp": F.sum("_p").over(down), "_fp": F.sum("_n").over(down), "_P": F.sum("_p").over(part), "_N": F.sum("_n").over(part)})
-    both = (F.max("_P") > 0) & (F.max("_N") > 0)
+    run = own.withColumns({"_tp": F.sum("_p").over(down), "_fp": F.sum("_n").over(down), "_all_p": F.sum("_p").over(part), "_all_n": F.sum("_n").over(part)})
+    both = (F.max("_all_p") > 0) & (F.max("_all_n") > 0)
     # Each score's negatives are outranked by all positives above and half of those at it.
-    auc = F.try_divide(F.sum(F.col("_n") * (F.col("_tp") - F.col("_p") / 2)), F.max("_P") * F.max("_N").cast("double"))
-    ap = F.try_divide(F.sum(F.col("_p") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))), F.max("_P").cast("double"))
+    auc = F.try_divide(F.sum(F.col("_n") * (F.col("_tp") - F.col("_p") / 2)), F.max("_all_p") * F.max("_all_n").cast("double"))
+    ap = F.try_divide(F.sum(F.col("_p") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))), F.max("_all_p").cast("double"))
     return run.groupBy(*keys).agg(F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"))
 
 

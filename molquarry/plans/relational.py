@@ -52,7 +52,7 @@ def copy_flags(s, d):
     return R.duplicate_flags(table(s, d, "documents"), "text", "doc_id").select("doc_id", "is_copy", "is_later_copy")
 
 
-@query("SELECT row_id, CASE WHEN warhead_scaffold IS NULL THEN NULL ELSE 'WH_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR)), '0') END AS wh_id FROM scaffolds LEFT JOIN (SELECT w, row_number() OVER (ORDER BY o) AS i FROM (SELECT warhead_scaffold AS w, min(row_id) AS o FROM scaffolds WHERE warhead_scaffold IS NOT NULL GROUP BY 1)) ON warhead_scaffold = w")
+@query("SELECT row_id, CASE WHEN warhead_scaffold IS NULL THEN NULL ELSE 'WH_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, '0') END AS wh_id FROM scaffolds LEFT JOIN (SELECT w, row_number() OVER (ORDER BY o) AS i FROM (SELECT warhead_scaffold AS w, min(row_id) AS o FROM scaffolds WHERE warhead_scaffold IS NOT NULL GROUP BY 1)) ON warhead_scaffold = w")
 def sequential_scaffold_ids(s, d):
     return R.sequential_ids(table(s, d, "scaffolds"), "warhead_scaffold", "row_id", "WH", "wh_id").select("row_id", "wh_id")
 
@@ -165,7 +165,7 @@ def rule_flags(s, d):
     return R.hard_rule_flags(t, {"fast": F.col("search_duration") < 1, "zero": F.col("score") == 0, "small": F.length("smiles") < 100}).select("row_id", "n_flags")
 
 
-@query("SELECT datasource, n_keys, unnest(range(0, greatest(ceil(n_keys / 100)::INT, 1))) AS task FROM (SELECT datasource, count(DISTINCT smiles) AS n_keys FROM routes_scored GROUP BY 1)")
+@query("SELECT datasource, n_keys, unnest(range(0, greatest(ceil(n_keys / 100)::INT, 1)))::INT AS task FROM (SELECT datasource, count(DISTINCT smiles) AS n_keys FROM routes_scored GROUP BY 1)")
 def scoring_tasks(s, d):
     return R.task_table(table(s, d, "routes_scored"), "datasource", "smiles", 100)
 
@@ -197,7 +197,7 @@ def model_name_parts(s, d):
     return R.without_nulls(labels.require_model_names(t, "name").select("datasource", "name", labels.model_parts(F.col("name")).alias("p")).select("datasource", "name", "p.*"), "name")
 
 
-@query("SELECT row_id, split_part(datasource, '-', 1) AS family, CASE WHEN pool = 'held_out' THEN 'Held-out' WHEN pool = 'train_val' THEN 'Train-val' END AS pool_name FROM routes_scored")
+@query("SELECT row_id, split_part(datasource, '-', 1) AS family, CASE WHEN pool = 'held_out' THEN 'Held-out' WHEN pool = 'train_val' THEN 'Train-val' WHEN pool = 'synthetic' THEN 'Synthetic' END AS pool_name FROM routes_scored")
 def display_names(s, d):
     return table(s, d, "routes_scored").select("row_id", F.substring_index("datasource", "-", 1).alias("family"), labels.pretty(F.col("pool")).alias("pool_name"))
 
