@@ -72,10 +72,10 @@ def duration_histogram(s, d):
     return A.histogram(table(s, d, "routes_scored"), "search_duration", [0, 10, 100, 1000])
 
 
-@query("SELECT l_orderkey, round(a, 9) AS availability, round(0.95 * a + 0.05 * (1 - n / 20.0), 9) AS score FROM (SELECT l_orderkey, count(*) AS n, coalesce(sum(CASE WHEN l_returnflag <> 'R' THEN p_size ELSE 0 END)::DOUBLE / nullif(sum(p_size), 0), 0) AS a FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)")
+@query("SELECT l_orderkey, round(a, 12) AS availability, round(0.95 * a + 0.05 * (1 - n / 20.0), 12) AS score FROM (SELECT l_orderkey, count(*) AS n, coalesce(sum(CASE WHEN l_returnflag <> 'R' THEN p_size ELSE 0 END)::DOUBLE / nullif(sum(p_size), 0), 0) AS a FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)")
 def order_availability(s, d):
     own = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("in_stock", F.col("l_returnflag") != "R")
-    return rounded(A.weighted_availability(own, ["l_orderkey"], "p_size", "in_stock", F.count("*")), 9)
+    return rounded(A.weighted_availability(own, ["l_orderkey"], "p_size", "in_stock", F.count("*")), 12)
 
 
 @query("SELECT s_nationkey, string_agg(DISTINCT s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) AS suppliers, count(DISTINCT s_suppkey)::INT AS n_suppliers FROM supplier GROUP BY 1")
