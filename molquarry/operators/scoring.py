@@ -119,7 +119,7 @@ def ensemble_scores(df: DataFrame, key: str, col: str, members: Members, weights
             w = np.array(list(weights.values()))[:, None] / total
             there = np.isfinite(got).all(0)
             score, spread = (got * w).sum(0), got.std(0)
-            yield pd.DataFrame({key: b[key], "score": pd.array(np.where(there, score, np.nan), dtype="Float64").where(there, None), "spread": pd.array(np.where(there, spread, np.nan), dtype="Float64").where(there, None)})
+            yield pd.DataFrame({key: b[key], **{n: pd.array([float(x) if ok else None for x, ok in zip(v, there)], dtype="Float64") for n, v in (("score", score), ("spread", spread))}})
 
     return df.select(key, F.col(col).cast("string").alias("_text")).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score double, spread double")
 

@@ -199,7 +199,9 @@ def picked_rows(df: DataFrame, key: str, vector: str, k: int, method: str = "max
     far apart in a part stays so), and the picks are picked from again, so no task holds more than its bound.
     """
 
-    def pick(how: str):
+    core = max(k, last_rows // 4) if method == "ward" else k  # Ward's centres need more than k rows to merge
+
+    def pick(how: str, k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(list(batches)).sort_by("k") if (batches := list(batches)) else None
             if t is None or not t.num_rows:
@@ -215,11 +217,11 @@ def picked_rows(df: DataFrame, key: str, vector: str, k: int, method: str = "max
     scratch = Scratch(df.sparkSession)
     schema = f"k {kind}, v array<float>, rank int"
     n = rows.count()
-    while n > max(last_rows, 2 * k):
-        parts = -(-n // max(partition_rows, 4 * k))
-        rows = scratch.keep(rows.repartition(parts, F.xxhash64("k", F.lit(n))).mapInArrow(pick("maxmin"), schema).select("k", "v"))
+    while n > max(last_rows, 2 * core):
+        parts = -(-n // max(partition_rows, 4 * core))
+        rows = scratch.keep(rows.repartition(parts, F.xxhash64("k", F.lit(n))).mapInArrow(pick("maxmin", core), schema).select("k", "v"))
         n = rows.count()
-    return rows.repartition(1).mapInArrow(pick(method), schema).select(F.col("k").alias(key), "rank")
+    return rows.repartition(1).mapInArrow(pick(method, k), schema).select(F.col("k").alias(key), "rank")
 
 
 def greedy_varied(df: DataFrame, key: str, k: int, terms: dict[str, tuple[str, float]], seeds: list | None = None, bound: int = 20_000) -> DataFrame:

@@ -65,7 +65,7 @@ def nearest_reference(df: DataFrame, references: DataFrame, key: str, vector: st
         return df.select(key, F.lit(None).cast(dict(references.dtypes)[ref_key]).alias("nearest"), F.lit(None).cast("double").alias("similarity"))
     table = F.array(*(F.struct(F.lit(r["r"]).alias("r"), F.array(*map(F.lit, r["v"])).alias("v")) for r in refs))
     best = F.array_max(F.transform(table, lambda x: F.struct(cosine(F.col(vector), x["v"]).alias("s"), (-x["r"]).alias("k"))))
-    return df.select(key, best.alias("_b")).select(key, (-F.col("_b.k")).alias("nearest"), F.col("_b.s").alias("similarity"))
+    return df.select(key, best.alias("_b")).select(key, (-F.col("_b.k")).cast(dict(references.dtypes)[ref_key]).alias("nearest"), F.col("_b.s").alias("similarity"))
 
 
 def is_novel(own: Column, used: Column, limit: float = 0.85) -> Column:
