@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.functions import smiles as S
-from molquarry.functions.text import without_blanks
+from molquarry.functions.text import let, without_blanks
 
 #: Presence patterns of functional groups in texts (fixed values): names and what to look for.
 GROUP_PATTERNS = {
@@ -63,9 +63,13 @@ class TextBackend:
     def fingerprint(self, c: Column, bits: int = 2048, radius: int = 4) -> Column:
         """Sorted numbers of the bits that the text's grams of 1 to radius characters set."""
         t = self._text(c)
-        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-        every = F.flatten(F.array(*(grams(n) for n in range(1, radius + 1))))
-        return F.when(t.isNotNull(), F.array_sort(F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(bits)).cast("int")))))
+
+        def hashed(x: Column) -> Column:
+            grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+            every = F.flatten(F.array(*(grams(n) for n in range(1, radius + 1))))
+            return F.array_sort(F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(bits)).cast("int"))))
+
+        return F.when(t.isNotNull(), let(t, hashed))
 
     def groups(self, c: Column) -> Column:
         """A 0/1 array of the patterns present."""

@@ -32,8 +32,9 @@ def unpaired_ring(c: Column) -> Column:
     bare = F.regexp_replace(c, BRACKET_ATOM, "")
     found = F.regexp_extract_all(bare, F.lit(f"({RING_NUMBER})"), F.lit(0))
     rings = F.transform(found, lambda x: F.regexp_replace(x, "[%()]", "").cast("int"))
-    odd = F.filter(F.array_distinct(rings), lambda d: F.size(F.filter(rings, lambda x: x == d)) % 2 == 1)
-    return F.size(odd) > 0
+    # A number opens a ring where it isn't open, and closes it where it is.
+    turned = lambda a, x: F.when(F.array_contains(a, x), F.array_remove(a, x)).otherwise(F.array_append(a, x))
+    return F.size(F.aggregate(rings, F.array().cast("array<int>"), turned)) > 0
 
 
 def fault(c: Column) -> Column:

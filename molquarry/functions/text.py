@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 INVISIBLE = "\\s\\u00a0\\u00ad\\u061c\\u180e\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff\\p{Cc}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often a lambda in it asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_blanks(c: Column) -> Column:
     """Without white space and invisible characters at either end."""
     return F.regexp_replace(c, f"^[{INVISIBLE}]+|[{INVISIBLE}]+$", "")

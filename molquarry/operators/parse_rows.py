@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.functions import smiles as S
-from molquarry.functions.text import decimal, strip_blanks
+from molquarry.functions.text import decimal, let, strip_blanks
 from molquarry.runtime import SALTS, replicated
 
 
@@ -69,32 +69,30 @@ class Parsed:
 _SEP = "\x01"
 
 
-def _fields(line: Column, delimiter: Column) -> tuple[Column, Column]:
-    """(whether the quotes are broken, the fields). Between quotes a line alternates outside and inside."""
-    parts = F.split(line, '"', -1)
-    last = F.size(parts) - 1
+def _fields(line: Column, delimiter: Column) -> Column:
+    """broken (whether the quotes are) and values (the fields) of a line; split at its quotes, its pieces alternate outside and inside."""
     d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
     opens, closes = F.concat(d, F.lit(" *$")), F.concat(F.lit("^ *"), d)
     outside = lambda i: i % 2 == 0
-    wrong = F.filter(
-        F.transform(
+
+    def judged(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        wrong = F.transform(
             parts,
             lambda x, i: outside(i)
-            & (
-                ((i > 0) & (x != "") & ~F.rlike(x, closes) & ~((i == last) & x.rlike("^ *$")))
-                | ((i < last) & (x != "") & ~F.rlike(x, opens) & ~((i == 0) & x.rlike("^ *$")))
-            ),
-        ),
-        lambda b: b,
-    )
-    # An empty piece between two quoted ones is a doubled quote.
-    resolved = F.transform(
-        parts,
-        lambda x, i: F.when(~outside(i), x)
-        .when((x == "") & (i > 0) & (i < last), F.lit('"'))
-        .otherwise(F.replace(x, delimiter, F.lit(_SEP))),
-    )
-    return (last % 2 == 1) | (F.size(wrong) > 0), F.split(F.array_join(resolved, ""), _SEP, -1)
+            & (x != "")
+            & (((i > 0) & ~F.rlike(x, closes) & ~((i == last) & x.rlike("^ *$"))) | ((i < last) & ~F.rlike(x, opens) & ~((i == 0) & x.rlike("^ *$")))),
+        )
+        # An empty piece between two quoted ones is a doubled quote.
+        resolved = F.transform(
+            parts,
+            lambda x, i: F.when(~outside(i), x)
+            .when((x == "") & (i > 0) & (i < last), F.lit('"'))
+            .otherwise(F.replace(x, delimiter, F.lit(_SEP))),
+        )
+        return F.struct(((last % 2 == 1) | F.array_contains(wrong, True)).alias("broken"), F.split(F.array_join(resolved, ""), _SEP, -1).alias("values"))
+
+    return let(F.split(line, '"', -1), judged)
 
 
 def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Parsed:
@@ -119,8 +117,7 @@ def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Pa
     )
     body = lines.filter("line_no is null or line_no <> 1").withColumn("_salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int"))
     body = body.join(replicated(headers), ["_file", "_salt"], "left")
-    broken, values = _fields(F.col("_text"), F.col("_d"))
-    body = body.select("line_id", "_names", broken.alias("_broken"), values.alias("_values"))
+    body = body.select("line_id", "_names", _fields(F.col("_text"), F.col("_d")).alias("_f")).select("line_id", "_names", F.col("_f.broken").alias("_broken"), F.col("_f.values").alias("_values"))
     reason = F.when(F.col("_broken"), "quoting").when(F.coalesce(F.size("_values"), F.lit(1)) != len(fields), "columns")
     value = lambda f: F.try_element_at("_values", F.nullif(F.array_position("_names", f.name), F.lit(0)).cast("int"))
     # A line without header has null fields: its quotes can be judged only for being left open.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from molquarry.functions import scores
 from molquarry.functions.smiles import atom_count
-from molquarry.functions.text import strip_blanks, truthy
+from molquarry.functions.text import let, strip_blanks, truthy
 
 REACTIONS = "array<struct<depth:int,product:string,reactants:array<string>,label:string>>"
 
@@ -105,9 +105,12 @@ def longest_line(r: Column, start: Column) -> Column:
 
 def step_balance(counts: Column) -> Column:
     """Mean of the smaller over the larger count of all pairs; null for fewer than two usable counts."""
-    pairs = F.flatten(F.transform(counts, lambda a, i: F.transform(F.slice(counts, i + 2, F.size(counts)), lambda b: F.try_divide(F.least(a, b), F.greatest(a, b)))))
-    usable = F.filter(pairs, lambda x: x.isNotNull())
-    return F.try_divide(F.aggregate(usable, F.lit(0.0), lambda a, x: a + x), F.size(usable))
+
+    def balance(c: Column) -> Column:
+        pairs = F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.try_divide(F.least(a, b), F.greatest(a, b)))))
+        return F.aggregate(F.array_compact(pairs), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], a["n"]))
+
+    return let(counts, balance)
 
 
 def heavy_atoms(c: Column) -> Column:
