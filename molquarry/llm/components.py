@@ -19,12 +19,13 @@ def simple_edges(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter((a != b) & a.isNotNull() & b.isNotNull()).distinct()
 
 
-def min_labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
+def min_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges(a, b); label is the smallest node of its component.
 
-    A round gives every node the smallest label around it, follows labels of labels `jumps` times, and replaces the
-    edges' ends by their labels; edges within a label vanish. No edge left means that no label changes any more.
-    Rounds grow with the logarithm of the longest chain. Empty edges give no rows.
+    A round gives every node the smallest label around it, lets pointers jump to the labels' labels until none
+    moves, and replaces the edges' ends by their labels; edges within a label vanish. No edge left means that no
+    label changes any more. Only nodes below all their neighbours keep their label, half of them at most, so rounds
+    and jumps grow with the logarithm. Empty edges give no rows.
     """
     spark = edges.sparkSession
     scratch, rounds = Scratch(spark), []
@@ -33,10 +34,13 @@ def min_labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).select("x.*")
         labels = ends.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("l"))
         labels = scratch.keep(labels)
-        for _ in range(jumps):
+        while True:  # pointers double until none moves, so that a chain of any length falls to its end
             to = labels.select(F.col("v").alias("l"), F.col("l").alias("up"))
-            labels = labels.join(to, "l").select("v", F.col("up").alias("l"))
-        labels = scratch.keep(labels)
+            labels = scratch.keep(labels.join(to, "l").select("v", F.col("up").alias("l"), (F.col("up") != F.col("l")).alias("moved")))
+            if labels.filter("moved").isEmpty():
+                break
+            labels = labels.select("v", "l")
+        labels = labels.select("v", "l")
         rounds.append(labels)
         la = labels.select(F.col("v").alias("a"), F.col("l").alias("la"))
         lb = labels.select(F.col("v").alias("b"), F.col("l").alias("lb"))

@@ -96,7 +96,7 @@ def _windows(weights: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: int, q:
 
 def weights_of(hashes: np.ndarray, counts: np.ndarray, total: float) -> np.ndarray:
     """Squared weight of grams: the rarer their slot, the more."""
-    idf = np.log((total + 1) / (counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)] + 1.0))
+    idf = np.log((total + 1) / (counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.float64) + 1.0))
     return np.maximum(idf, 0.05) ** 2
 
 
@@ -122,9 +122,8 @@ def prefixes(texts: list[str], counts: np.ndarray, total: float, plan: JoinPlan)
         before = upto - once - np.concatenate([[0.0], upto])[begin][owner]  # weight of the grams ahead of this one
         # While the grams from here on could still reach the bound, they are in a list; repeats go with their first.
         bound = norm - loss
-        kept = np.where(first, before, -1.0)
-        kept = np.maximum.accumulate(np.where(first, kept + owner * 1e9, 0)) - owner * 1e9
-        indexed = kept <= loss[owner] * (1 + 1e-9) + 1e-9
+        kept = before[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+        indexed = kept <= loss[owner] * (1 + 1e-6) + 1e-6
         rest = norm - np.bincount(owner, np.where(indexed, once, 0.0), len(own))
         sel = np.flatnonzero(indexed)
         out.append((np.asarray(block)[owner[sel]], h[sel].view(np.int64), pos[sel], w[sel], bound[owner[sel]], rest[owner[sel]]))
@@ -246,7 +245,7 @@ def _pieces(texts: DataFrame, plan: JoinPlan, probe: bool) -> DataFrame:
                 n = len(text)
                 found = set()
                 for m in range(max(n - k, 0), n + k + 1) if probe else (n,):
-                    if min(n, m) >= limit:
+                    if min(n, m) >= limit + (0 if probe else k):  # of a listed text, the partner may be the short one
                         continue
                     for piece in range(k + 1):
                         a, z = m * piece // (k + 1), m * (piece + 1) // (k + 1)

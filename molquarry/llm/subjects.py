@@ -42,7 +42,7 @@ def log_odds(counts: np.ndarray, totals: np.ndarray, smooth: float = 0.5) -> np.
     """Of each word (row) for each subject: log of its rate there over its rate in the others taken together."""
     rate = (counts + smooth * totals / totals.sum()) / (totals + 1.0)
     rest = (rate.sum(1, keepdims=True) - rate) / (counts.shape[1] - 1)
-    return np.log(rate / np.maximum(rest, 1e-12))
+    return np.log(np.maximum(rate, 1e-12) / np.maximum(rest, 1e-12))
 
 
 class Lexicon:

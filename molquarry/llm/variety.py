@@ -84,10 +84,10 @@ def varied_subset(df: DataFrame, size: int, key: str = "row_id", smiles: str = "
     rows = scratch.keep(rows)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        table = table.sort_by("id")
+        table = pa.Table.from_batches(got).sort_by("id")
         ids, texts = table.column("id").to_numpy(), table.column("text").to_pylist()
         picked = greedy_determinant(vectors(texts), size)
         yield pa.RecordBatch.from_arrays([pa.array(ids[picked]), pa.array([texts[i] for i in picked], pa.string()), pa.array(np.arange(1, len(picked) + 1, dtype=np.int32))], names=["id", "text", "rank"])
