@@ -115,8 +115,26 @@ _EDGES = """e(a, b) AS (
 ), found AS (SELECT min(label) AS group_id, node AS row_id FROM reach GROUP BY node)"""
 
 
+#: Copies by normalised texts, in SQL.
+_COPIED = r"""WITH marks AS (SELECT '[\s\x{00a0}\x{00ad}\x{061c}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}\p{Cc}]+' AS blank, '^["''`´‘’“”,;:.|]+|["''`´‘’“”,;:.|]+$' AS around, '^[^\p{L}\p{N}]*\p{L}[\p{L}_ -]*\s*[:=]' AS label),
+raw AS (
+  SELECT 'protac_db' AS source_table, compound_id AS id, smiles, [target, e3_ligase, reference] AS codes, activity FROM protac_db
+  UNION ALL SELECT 'stock', id, smiles, [inchi_key], NULL FROM stock
+), made AS (
+  SELECT source_table, id,
+    list_sort(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(smiles, ''), blank, '', 'g'), around, '', 'g'), '^\((.*)\)$', '\1'), '.'), lambda x: x <> '')) AS s,
+    list_transform(codes, lambda c: regexp_replace(regexp_replace(lower(coalesce(c, '')), label, ''), '[^\p{L}\p{N}]+', '', 'g')) AS c,
+    list_sort(list_transform(list_filter(string_split(replace(regexp_replace(lower(coalesce(activity, '')), ',([^0-9])', ';\1', 'g'), '|', ';'), ';'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')),
+      lambda x: regexp_replace(split_part(regexp_replace(x, '[:=]', '~~'), '~~', 1), '[^\p{L}\p{N}]+', '', 'g') || '=' ||
+        coalesce(try_cast(trim(split_part(regexp_replace(x, '[:=]', '~~'), '~~', 2)) AS DOUBLE)::VARCHAR, regexp_replace(split_part(regexp_replace(x, '[:=]', '~~'), '~~', 2), '[^\p{L}\p{N}]+', '', 'g')))) AS a
+  FROM raw, marks
+), grouped AS (SELECT source_table, id, min(id) OVER (PARTITION BY source_table, s, c, a) AS keep_id, count(*) OVER (PARTITION BY source_table, s, c, a) AS n FROM made)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"{_COPIED} SELECT source_table, keep_id, id AS copy_id FROM grouped WHERE id <> keep_id",
+        "p4_records": f"{_COPIED} SELECT source_table, keep_id, n AS n_copies FROM grouped WHERE id = keep_id",
         "p2_found": f"WITH RECURSIVE {_EDGES} SELECT group_id, row_id FROM found",
         "p2_sizes": f"WITH RECURSIVE {_EDGES}, sizes AS (SELECT count(*) AS n FROM found GROUP BY group_id) SELECT n, count(*) AS n_groups FROM sizes GROUP BY n",
         "p6_shared": "SELECT unnest(['molecule', 'warhead_scaffold']) AS link, 0::BIGINT AS n_parted",
