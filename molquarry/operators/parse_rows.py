@@ -71,8 +71,6 @@ _SEP = "\x01"
 
 def _fields(line: Column, delimiter: Column) -> Column:
     """broken (whether the quotes are) and values (the fields) of a line; split at its quotes, its pieces alternate outside and inside."""
-    d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
-    opens, closes = F.concat(d, F.lit(" *$")), F.concat(F.lit("^ *"), d)
     outside = lambda i: i % 2 == 0
 
     def judged(parts: Column) -> Column:
@@ -81,7 +79,7 @@ def _fields(line: Column, delimiter: Column) -> Column:
             parts,
             lambda x, i: outside(i)
             & (x != "")
-            & (((i > 0) & ~F.rlike(x, closes) & ~((i == last) & x.rlike("^ *$"))) | ((i < last) & ~F.rlike(x, opens) & ~((i == 0) & x.rlike("^ *$")))),
+            & (((i > 0) & ~F.startswith(F.ltrim(x), delimiter) & ~((i == last) & (F.trim(x) == ""))) | ((i < last) & ~F.endswith(F.rtrim(x), delimiter) & ~((i == 0) & (F.trim(x) == "")))),
         )
         # An empty piece between two quoted ones is a doubled quote.
         resolved = F.transform(
