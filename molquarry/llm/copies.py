@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.functions.text import INVISIBLE, without_blanks
-from molquarry.runtime import SALTS, replicated
+from molquarry.runtime import SALTS, Scratch, replicated
 
 #: Marks around a structure text that belong to no structure (fixed values).
 _AROUND = "\"'`´‘’“”,;:.|"
@@ -80,9 +80,11 @@ def copies(df: DataFrame, shape: RecordShape) -> DataFrame:
 
     Rows without identifier can't be named and are left out. A group of any size is spread over salted keys.
     """
-    made = digests(df.filter(F.col(shape.key).isNotNull()), shape)
+    scratch = Scratch(df.sparkSession)
+    made = scratch.keep(digests(df.filter(F.col(shape.key).isNotNull()), shape))  # trees are made once
     groups = made.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "tree")).alias("first")).filter("n > 1").select("digest", F.col("first.id").alias("keep_id"), F.col("first.tree").alias("kept"))
-    pairs = made.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(replicated(groups), ["digest", "_salt"])
+    pairs = scratch.keep(made.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(replicated(groups), ["digest", "_salt"]).select("digest", "tree", "kept", "id", "keep_id"))
+    scratch.drop(but=1)
     same = pairs.filter("tree = kept and id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
     # Of equal digests but unequal trees, the trees decide.
     other = pairs.filter("tree <> kept").select("digest", "tree", "id")
