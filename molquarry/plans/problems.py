@@ -69,5 +69,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: globals()[n] for n in "p3_found p3_reasons p3_rows p5_found p5_precursors p5_steps p5_reactants p5_reagents".split()}
 
 
+#: Elements at any depth by a recursive query over JSON.
+_ELEMENTS = r"""WITH RECURSIVE texts AS (
+  SELECT record_id, 'precursors' AS col, 'precursor' AS child, CASE WHEN json_valid(precursors) THEN precursors::JSON END AS j FROM route_records
+  UNION ALL SELECT record_id, 'synthesis_steps', 'step', CASE WHEN json_valid(synthesis_steps) THEN synthesis_steps::JSON END FROM route_records
+), roots AS (
+  SELECT record_id, col, child, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN (j->>'$')::JSON END ELSE j END AS j FROM texts WHERE j IS NOT NULL
+), kinds(parent, field, below) AS (VALUES ('step', '.reactants', 'reactant'), ('step', '.conditions.reagents', 'reagent'), ('reactant', '.made_by', 'step')),
+first AS (
+  SELECT record_id, child, col, unnest(e) AS x, unnest(range(0, len(e))) AS i FROM (SELECT record_id, child, col, CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') ELSE [j] END AS e FROM roots WHERE j IS NOT NULL AND json_type(j) <> 'NULL')
+), items(record_id, child, path, parent_path, x) AS (
+  SELECT record_id, child, col || '[' || i || ']', '', x FROM first WHERE x IS NOT NULL AND json_type(x) <> 'NULL'
+  UNION ALL
+  SELECT record_id, below, path || field || '[' || i || ']', path, y FROM (
+    SELECT record_id, below, path, field, unnest(e) AS y, unnest(range(0, len(e))) AS i FROM (
+      SELECT record_id, below, path, field, CASE WHEN json_type(z) = 'ARRAY' THEN from_json(z, '["JSON"]') ELSE [z] END AS e FROM (
+        SELECT record_id, below, path, field, json_extract(x, '$' || field) AS z FROM items JOIN kinds ON child = parent WHERE json_type(x) = 'OBJECT'
+      ) WHERE z IS NOT NULL AND json_type(z) <> 'NULL'
+    )
+  ) WHERE y IS NOT NULL AND json_type(y) <> 'NULL'
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": f"{_ELEMENTS} SELECT record_id, child, path, parent_path FROM items"}
