@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from molquarry.functions import smiles as S
 from molquarry.functions.text import decimal, let, strip_blanks
-from molquarry.runtime import SALTS, replicated
+from molquarry.runtime import SALTS, Scratch, replicated
 
 
 def _structure(c: Column) -> Column:
@@ -124,6 +124,7 @@ def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Pa
         F.when(F.col("_names").isNull(), "columns").otherwise(reason).alias("reason"),
         *(F.coalesce(strip_blanks(value(f)), F.lit("")).alias(f.name) for f in fields),
     )
+    body = Scratch(lines.sparkSession).keep(body)  # lines are split once, the three readers below read columns
     structural = body.filter("reason is not null").select("line_id", "reason", F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("detail"))
     fine = body.filter("reason is null").drop("reason")
 
