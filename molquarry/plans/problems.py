@@ -69,6 +69,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: globals()[n] for n in "p3_found p3_reasons p3_rows p5_found p5_precursors p5_steps p5_reactants p5_reagents".split()}
 
 
+#: Bad lines by patterns made from each file's delimiter.
+_BAD_LINES = r"""WITH lines AS (SELECT line_id, coalesce(source_file, '') AS f, line_no, regexp_replace(regexp_replace(coalesce(line, ''), '^\x{feff}', ''), '[\r\n]+$', '') AS t FROM raw_route_lines),
+heads AS (SELECT f, arg_min(t, line_id) AS h FROM lines WHERE line_no = 1 GROUP BY 1),
+parts AS (SELECT f, d, list_transform(string_split(h, d), lambda x: lower(trim(replace(x, '"', '')))) AS names FROM (SELECT f, h, regexp_extract(h, '[^A-Za-z0-9_" ]') AS d FROM heads)),
+body AS (SELECT line_id, t, d, names, '( *"(?:[^"]|"")*" *|[^"' || d || ']*)' AS field FROM lines LEFT JOIN parts USING (f) WHERE line_no IS NULL OR line_no <> 1),
+judged AS (SELECT line_id, names, d, NOT regexp_full_match(t, '(?s)' || field || '([' || d || ']' || field || ')*') AS broken, regexp_extract_all(d || t, '(?s)[' || d || ']' || field, 1) AS v FROM body),
+cut AS (SELECT line_id, broken, len(v) AS n, names, list_transform(v, lambda x: trim(CASE WHEN trim(x, ' ') LIKE '"%' THEN replace(substr(trim(x, ' '), 2, length(trim(x, ' ')) - 2), '""', '"') ELSE x END, E' \t\r\n')) AS v FROM judged),
+own AS (SELECT line_id, broken, n, names IS NULL AS headless, v[list_position(names, 'smiles')] AS smiles, v[list_position(names, 'target_smiles')] AS target, v[list_position(names, 'resolved')] AS resolved, v[list_position(names, 'route_score')] AS score, v[list_position(names, 'search_time_seconds')] AS seconds, v[list_position(names, 'n_steps')] AS steps FROM cut),
+texts AS (SELECT DISTINCT unnest([smiles, target]) AS s FROM own WHERE NOT broken AND n = 7),
+bare AS (SELECT s, regexp_replace(s, '\[[^\[\]]*\]', '', 'g') AS b FROM texts),
+faults AS (
+  SELECT s, NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\-\[\]()=#$/\\%.:*~]*') OR b LIKE '%[%' OR b LIKE '%]%'
+    OR list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(b, '[^()]', '', 'g'), ''), lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0
+    OR len(list_filter(list_distinct(regexp_extract_all(b, '%[0-9][0-9]|[0-9]')), lambda r: len(list_filter(regexp_extract_all(b, '%[0-9][0-9]|[0-9]'), lambda q: q = r)) % 2 = 1)) > 0 AS bad FROM bare
+), number AS (SELECT '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?' AS p)
+SELECT line_id, reason FROM (
+  SELECT own.line_id, CASE WHEN headless THEN 'columns' WHEN broken THEN 'quoting' WHEN n <> 7 THEN 'columns' WHEN smiles = '' OR a.bad OR b.bad OR (resolved <> '' AND lower(resolved) NOT IN ('true', 'false'))
+    OR (score <> '' AND NOT coalesce(regexp_full_match(score, p) AND try_cast(score AS DOUBLE) BETWEEN 0 AND 1, false))
+    OR (seconds <> '' AND NOT coalesce(regexp_full_match(seconds, p) AND try_cast(seconds AS DOUBLE) >= 0, false))
+    OR (steps <> '' AND NOT coalesce(regexp_full_match(steps, p) AND try_cast(steps AS DOUBLE) >= 0 AND try_cast(steps AS DOUBLE) = floor(try_cast(steps AS DOUBLE)), false)) THEN 'value' END AS reason
+  FROM own, number LEFT JOIN faults a ON a.s = smiles LEFT JOIN faults b ON b.s = target
+) WHERE reason IS NOT NULL"""
 #: Elements at any depth by a recursive query over JSON.
 _ELEMENTS = r"""WITH RECURSIVE texts AS (
   SELECT record_id, 'precursors' AS col, 'precursor' AS child, CASE WHEN json_valid(precursors) THEN precursors::JSON END AS j FROM route_records
@@ -92,4 +114,4 @@ first AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": f"{_ELEMENTS} SELECT record_id, child, path, parent_path FROM items"}
+    return {"p3_found": _BAD_LINES, "p5_found": f"{_ELEMENTS} SELECT record_id, child, path, parent_path FROM items"}
