@@ -1,8 +1,8 @@
-"""Evaluation passages inside training documents (problem 9), found by spaced seeds.
+"""Evaluation passages inside training documents (problem 9), found by filters that lose nothing.
 
-A seed is a pattern of word places, of which it ignores some: two texts share a seed where they agree in the others.
-Seeds of the items are hashed once, those of the documents as they pass; where enough seeds of one item gather about
-one diagonal, the words around them are aligned in order and judged.
+Words in a row are found by a hash of RUN words. A passage that repeats SHARE of an item's words lacks at most the rest
+of them, so of any set of the item's words it holds all but so many: the item's rarest words are looked up, and where
+enough of them stand within a passage's length, the words around are aligned in order and judged.
 """
 
 from __future__ import annotations
@@ -16,21 +16,18 @@ from pyspark.sql import functions as F
 
 from molquarry.llm.words import batch_words
 
-#: Places that a seed compares; the gaps may hold any word.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5))
-#: A passage must share so many seeds with the item, or a quarter of the item's words if that is less: 16 words in a
-#: row share 36; four fifths in order, every fifth word replaced, share four in each five words.
-LEAST_SEEDS = 12
 #: Words in a row, and share of an item's words within a passage of at most STRETCH times its length, that count.
 RUN, SHARE, STRETCH = 16, 0.8, 1.25
-#: Items that one pass over the documents takes: their seeds are some 200 bytes a word. More items take more passes.
+#: Items that one pass over the documents takes: their words and runs are some 200 bytes a word. More items take more passes.
 BLOCK_ITEMS = 20_000
-_BITS = 15  # of a word's number in a seed's key; vocabularies beyond that are hashed, and words then compared
-_FILTER = 1 << 20
+#: Rare words of an item that must meet in a passage: this share of its words. It decides the work, not the result.
+MEET = 0.2
+#: Places of rare words that are sorted at once, but for a text that has more.
+_HITS = 2_000_000
 
 
 class ItemIndex:
-    """Seeds and words of one block of items."""
+    """Rare words and runs of one block of items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words, begin = batch_words(texts)
@@ -41,96 +38,95 @@ class ItemIndex:
         self.number["\x00"] = -1
         self.items = [np.fromiter((self.number[w] for w in x), np.int64, len(x)) for x in own]
         self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
-        self.least = np.clip(self.lengths // 4, 2, LEAST_SEEDS)
+        self.widths = (self.lengths * STRETCH).astype(np.int64)
+        self.needs = -(-self.lengths * 4 // 5)
         self.places: list[dict[int, int]] = []
         for x in self.items:
             at: dict[int, int] = {}
             for p, w in enumerate(x.tolist()):
                 at[w] = at.get(w, 0) | 1 << p
             self.places.append(at)
-        self.band = max(64, 1 << int(np.ceil(np.log2(max(1, self.lengths.max(initial=1))))))
-        self.seeds = []
-        for mask in MASKS:
-            keys, item, pos = [], [], []
-            for i, x in enumerate(self.items):
-                if len(x) > mask[-1]:
-                    k = self.keys(x, mask)
-                    keys.append(k), item.append(np.full(len(k), i)), pos.append(np.arange(len(k)))
-            keys, item, pos = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (keys, item, pos))
-            order = np.argsort(keys, kind="stable")
-            there = np.zeros(_FILTER, bool)
-            there[_slot(keys)] = True
-            self.seeds.append((mask, keys[order], item[order], pos[order], there))
-
-    @staticmethod
-    def keys(numbers: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-        """A key for every place from which the mask fits; below 0 where it meets a word of no item or a text's end."""
-        n = max(len(numbers) - mask[-1], 0)
-        key, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-        for m in mask:
-            part = numbers[m : m + n]
-            bad |= part <= 0
-            key = (key << _BITS) ^ part if _BITS else key
-        key &= (1 << 62) - 1
-        key[bad] = -1
-        return key
-
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, place in the item) of every shared seed."""
-        out = []
-        for mask, keys, item, pos, there in self.seeds:
-            own = self.keys(numbers, mask)
-            at = np.flatnonzero(own >= 0)
-            at = at[there[_slot(own[at])]]
-            lo, hi = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
-            n = hi - lo
-            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((np.repeat(at, n), item[which], pos[which]))
-        return tuple(np.concatenate(z) for z in zip(*out))
-
-    def candidates(self, numbers: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first, last): where seeds of an item gather, with the places of the first and last of them."""
-        place, item, pos = self.hits(numbers)
-        if not len(place):
-            return
-        text = text_of[place]
-        diagonal = place - pos + self.band
-        half = self.band // 2
-        # Bands overlap by half, so that any drift up to half a band falls into one.
-        text, item, place = (np.concatenate([x, x]) for x in (text, item, place))
-        slot = np.concatenate([diagonal // half, diagonal // half - 1])
-        order = np.lexsort((place, slot, item, text))
-        text, item, place, slot = text[order], item[order], place[order], slot[order]
-        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (slot[1:] != slot[:-1])]))
-        ends = np.concatenate([new[1:], [len(text)]])
-        enough = ends - new >= self.least[item[new]]
-        for a, z in zip(new[enough].tolist(), ends[enough].tolist()):
-            yield int(text[a]), int(item[a]), int(place[a]), int(place[z - 1])
-
-    def holds(self, words: list[int], item: int, around: int) -> bool:
-        """Whether the words repeat RUN words of the item in a row, or SHARE of them in order closely enough."""
-        at, m = self.places[item], self.lengths[item].item()
-        run, best = {}, 0
-        for w in words:
-            bits, now = at.get(w, 0), {}
-            while bits:
-                low = bits & -bits
-                p = low.bit_length()
-                now[p] = run.get(p - 1, 0) + 1
-                best = max(best, now[p])
-                bits ^= low
-            run = now
-        if best >= RUN:
-            return True
-        need, width = -(-m * 4 // 5), int(m * STRETCH)
+        # Of the `meet + lengths - needs` rarest places of an item a passage that counts has at least `meet`.
+        self.meet = np.maximum(1, (self.lengths * MEET).astype(np.int64))
+        items_with = np.bincount(np.concatenate([np.unique(x) for x in self.items] or [np.zeros(0, np.int64)]), minlength=len(vocabulary) + 1)
+        word, item = [], []
+        for i, x in enumerate(self.items):
+            rare = x[np.lexsort((x, items_with[x]))][: self.meet[i] + self.lengths[i] - self.needs[i]]
+            rare = np.unique(rare)
+            word.append(rare), item.append(np.full(len(rare), i))
+        word, item = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (word, item))
+        order = np.argsort(word, kind="stable")
+        self.holders = item[order]
+        self.first = np.searchsorted(word[order], np.arange(len(vocabulary) + 2))
+        keys, item, pos = [], [], []
+        for i, x in enumerate(self.items):
+            k = _runs(x)
+            keys.append(k), item.append(np.full(len(k), i)), pos.append(np.arange(len(k)))
+        keys, item, pos = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (keys, item, pos))
+        order = np.argsort(keys, kind="stable")
+        self.runs = keys[order], item[order], pos[order]
+
+    def repeated(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, item) where RUN words of the item stand in a row."""
+        keys, item, pos = self.runs
+        own = _runs(numbers)
+        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+        at = np.flatnonzero(hi > lo)
+        for a in at.tolist():
+            for j in range(lo[a], hi[a]):
+                i, p = int(item[j]), int(pos[j])
+                if np.array_equal(numbers[a : a + RUN], self.items[i][p : p + RUN]):
+                    yield a, i
+
+    def candidates(self, numbers: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, last + 1): stretches of a text that have all passages where enough rare words meet."""
+        known = np.maximum(numbers, 0)
+        n = np.where(numbers > 0, self.first[known + 1] - self.first[known], 0)
+        before = np.concatenate([[0], np.cumsum(n)])
+        t = 0
+        while t < len(begin) - 1:
+            z = max(t + 1, int(np.searchsorted(before[begin], before[begin[t]] + _HITS, "right")) - 1)
+            a, b = begin[t], begin[z]
+            place = np.repeat(np.arange(a, b), n[a:b])
+            item = self.holders[self.first[known[place]] + np.arange(before[b] - before[a]) - (before[place] - before[a])]
+            text = np.repeat(np.arange(t, z), np.diff(begin[t : z + 1]))[place - a]
+            order = np.lexsort((place, item, text))
+            place, item, text = place[order], item[order], text[order]
+            end = np.arange(len(place)) + self.meet[item] - 1
+            inside = np.minimum(end, max(len(place) - 1, 0))
+            met = (end == inside) & (text[inside] == text) & (item[inside] == item) & (place[inside] - place < self.widths[item])
+            at = np.flatnonzero(met)
+            text, item = text[at], item[at]
+            lo = np.maximum(begin[text], place[inside[at]] - self.widths[item] + 1)
+            hi = np.minimum(begin[text + 1] - 1, place[at] + self.widths[item])
+            new = np.ones(len(at), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.concatenate([starts[1:], [len(at)]])[: len(starts)] - 1
+            yield from zip(text[starts].tolist(), item[starts].tolist(), lo[starts].tolist(), hi[ends].tolist())
+            t = z
+
+    def holds(self, words: list[int], item: int) -> bool:
+        """Whether the words repeat SHARE of the item's words in order closely enough."""
+        at, m, need, width = self.places[item], int(self.lengths[item]), int(self.needs[item]), int(self.widths[item])
         if _in_order(words, at, m) < need:
             return False
-        first = range(max(0, len(words) - width) + 1)
-        return any(_in_order(words[s : s + width], at, m) >= need for s in sorted(first, key=lambda s: abs(s - around)))
+        there = np.fromiter((w in at for w in words), bool, len(words))
+        upto = np.concatenate([[0], np.cumsum(there)])
+        start = np.flatnonzero(there)  # a passage may as well begin with a word of the item
+        enough = upto[np.minimum(start + width, len(words))] - upto[start]
+        start, enough = start[enough >= need], enough[enough >= need]
+        return any(_in_order(words[s : s + width], at, m) >= need for s in start[np.argsort(-enough, kind="stable")].tolist())
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.int64(0x5851F42D4C957F2D)) >> np.int64(40)) & np.int64(_FILTER - 1)
+def _runs(numbers: np.ndarray) -> np.ndarray:
+    """A hash of the RUN words from each place that has so many."""
+    key, size = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
+    while size < RUN:
+        n = max(len(key) - size, 0)
+        key = (key[:n] ^ (key[:n] >> np.uint64(29))) * np.uint64(0x5851F42D4C957F2D) + key[size : size + n]
+        size *= 2
+    return key
 
 
 def _in_order(words: list[int], places: dict[int, int], m: int) -> int:
@@ -150,8 +146,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     A passage is RUN words of the item in a row, or SHARE of its words in order within at most STRETCH times its
     length. Case, punctuation, white space, markup, invisible characters and look-alikes don't matter. Null, empty
-    and blank texts hold nothing; items of fewer than four words have no seeds and aren't found; repeated rows are
-    judged each. Items are taken in blocks of BLOCK_ITEMS, so what is broadcast doesn't grow with them.
+    and blank texts hold nothing, and items without words are held by none; repeated rows are judged each. Items are taken in blocks of BLOCK_ITEMS, so what is broadcast doesn't grow with them.
     """
     spark = documents.sparkSession
     schema = f"{key} long, {item_key} long"
@@ -172,13 +167,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     words, begin = batch_words(part.column(1).to_pylist())
                     numbers = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
                     text_of = np.repeat(np.arange(len(ids)), np.diff(begin))
-                    got = set()
-                    for t, i, first, last in index.candidates(numbers, text_of):
-                        if (t, i) in got:
-                            continue
-                        reach = int(index.lengths[i] * STRETCH) + 1
-                        a, z = max(begin[t], first - reach), min(begin[t + 1] - 1, last + reach)
-                        if index.holds(numbers[a:z].tolist(), i, int(first - a)):
+                    got = {(int(text_of[a]), i) for a, i in index.repeated(numbers)}
+                    for t, i, a, z in index.candidates(numbers, begin):
+                        if (t, i) not in got and index.holds(numbers[a:z].tolist(), i):
                             got.add((t, i))
                     pairs = sorted(got)
                     yield pa.RecordBatch.from_arrays(

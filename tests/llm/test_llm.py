@@ -241,6 +241,46 @@ def test_leaks(spark):
     assert report[7] == 5 and report[9] == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def holds_by_definition(text, item):
+    m = len(item)
+    if any(text[i : i + 16] == item[j : j + 16] for j in range(m - 15) for i in range(len(text) - 15)):
+        return True
+    return m > 0 and any(5 * lcs(text[i : i + m * 5 // 4], item) >= 4 * m for i in range(len(text)))
+
+
+def test_leaks_of_left_out_and_put_in_words(spark):
+    """Passages at and beside the limit, words left out, put in and replaced at will, against the definition."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}x" for i in range(400)]
+    items = {i: [rng.choice(vocabulary) for _ in range(m)] for i, m in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 12, 16, 20, 25, 33, 40, 61, 61, 61, 90], 1)}
+    docs = {}
+    for i, item in items.items():
+        m = len(item)
+        for extra in (0, 0, 0, 1):
+            out = set(rng.sample(range(m), min(m, m // 5 + extra)))
+            kept = [w for j, w in enumerate(item) if j not in out]
+            for _ in range(rng.randrange(0, m * 5 // 4 - len(kept) + 2 + extra)):
+                kept.insert(rng.randrange(len(kept) + 1), rng.choice(["foreign", rng.choice(vocabulary)]))
+            docs[len(docs) + 1] = [rng.choice(vocabulary) for _ in range(rng.randrange(30))] + kept + ["tail"] * rng.randrange(3)
+    # The reviewed case: every fifth word left out, a foreign one put into each second run of four.
+    kept = [x for j, w in enumerate(items[15]) if j % 5 != 4 for x in ([w, "foreign"] if j % 10 == 1 else [w])]
+    docs[len(docs) + 1] = kept
+    expected = {(d, i) for d, text in docs.items() for i, item in items.items() if holds_by_definition(text, item)}
+    assert (len(docs), 15) in expected and len(expected) < 0.5 * len(docs) * len(items)
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in docs.items()], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, table).collect()} == expected
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------------------------
 
 
