@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -250,3 +251,15 @@ def test_models(spark):
     pred, result = ML.run_fold(df, ["a", "b", "c"], "k", "LIN", "part", 2, 0, 0)
     assert pred.count() == 30 and result["metrics"]["r2"] > 0.9
     assert ML.chosen([result, {**result, "inner": -1, "fold": 1}])["fold"] == 1
+
+
+def test_kendall_of_parts_takes_every_part(spark, tmp_path):
+    from molquarry.plans import stats
+
+    rng = random.Random(5)
+    rows = [(1000 + 7 * i, rng.randrange(12), "x" * rng.randrange(1, 9)) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    sign = lambda a: (a > 0) - (a < 0)
+    pairs = [(sign(a[1] - b[1]), sign(len(a[2]) - len(b[2]))) for i, a in enumerate(rows) for b in rows[:i]]
+    expected = sum(x * y for x, y in pairs) / math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
+    assert stats.kendall_of_parts(spark, str(tmp_path)).first()["kendall"] == pytest.approx(expected, abs=1e-6)
