@@ -172,56 +172,151 @@ def _maxmin(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
-def _ward(x: np.ndarray, k: int) -> list[int]:
+def _ward(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """The cluster, from 0, of each row in the k clusters that Ward's merging gives, rows counting by their weight.
+
+    Chains of nearest neighbours find all merges in some order; the lowest are those that the plain method does first.
+    """
+    n = len(x)
+    rows, sizes, live, dead = x.astype(float).copy(), weight.astype(float).copy(), np.arange(n), np.zeros(n, bool)
+    at, merges, chain = np.arange(n), [], []  # at: where a cluster stands in rows
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(live[np.flatnonzero(~dead)[0]])]
+        own = at[chain[-1]]
+        d = ((rows - rows[own]) ** 2).sum(1) * (sizes * sizes[own] / (sizes + sizes[own]))
+        d[dead] = d[own] = np.inf
+        j = int(d.argmin())
+        if len(chain) == 1 or d[j] < d[at[chain[-2]]]:
+            chain.append(int(live[j]))
+            continue
+        gone = at[chain[-2]]
+        merges.append((float(d[gone]), chain[-1], chain[-2]))
+        del chain[-2:]
+        total = sizes[own] + sizes[gone]
+        rows[own] = (rows[own] * sizes[own] + rows[gone] * sizes[gone]) / total
+        sizes[own], dead[gone] = total, True
+        if 2 * dead.sum() > len(dead):
+            rows, sizes, live, dead = rows[~dead], sizes[~dead], live[~dead], dead[~dead]
+            at[live] = np.arange(len(live))
+    up = list(range(n))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(n - k, 0)]:
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1].reshape(-1)
+
+
+def _centres(x: np.ndarray, weight: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean and weight of each cluster."""
+    total = np.bincount(cluster, weight)
+    sums = np.zeros((len(total), x.shape[1]))
+    np.add.at(sums, cluster, x * weight[:, None])
+    return sums / total[:, None], total
+
+
+def _central(x: np.ndarray, k: int) -> list[int]:
     """Rows nearest the centres of k clusters that Ward's merging gives."""
-    centre, size, member = x.astype(float).copy(), np.ones(len(x)), [[i] for i in range(len(x))]
-    live = list(range(len(x)))
-    while len(live) > k:
-        c, s = centre[live], size[live]
-        d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(2) * (s[:, None] * s[None, :] / (s[:, None] + s[None, :]))
-        d[np.tril_indices(len(live))] = np.inf
-        i, j = np.unravel_index(int(d.argmin()), d.shape)
-        a, b = live[i], live[j]
-        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        member[a] += member[b]
-        live.remove(b)
-    return sorted(min(member[a], key=lambda i: (((x[i] - centre[a]) ** 2).sum(), i)) for a in live)
+    x = x.astype(float)
+    cluster = _ward(x, np.ones(len(x)), k)
+    centre, _ = _centres(x, np.ones(len(x)), cluster)
+    off = ((x - centre[cluster]) ** 2).sum(1)
+    return sorted(int(min(np.flatnonzero(cluster == c), key=lambda i: (off[i], i))) for c in range(len(centre)))
+
+
+_PICKERS = {"maxmin": _maxmin, "ward": _central}
+
 
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.asarray(column.to_pylist(), np.float64)
 
-_PICKERS = {"maxmin": _maxmin, "ward": _ward}
+
+def _central_of_many(rows: DataFrame, key: str, k: int, partition_rows: int, last_rows: int) -> DataFrame:
+    """key, rank: rows nearest the centres of k clusters; of rows(k, v).
+
+    Each partition hands on the centres of its Ward clusters with the rows they stand for, until what is left can be
+    merged as a whole, so every row has its weight in the centres; the nearest row is then looked for among all.
+    """
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["k"]
+    core = max(k, last_rows // 4)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        t = pa.Table.from_batches(got) if got else None
+        if t is None or not t.num_rows:
+            return
+        x, w = _vectors(t.column("v")), t.column("w").to_numpy()
+        order = np.lexsort((w, *x.T[::-1]))
+        x, w = x[order], w[order]
+        centre, total = _centres(x, w, _ward(x, w, core))
+        yield pa.RecordBatch.from_arrays([pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(total)], names=["v", "w"])
+
+    scratch = Scratch(spark)
+    left = rows.select(F.col("v").cast("array<double>").alias("v"), F.lit(1.0).alias("w"))
+    n = left.count()
+    while n > max(last_rows, 2 * core):
+        parts = -(-n // max(partition_rows, 4 * core))
+        left = scratch.keep(left.repartition(parts, F.xxhash64("v", F.lit(n))).mapInArrow(merged, "v array<double>, w double"))
+        n = left.count()
+    last = left.toPandas()
+    x, w = np.asarray(last["v"].tolist(), np.float64), last["w"].to_numpy()
+    order = np.lexsort((w, *x.T[::-1]))
+    centre, _ = _centres(x[order], w[order], _ward(x[order], w[order], k))
+    shared = spark.sparkContext.broadcast(centre)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b.column(1))
+            for c, own in enumerate(shared.value if len(x) else []):
+                d = ((x - own) ** 2).sum(1)
+                # k - 1 rows may be nearer another centre's pick; of equal ones the least keys are wanted
+                upto = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                best = np.flatnonzero(d <= upto)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), c, np.int32)), b.column(0).take(pa.array(best)), pa.array(d[best])], names=["c", "k", "d"])
+
+    nearest = rows.mapInArrow(near, f"c int, k {kind}, d double").withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("d", "k"))).filter(F.col("_r") <= k)
+    taken: dict = {}
+    for r in sorted(nearest.collect(), key=lambda r: (r["d"], r["k"], r["c"])):
+        if r["c"] not in taken and r["k"] not in taken.values():
+            taken[r["c"]] = r["k"]
+    scratch.drop()
+    return spark.createDataFrame([(x, i) for i, x in enumerate(sorted(taken.values()), 1)], f"{key} {kind}, rank int")
 
 
 def picked_rows(df: DataFrame, key: str, vector: str, k: int, method: str = "maxmin", partition_rows: int = 20_000, last_rows: int = 20_000) -> DataFrame:
     """key, rank: k rows by 'maxmin' or 'ward'.
 
     Up to last_rows rows are picked from as a whole. Of more, every partition first picks its k (by maxmin: what is
-    far apart in a part stays so), and the picks are picked from again, so no task holds more than its bound.
+    far apart in a part stays so), and the picks are picked from again; by 'ward' it hands on centres that stand for
+    all its rows. No task holds more than its bound.
     """
 
-    core = max(k, last_rows // 4) if method == "ward" else k  # Ward's centres need more than k rows to merge
-
-    def pick(how: str, k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches)).sort_by("k") if (batches := list(batches)) else None
-            if t is None or not t.num_rows:
-                return
-            x = np.asarray(t.column("v").to_pylist(), np.float32)
-            chosen = _PICKERS[how](x, k)
-            yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(chosen)), t.column("v").combine_chunks().take(pa.array(chosen)), pa.array(np.arange(1, len(chosen) + 1, dtype=np.int32))], names=["k", "v", "rank"])
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("k") if (batches := list(batches)) else None
+        if t is None or not t.num_rows:
+            return
+        x = np.asarray(t.column("v").to_pylist(), np.float32)
+        chosen = _PICKERS[method](x, k)
+        yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(chosen)), t.column("v").combine_chunks().take(pa.array(chosen)), pa.array(np.arange(1, len(chosen) + 1, dtype=np.int32))], names=["k", "v", "rank"])
 
     kind = dict(df.dtypes)[key]
     rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"))
     scratch = Scratch(df.sparkSession)
     schema = f"k {kind}, v array<float>, rank int"
     n = rows.count()
-    while n > max(last_rows, 2 * core):
-        parts = -(-n // max(partition_rows, 4 * core))
-        rows = scratch.keep(rows.repartition(parts, F.xxhash64("k", F.lit(n))).mapInArrow(pick("maxmin", core), schema).select("k", "v"))
+    if method == "ward" and n > max(last_rows, 2 * k):
+        return _central_of_many(rows, key, k, partition_rows, last_rows)
+    while n > max(last_rows, 2 * k):
+        parts = -(-n // max(partition_rows, 4 * k))
+        rows = scratch.keep(rows.repartition(parts, F.xxhash64("k", F.lit(n))).mapInArrow(run, schema).select("k", "v"))
         n = rows.count()
-    return rows.repartition(1).mapInArrow(pick(method, k), schema).select(F.col("k").alias(key), "rank")
+    return rows.repartition(1).mapInArrow(run, schema).select(F.col("k").alias(key), "rank")
 
 
 def greedy_varied(df: DataFrame, key: str, k: int, terms: dict[str, tuple[str, float]], seeds: list | None = None, bound: int = 20_000) -> DataFrame:

@@ -110,7 +110,7 @@ def farthest_embeddings(s, d):
 
 @query()
 def central_embeddings(s, d):
-    return SE.picked_rows(table(s, d, "embeddings"), "vec_id", "embedding", 12, "ward", partition_rows=1000, last_rows=500)
+    return SE.picked_rows(table(s, d, "embeddings"), "vec_id", "embedding", 12, "ward")
 
 
 @query()

@@ -263,3 +263,23 @@ def test_kendall_of_parts_takes_every_part(spark, tmp_path):
     pairs = [(sign(a[1] - b[1]), sign(len(a[2]) - len(b[2]))) for i, a in enumerate(rows) for b in rows[:i]]
     expected = sum(x * y for x, y in pairs) / math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
     assert stats.kendall_of_parts(spark, str(tmp_path)).first()["kendall"] == pytest.approx(expected, abs=1e-6)
+
+
+def test_central_rows_of_many_stand_for_all_rows(spark):
+    rng = np.random.default_rng(3)
+    groups = [np.asarray(c) + rng.exponential(1.0, (300, 3)) for c in ((0.0, 0, 0), (60.0, 0, 0), (0, 60.0, 0))]
+    x = np.concatenate(groups).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    expected = [g * 300 + int(((y - y.mean(0)) ** 2).sum(1).argmin()) for g, y in enumerate(np.split(x.astype(float), 3))]
+    whole, parted = ({r["id"] for r in SE.picked_rows(df, "id", "v", 3, "ward", partition_rows=b, last_rows=b).collect()} for b in (1000, 100))
+    assert whole == parted == set(expected)
+    few = rng.normal(size=(60, 4))
+    centre, size, member = few.copy(), np.ones(60), [[i] for i in range(60)]
+    live = list(range(60))
+    while len(live) > 7:
+        a, b = min(((a, b) for a in live for b in live if a < b), key=lambda p: ((centre[p[0]] - centre[p[1]]) ** 2).sum() * size[p[0]] * size[p[1]] / (size[p[0]] + size[p[1]]))
+        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+        size[a], member[a] = size[a] + size[b], member[a] + member[b]
+        live.remove(b)
+    label = SE._ward(few, np.ones(60), 7)
+    assert {frozenset(np.flatnonzero(label == c).tolist()) for c in range(7)} == {frozenset(member[a]) for a in live}
