@@ -323,13 +323,10 @@ def greedy_varied(df: DataFrame, key: str, k: int, terms: dict[str, tuple[str, f
     """key, rank, gain: k rows, each the one whose weighted distance to all chosen ones is largest.
 
     terms: name: (vector column, weight); the gain of a row is the weighted sum over terms of its smallest distance
-    to the chosen. seeds are chosen from the start and not given back. More than `bound` rows are first cut to
-    core-sets by picked_rows on the first term.
+    to the chosen. seeds are chosen from the start and not given back. More than `bound` rows aren't gathered in one
+    task: each pass over all rows brings the best of every partition, from which the same rows are chosen.
     """
     names = list(terms)
-    if df.count() > bound:
-        core = picked_rows(df, key, terms[names[0]][0], max(k, bound // 4))
-        df = df.join(core.select(key), key, "left_semi")
     given = set(seeds or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +359,77 @@ def greedy_varied(df: DataFrame, key: str, k: int, terms: dict[str, tuple[str, f
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], t.schema.field("k").type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], names=[key, "rank", "gain"])
 
     own = df.select(F.col(key).alias("k"), *(F.col(c).cast("array<double>").alias(n) for n, (c, _) in terms.items()))
+    if df.count() > bound:
+        return _varied_by_passes(own, key, k, names, [w for _, w in terms.values()], list(given))
     return own.repartition(1).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, rank int, gain double")
 
 
+#: Rows that a partition brings to the driver in one pass of greedy_varied.
+BROUGHT = 256
+
+
+def _varied_by_passes(own: DataFrame, key: str, k: int, names: list[str], weights: list[float], given: list) -> DataFrame:
+    """greedy_varied of own(k, a vector for each name) without gathering its rows.
+
+    Gains only fall as rows are chosen. So the best of the rows brought is the best of all as long as it gains more
+    than any row left behind did at the pass; the first of a pass always is.
+    """
+    spark, kind = own.sparkSession, dict(own.dtypes)["k"]
+
+    def units(rows: list) -> list[np.ndarray]:
+        xs = [np.asarray([r[n] for r in rows], np.float64) for n in names]
+        return [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in xs]
+
+    seeds = own.filter(F.col("k").isin(given)).collect() if given else []
+    chosen = [list(x) for x in units(seeds)] if seeds else [[] for _ in names]
+    taken, out = {r["k"] for r in seeds}, []
+    while len(out) < k:
+        shared = spark.sparkContext.broadcast((chosen, taken))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            chosen, taken = shared.value
+            best, behind = [], -np.inf
+            for b in batches:
+                rows = [r for r in b.to_pylist() if r["k"] not in taken]
+                if not rows:
+                    continue
+                near = [np.ones(len(rows)) for _ in names]
+                for i, x in enumerate(units(rows)):
+                    for c in chosen[i]:
+                        near[i] = np.minimum(near[i], 1 - x @ c)
+                gain = sum(w * d for w, d in zip(weights, near))
+                best += [(-g, r["k"], r, ds) for g, r, *ds in zip(gain.tolist(), rows, *(d.tolist() for d in near))]
+                best.sort(key=lambda t: t[:2])
+                if len(best) > BROUGHT:
+                    behind = max(behind, -best[BROUGHT][0])
+                    del best[BROUGHT:]
+            if best:
+                got = pa.Table.from_pylist([r for _, _, r, _ in best], b.schema)
+                got = got.append_column("near", pa.array([ds for *_, ds in best], pa.list_(pa.float64()))).append_column("behind", pa.array([float(behind)] * len(best)))
+                yield from got.combine_chunks().to_batches()
+
+        vectors = ", ".join(f"{n} array<double>" for n in names)
+        rows = sorted(own.mapInArrow(run, f"k {kind}, {vectors}, near array<double>, behind double").collect(), key=lambda r: r["k"])
+        if not rows:
+            break
+        xs, near = units(rows), np.asarray([r["near"] for r in rows]).T.copy()
+        behind = max(r["behind"] for r in rows) if min(weights) >= 0 else np.inf
+        open_, first = np.ones(len(rows), bool), True
+        while len(out) < k and open_.any():
+            gain = sum(w * d for w, d in zip(weights, near))
+            j = int(np.where(open_, gain, -np.inf).argmax())
+            if not first and gain[j] <= behind:
+                break
+            first, open_[j] = False, False
+            out.append((rows[j]["k"], len(out) + 1, float(gain[j])))
+            taken.add(rows[j]["k"])
+            for i, x in enumerate(xs):
+                chosen[i].append(x[j])
+                near[i] = np.minimum(near[i], 1 - x @ x[j])
+        shared.destroy()
+    return spark.createDataFrame(out, f"{key} {kind}, rank int, gain double")
+
+
 def shared_components(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """key, component: rows that share a non-null value of any of cols, also through others; component is the least key.
 

@@ -283,3 +283,13 @@ def test_central_rows_of_many_stand_for_all_rows(spark):
         live.remove(b)
     label = SE._ward(few, np.ones(60), 7)
     assert {frozenset(np.flatnonzero(label == c).tolist()) for c in range(7)} == {frozenset(member[a]) for a in live}
+
+
+@pytest.mark.parametrize("brought", [256, 3])
+def test_varied_rows_of_many_are_those_of_all(spark, monkeypatch, brought):
+    monkeypatch.setattr(SE, "BROUGHT", brought)
+    x = np.random.default_rng(8).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v, v[:2]) for i, v in enumerate(x.tolist())], "id long, v array<double>, head array<double>").repartition(5)
+    terms = {"all": ("v", 0.7), "head": ("head", 0.3)}
+    whole, parted = ([(r["id"], r["rank"], round(r["gain"], 9)) for r in SE.greedy_varied(df, "id", 25, terms, seeds=[1, 2], bound=b).orderBy("rank").collect()] for b in (1000, 50))
+    assert whole == parted and len(whole) == 25 and not {1, 2} & {i for i, *_ in whole}
