@@ -23,8 +23,8 @@ from molquarry.runtime import Scratch
 
 #: Documents of the hand-labelled sample that the first lexicon is learned from, at most.
 LABELLED = 4_000
-#: Words of the lexicon, at most: those of the most weight in the corpus.
-LEXICON = 60_000
+#: Strong votes that a word needs for the lexicon, and votes that a source or address needs to speak.
+LEAST_VOTES, LEAST_META = 5, 50
 #: Share of its sentences that a document's subject needs.
 SHARE = 0.25
 #: Words that a line needs to be a sentence. Fewer are codes, figures or headings.
@@ -133,7 +133,10 @@ REMEMBERED = 300_000
 
 
 def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataFrame:
-    """What the corpus says, by kind: words and metadata by subject, lines by the number of texts, documents."""
+    """What the corpus says, by kind: words and metadata by subject, lines by the number of texts, documents.
+
+    Each of c copies of a text counts 1/c in words, lines and documents, wherever they stand.
+    """
     k = shared.value.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,20 +144,19 @@ def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataF
         words = np.zeros((1, k))
         lines: Counter = Counter()
         other: dict[str, np.ndarray] = {}
-        seen: set[int] = set()
-        n = 0
+        n = 0.0
 
         def flush() -> pa.RecordBatch:
             nonlocal words, n
             known = np.flatnonzero(words.any(1))
-            repeated = [(x, c) for x, c in lines.items() if c > 1]
-            kinds = ["w"] * len(known) + ["l"] * len(repeated) + ["m"] * len(other) + ["n"]
-            names = [*(judge.number.words[i - 1] for i in known), *(str(x) for x, _ in repeated), *other, ""]
-            table = np.concatenate([words[known], np.zeros((len(repeated), k)), np.asarray([*other.values()]).reshape(-1, k), np.zeros((1, k))])
-            much = [0] * len(known) + [c for _, c in repeated] + [0] * len(other) + [n]
+            kinds = ["w"] * len(known) + ["m"] * len(other) + ["l"] * len(lines) + ["n"]
+            names = [*(judge.number.words[i - 1] for i in known), *other, *map(str, lines), ""]
+            table = np.concatenate([words[known], np.asarray([*other.values()]).reshape(-1, k)])
+            much = [0.0] * len(table) + [*lines.values(), n]
             by = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, k, dtype=np.int32)), pa.array(table.ravel()))
-            out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), by, pa.array(much, pa.int64())], names=["kind", "name", "by", "n"])
-            words, n = np.zeros((1, k)), 0
+            by = pa.concat_arrays([by, pa.nulls(len(lines) + 1, by.type)])
+            out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), by, pa.array(much, pa.float64())], names=["kind", "name", "by", "n"])
+            words, n = np.zeros((1, k)), 0.0
             lines.clear(), other.clear(), judge.forget()
             return out
 
@@ -162,21 +164,16 @@ def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataF
             for start in range(0, b.num_rows, _BATCH):
                 part = b.slice(start, _BATCH)
                 texts = part.column(0).to_pylist()
-                new = np.zeros(len(texts), bool)
-                for i, t in enumerate(texts):
-                    h = hash(t)
-                    if h not in seen:
-                        new[i] = True
-                        if len(seen) < 1_000_000:
-                            seen.add(h)
-                n += int(new.sum())
+                weight = part.column(1 + len(extras)).to_numpy()
+                n += float(weight.sum())
                 numbers, owner, _, size, line, text_of, vote, strong = judge.judge(texts)
-                counts = new[text_of]
-                short, many = np.unique(line[counts & (size <= FURNITURE_WORDS)], return_counts=True)
-                lines.update(dict(zip(short.tolist(), many.tolist())))
-                use = (counts & strong)[owner]
+                counts, few = weight[text_of], size <= FURNITURE_WORDS
+                short, code = np.unique(line[few], return_inverse=True)
+                for x, c in zip(short.tolist(), np.bincount(code.reshape(-1), counts[few], len(short)).tolist()):
+                    lines[x] += c
+                use = strong[owner]
                 words = np.concatenate([words, np.zeros((len(judge.number.words) + 1 - len(words), k))])
-                words += np.bincount(numbers[use].astype(np.int64) * k + vote[owner[use]], minlength=words.size).reshape(words.shape)
+                words += np.bincount(numbers[use].astype(np.int64) * k + vote[owner[use]], counts[owner[use]], words.size).reshape(words.shape)
                 voted = vote >= 0
                 for e in range(len(extras)):
                     names, code = np.unique(np.asarray([x or "" for x in part.column(1 + e).to_pylist()], object).astype(str), return_inverse=True)
@@ -188,7 +185,10 @@ def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataF
                     yield flush()
         yield flush()
 
-    return documents.select(text, *extras).filter(F.col(text).isNotNull()).mapInArrow(run, "kind string, name string, by array<double>, n long")
+    own = documents.select(text, *extras).filter(F.col(text).isNotNull()).withColumns({"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)})
+    copied = own.groupBy("_h", "_g").agg(F.count("*").alias("_c")).filter("_c > 1")
+    weighted = own.join(copied, ["_h", "_g"], "left").select(text, *extras, (1 / F.coalesce("_c", F.lit(1))).alias("_w"))
+    return weighted.mapInArrow(run, "kind string, name string, by array<double>, n double")
 
 
 def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, extras: list[str]) -> tuple[Lexicon, list[dict[str, int]]]:
@@ -201,11 +201,11 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
     found = _spread(shared, documents, text, extras).groupBy("kind", "name").agg(by.alias("by"), F.sum("n").alias("n")).withColumn("all", F.aggregate("by", F.lit(0.0), lambda a, x: a + x))
     found = Scratch(spark).keep(found)
     n_documents = found.filter("kind = 'n'").agg(F.sum("n")).first()[0] or 0
-    words = found.filter("kind = 'w' and all >= 5").orderBy(F.desc("all"), "name").limit(LEXICON).select("name", "by").toPandas()
+    words = found.filter(f"kind = 'w' and all >= {LEAST_VOTES - 1e-6}").select("name", "by").toPandas().sort_values("name", ignore_index=True)
     least = max(8, int(n_documents * FURNITURE_SHARE))
-    furniture = frozenset(int(r["name"]) for r in found.filter(f"kind = 'l' and n >= {least}").orderBy(F.desc("n"), "name").limit(10_000).collect())
+    furniture = frozenset(int(r["name"]) for r in found.filter(f"kind = 'l' and n >= {least - 1e-6}").select("name").collect())
     votes: list[dict[str, int]] = [{} for _ in extras]
-    meta = [(r["name"], np.asarray(r["by"])) for r in found.filter("kind = 'm' and all >= 50").orderBy(F.desc("all"), "name").limit(10_000).collect()]
+    meta = [(r["name"], np.asarray(r["by"])) for r in found.filter(f"kind = 'm' and all >= {LEAST_META}").orderBy("name").collect()]
     for e in range(len(extras)):
         own = {n.partition(":")[2]: c for n, c in meta if n.startswith(f"{e}:")}
         total = sum(own.values()) if own else None
@@ -217,7 +217,6 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
         return start, votes
     table = np.stack([np.asarray(x) for x in words["by"]])
     weights = log_odds(table, table.sum(0) + 1)
-    weights[table.sum(1) < 5] = 0
     # Words that the hand labels knew but the corpus hardly has stay as they were.
     known = dict(zip(words["name"], range(len(words))))
     extra = [w for w in start.entries if w not in known]
@@ -260,8 +259,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     Lines of fewer than LEAST_WORDS words, codes and page furniture are no sentences; a document without sentences
     has no row. Null and blank texts have none; repeated rows are judged each as one document if their keys are equal.
-    The two passes read whole texts; only the lexicon, the furniture and the counts of vote patterns, all of bounded
-    size, come to the driver. Without labels nothing can be learned and the result is empty.
+    The two passes read whole texts; only the words, lines, sources and addresses that are frequent enough to count and the
+    counts of vote patterns come to the driver. Without labels nothing can be learned and the result is empty.
     """
     spark = documents.sparkSession
     names = sorted(r["subject"] for r in subjects.select("subject").distinct().limit(1000).collect() if r["subject"])

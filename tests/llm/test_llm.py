@@ -317,6 +317,23 @@ def test_subjects(spark):
     assert subjects.document_subjects(docs, labels.limit(0), names).count() == 0
 
 
+def test_subjects_learn_the_same_however_rows_are_spread(spark):
+    rng = random.Random(9)
+    lexicon = {"law": "claim tribunal licence clause royalty counsel".split(), "sport": "match goal referee league trophy team".split()}
+    fill = "the report was shown near another office while people waited".split()
+    line = lambda s: " ".join(rng.sample(fill, 5) + rng.sample(lexicon[s], 5)).capitalize() + "."
+    furniture = "Page index and printed view of notes"
+    rows = [(i, "\n\n".join([line("law" if i % 2 else "sport") for _ in range(4)] + [furniture]), "mail", "a") for i in range(24)]
+    once = line("law") + "\n\nThis note stands in one text alone"
+    rows += [(100 + i, once, "mail", "a") for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, address string")
+    labels = spark.createDataFrame([(i, "law" if i % 2 else "sport") for i in range(24)], "doc_id long, subject string")
+    spread = [subjects.learn(docs.repartitionByRange(n, "doc_id"), labels, ["law", "sport"], "doc_id", "text", ["source", "address"]) for n in (1, 40)]
+    (one, a), (many, b) = spread
+    assert one.furniture == many.furniture and len(many.furniture) == 1 and a == b
+    assert one.entries.keys() == many.entries.keys() and all(one.entries[w] == pytest.approx(many.entries[w]) for w in one.entries)
+
+
 def test_accuracies_are_learned():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 4, 20_000)
