@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from molquarry.functions.text import strip_blanks
 from molquarry.llm.components import hook_and_shortcut, simple_edges
 
-#: Bits that the subset-sum tables of one part may take together.
+#: Bits of the subset-sum tables of one part that are kept together; beyond, tables are made again.
 MAX_BITS = 1 << 29
 #: Components of one size are numbered in so many buckets, none of which is sorted as a whole.
 BUCKETS = 256
@@ -19,8 +19,8 @@ def closest_subset(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS)
     """{size: how many} with a total as near to target as any choice gets; sizes is {size: how many there are}.
 
     Sums are bits of one integer; a size with many members is added in powers of two. Sizes of one fill up any
-    gap and need no table. Only if all tables together would pass max_bits are the largest sizes taken first as
-    long as they fit, until the rest can be solved exactly.
+    gap and need no table. Tables that together would pass max_bits are not all kept: they are made again for each
+    half of the pieces, so the choice stays the nearest and a table for each halving is held.
     """
     taken: dict[int, int] = {}
     pieces = []
@@ -32,15 +32,9 @@ def closest_subset(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS)
             k = min(k, left)
             pieces.append((size, k))
             left, k = left - k, 2 * k
-    while pieces and len(pieces) * 2 * target > max_bits:
-        size, k = pieces.pop(0)
-        if size * k <= target:
-            taken[size], target = taken.get(size, 0) + k, target - size * k
     ones = sizes.get(1, 0)
     mask, sums = (1 << (2 * target + 1)) - 1, 1
-    before = []
     for size, k in pieces:
-        before.append(sums)
         sums |= (sums << size * k) & mask
     low = sums & ((1 << (target + 1)) - 1)
     under = low.bit_length() - 1
@@ -52,9 +46,22 @@ def closest_subset(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS)
         at, fill = over, 0
     if fill:
         taken[1] = taken.get(1, 0) + fill
-    for (size, k), had in zip(reversed(pieces), reversed(before)):
-        if not had >> at & 1:
-            taken[size], at = taken.get(size, 0) + k, at - size * k
+    open_ = [(0, len(pieces), 1)]  # stretches of pieces, the last on top, with the sums before each
+    while open_:
+        low_, high, had = open_.pop()
+        if high - low_ > 1 and (high - low_) * 2 * target > max_bits:
+            middle, then = (low_ + high) // 2, had
+            for size, k in pieces[low_:middle]:
+                then |= (then << size * k) & mask
+            open_ += [(low_, middle, had), (middle, high, then)]
+            continue
+        before = []
+        for size, k in pieces[low_:high]:
+            before.append(had)
+            had |= (had << size * k) & mask
+        for (size, k), had in zip(reversed(pieces[low_:high]), reversed(before)):
+            if not had >> at & 1:
+                taken[size], at = taken.get(size, 0) + k, at - size * k
     return {s: n for s, n in taken.items() if n}
 
 

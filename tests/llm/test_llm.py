@@ -117,6 +117,20 @@ def test_closest_subset():
         assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in every)
 
 
+@pytest.mark.parametrize("max_bits", [1, 300, 2000])
+def test_closest_subset_beyond_the_bits_kept(max_bits):
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = {rng.randrange(2, 40): rng.randrange(1, 6) for _ in range(6)}
+        target = rng.randrange(1, 120)
+        every = {0}
+        for s, n in sizes.items():
+            every = {x + s * k for x in every for k in range(n + 1)}
+        got = splits.closest_subset(sizes, target, max_bits)
+        assert all(0 < n <= sizes[s] for s, n in got.items())
+        assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in every)
+
+
 def test_grouped_splits(spark, sf):
     df = spark.read.parquet(f"{sf}/scaffolds.parquet").withColumn("component", F.lit(0)).withColumn("split", F.lit("clash"))
     got = {r["row_id"]: (r["component"], r["split"]) for r in splits.grouped_splits(df, "row_id", ["molecule", "warhead_scaffold"]).collect()}
