@@ -1,8 +1,10 @@
-"""Evaluation passages inside training documents (problem 9), found by filters that lose nothing.
+"""Evaluation passages inside training documents by spaced seeds (problem 9), losing nothing that counts.
 
-Words in a row are found by a hash of RUN words. A passage that repeats SHARE of an item's words lacks at most the rest
-of them, so of any set of the item's words it holds all but so many: the item's rarest words are looked up, and where
-enough of them stand within a passage's length, the words around are aligned in order and judged.
+A seed is three words with up to SKIP - 1 words ignored after each of the first two: nine masks, taken of both sides,
+so that words left out of a passage, put in or replaced shift nothing. Of the words that a passage repeats in order, at
+most so many neighbours can be further apart than the masks reach, in the item or in the text; the other triples are
+shared seeds, `needed_seeds` of them at least. Seeds of items and of documents meet in a join of their hashes; where
+enough meet within a passage's length, the words around them are aligned in order and judged.
 """
 
 from __future__ import annotations
@@ -11,180 +13,281 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm.words import batch_words
+from molquarry.llm.words import END, batch_words
+from molquarry.runtime import Scratch, replicated, salted
 
-#: Words in a row, and share of an item's words within a passage of at most STRETCH times its length, that count.
-RUN, SHARE, STRETCH = 16, 0.8, 1.25
-#: Items that one pass over the documents takes: their words and runs are some 200 bytes a word. More items take more passes.
-BLOCK_ITEMS = 20_000
-#: Rare words of an item that must meet in a passage: this share of its words. It decides the work, not the result.
-MEET = 0.2
-#: Places of rare words that are sorted at once, but for a text that has more.
-_HITS = 2_000_000
+#: Words in a row, and share of an item's words (as a fraction) within a passage of at most STRETCH times its length, that count.
+RUN, SHARE, STRETCH = 16, (4, 5), (5, 4)
+#: The masks: the second and third word of a seed stand 1 to SKIP places after the one before.
+SKIP = 3
+#: Bits of the filter of the items' seeds: for each seed so many, within 2^LEAST_BITS and 2^MOST_BITS (64 MB).
+FILTER_BITS, LEAST_BITS, MOST_BITS = 64, 16, 29
+#: Word hashes that a task remembers.
+REMEMBERED = 1_000_000
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D))
+_ITEM = "i long, n int, width int, need int, words binary"
 
 
-class ItemIndex:
-    """Rare words and runs of one block of items."""
+def width(n: int) -> int:
+    """The longest passage that can repeat an item of n words."""
+    return n * STRETCH[0] // STRETCH[1]
 
-    def __init__(self, ids: list[int], texts: list[str]):
+
+def least_words(n: int) -> int:
+    """Words of an item of n words that a passage must repeat."""
+    return -(-n * SHARE[0] // SHARE[1])
+
+
+def needed_seeds(n: int) -> int:
+    """Seeds, at different places of the text, that every passage that counts shares with an item of n words.
+
+    Of the m words in order, m - 2 triples are neighbours. A gap is too wide if it skips SKIP places or more, so the
+    words left out allow (n - m) / SKIP such gaps and the words put in (width - m) / SKIP; each spoils two triples.
+    RUN words in a row share RUN - 2. Items of one and two words have one seed of their own.
+    """
+    m = least_words(n)
+    if n < 3:
+        return 1
+    triples = m - 2 - 2 * ((n - m) // SKIP + (width(n) - m) // SKIP)
+    return min(triples, RUN - 2) if n >= RUN else triples
+
+
+class WordHashes(dict):
+    """Word to its 64-bit hash, the same in every task; 0 ends a text."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word) or 1
+        return h
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, each text closed by 0; where each text begins and all end)."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self[END] = 0
         words, begin = batch_words(texts)
-        self.ids = np.asarray(ids, np.int64)
-        own = [words[a : b - 1] for a, b in zip(begin[:-1], begin[1:])]
-        vocabulary = sorted({w for x in own for w in x})
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.number["\x00"] = -1
-        self.items = [np.fromiter((self.number[w] for w in x), np.int64, len(x)) for x in own]
-        self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
-        self.widths = (self.lengths * STRETCH).astype(np.int64)
-        self.needs = -(-self.lengths * 4 // 5)
-        self.places: list[dict[int, int]] = []
-        for x in self.items:
-            at: dict[int, int] = {}
-            for p, w in enumerate(x.tolist()):
-                at[w] = at.get(w, 0) | 1 << p
-            self.places.append(at)
-        # Of the `meet + lengths - needs` rarest places of an item a passage that counts has at least `meet`.
-        self.meet = np.maximum(1, (self.lengths * MEET).astype(np.int64))
-        items_with = np.bincount(np.concatenate([np.unique(x) for x in self.items] or [np.zeros(0, np.int64)]), minlength=len(vocabulary) + 1)
-        word, item = [], []
-        for i, x in enumerate(self.items):
-            rare = x[np.lexsort((x, items_with[x]))][: self.meet[i] + self.lengths[i] - self.needs[i]]
-            rare = np.unique(rare)
-            word.append(rare), item.append(np.full(len(rare), i))
-        word, item = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (word, item))
-        order = np.argsort(word, kind="stable")
-        self.holders = item[order]
-        self.first = np.searchsorted(word[order], np.arange(len(vocabulary) + 2))
-        keys, item, pos = [], [], []
-        for i, x in enumerate(self.items):
-            k = _runs(x)
-            keys.append(k), item.append(np.full(len(k), i)), pos.append(np.arange(len(k)))
-        keys, item, pos = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (keys, item, pos))
-        order = np.argsort(keys, kind="stable")
-        self.runs = keys[order], item[order], pos[order]
-
-    def repeated(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, item) where RUN words of the item stand in a row."""
-        keys, item, pos = self.runs
-        own = _runs(numbers)
-        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-        at = np.flatnonzero(hi > lo)
-        for a in at.tolist():
-            for j in range(lo[a], hi[a]):
-                i, p = int(item[j]), int(pos[j])
-                if np.array_equal(numbers[a : a + RUN], self.items[i][p : p + RUN]):
-                    yield a, i
-
-    def candidates(self, numbers: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first, last + 1): stretches of a text that have all passages where enough rare words meet."""
-        known = np.maximum(numbers, 0)
-        n = np.where(numbers > 0, self.first[known + 1] - self.first[known], 0)
-        before = np.concatenate([[0], np.cumsum(n)])
-        t = 0
-        while t < len(begin) - 1:
-            z = max(t + 1, int(np.searchsorted(before[begin], before[begin[t]] + _HITS, "right")) - 1)
-            a, b = begin[t], begin[z]
-            place = np.repeat(np.arange(a, b), n[a:b])
-            item = self.holders[self.first[known[place]] + np.arange(before[b] - before[a]) - (before[place] - before[a])]
-            text = np.repeat(np.arange(t, z), np.diff(begin[t : z + 1]))[place - a]
-            order = np.lexsort((place, item, text))
-            place, item, text = place[order], item[order], text[order]
-            end = np.arange(len(place)) + self.meet[item] - 1
-            inside = np.minimum(end, max(len(place) - 1, 0))
-            met = (end == inside) & (text[inside] == text) & (item[inside] == item) & (place[inside] - place < self.widths[item])
-            at = np.flatnonzero(met)
-            text, item = text[at], item[at]
-            lo = np.maximum(begin[text], place[inside[at]] - self.widths[item] + 1)
-            hi = np.minimum(begin[text + 1] - 1, place[at] + self.widths[item])
-            new = np.ones(len(at), bool)
-            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
-            starts = np.flatnonzero(new)
-            ends = np.concatenate([starts[1:], [len(at)]])[: len(starts)] - 1
-            yield from zip(text[starts].tolist(), item[starts].tolist(), lo[starts].tolist(), hi[ends].tolist())
-            t = z
-
-    def holds(self, words: list[int], item: int) -> bool:
-        """Whether the words repeat SHARE of the item's words in order closely enough."""
-        at, m, need, width = self.places[item], int(self.lengths[item]), int(self.needs[item]), int(self.widths[item])
-        if _in_order(words, at, m) < need:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), begin
+
+
+def seeds(h: np.ndarray, short: tuple[bool, bool] = (False, False)) -> Iterator[tuple[np.ndarray, int]]:
+    """(hash of the seed from each place, places that it spans) for each mask; short: also of single words and of neighbours."""
+    with np.errstate(over="ignore"):
+        if short[0]:
+            yield _mixed(h * _ODD[1]), 1
+        for a in range(1, SKIP + 1):
+            two = max(len(h) - a, 0)
+            pair = _mixed(h[:two] * _ODD[0] + h[a : a + two]) * _ODD[1]
+            if a == 1 and short[1]:
+                yield _mixed(pair), 2
+            for b in range(1, SKIP + 1):
+                three = max(two - b, 0)
+                yield _mixed(pair[:three] + h[a + b : a + b + three]), a + b + 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def seed_hits(h: np.ndarray, bits: np.ndarray, shift: int, short: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, seed) of every seed of h that the filter knows and that lies in one text."""
+    place, key = [], []
+    ended = np.concatenate([[0], np.cumsum(h == 0)])
+    for own, span in seeds(h, short):
+        slot = own >> np.uint64(shift)
+        at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        at = at[ended[at + span] == ended[at]]
+        place.append(at), key.append(own[at])
+    return np.concatenate(place), np.concatenate(key)
+
+
+class Passage:
+    """An item that passages are judged by."""
+
+    def __init__(self, words: np.ndarray):
+        self.n, self.words = len(words), words
+        self.at: dict[int, int] = {}
+        for p, w in enumerate(words.tolist()):
+            self.at[w] = self.at.get(w, 0) | 1 << p
+        self.runs = set(_runs(words).tolist())
+
+    def in_order(self, words: list[int]) -> int:
+        """The longest common subsequence with the item, its whole state in the bits of one number."""
+        full = (1 << self.n) - 1
+        state = full
+        for w in words:
+            match = self.at.get(w)
+            if match:
+                both = state & match
+                state = ((state + both) | (state - both)) & full
+        return self.n - state.bit_count()
+
+    def stands_in(self, text: np.ndarray) -> bool:
+        """Whether a passage of the text repeats the item."""
+        words = text.tolist()
+        if self.runs and not self.runs.isdisjoint(_runs(text).tolist()):
+            own = {tuple(self.words[p : p + RUN].tolist()) for p in range(self.n - RUN + 1)}
+            if any(tuple(words[a : a + RUN]) in own for a in range(len(words) - RUN + 1)):
+                return True
+        need, wide = least_words(self.n), width(self.n)
+        if not self.n or self.in_order(words) < need:
             return False
-        there = np.fromiter((w in at for w in words), bool, len(words))
+        there = np.fromiter((w in self.at for w in words), bool, len(words))
         upto = np.concatenate([[0], np.cumsum(there)])
         start = np.flatnonzero(there)  # a passage may as well begin with a word of the item
-        enough = upto[np.minimum(start + width, len(words))] - upto[start]
+        enough = upto[np.minimum(start + wide, len(words))] - upto[start]
         start, enough = start[enough >= need], enough[enough >= need]
-        return any(_in_order(words[s : s + width], at, m) >= need for s in start[np.argsort(-enough, kind="stable")].tolist())
+        return any(self.in_order(words[s : s + wide]) >= need for s in start[np.argsort(-enough, kind="stable")].tolist())
 
 
-def _runs(numbers: np.ndarray) -> np.ndarray:
+def _runs(words: np.ndarray) -> np.ndarray:
     """A hash of the RUN words from each place that has so many."""
-    key, size = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
-    while size < RUN:
-        n = max(len(key) - size, 0)
-        key = (key[:n] ^ (key[:n] >> np.uint64(29))) * np.uint64(0x5851F42D4C957F2D) + key[size : size + n]
-        size *= 2
+    key, size = words * _ODD[0], 1
+    with np.errstate(over="ignore"):
+        while size < RUN:
+            n = max(len(key) - size, 0)
+            key = _mixed(key[:n]) * _ODD[1] + key[size : size + n]
+            size *= 2
     return key
 
 
-def _in_order(words: list[int], places: dict[int, int], m: int) -> int:
-    """The longest common subsequence with the item, its whole state in the bits of one number."""
-    full = (1 << m) - 1
-    state = full
-    for w in words:
-        match = places.get(w)
-        if match:
-            both = state & match
-            state = ((state + both) | (state - both)) & full
-    return m - state.bit_count()
+def item_table(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """i, n, width, need, words (their hashes): items that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            h, begin = hashes.of(b.column(1).to_pylist())
+            sizes = np.diff(begin) - 1
+            keep = np.flatnonzero(sizes > 0)
+            ints = lambda f: pa.array([f(n) for n in sizes[keep].tolist()], pa.int32())
+            words = pa.array([h[begin[t] : begin[t + 1] - 1].tobytes() for t in keep.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), ints(int), ints(width), ints(needed_seeds), words], names=["i", "n", "width", "need", "words"])
+
+    own = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    return own.mapInArrow(run, _ITEM)
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """seed, i, width, need: each seed of each item once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, n, wide, need, words in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.frombuffer(words, np.uint64)
+                own = np.unique(np.concatenate([k for k, span in seeds(h, (n == 1, n == 2)) if n > 2 or span == n]))
+                same = lambda x, kind: pa.array(np.full(len(own), x), kind)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), same(i, pa.int64()), same(wide, pa.int32()), same(need, pa.int32())], names=["seed", "i", "width", "need"])
+
+    return items.mapInArrow(run, "seed long, i long, width int, need int")
+
+
+def seed_filter(known: DataFrame, log_bits: int) -> np.ndarray:
+    """A bit for the upper log_bits bits of each seed, made where the seeds are; 2^(log_bits - 3) bytes come together."""
+    slot = F.shiftrightunsigned("seed", 64 - log_bits) + 1
+    rows = known.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    table = np.zeros(max(1 << log_bits - 3, 4096), np.uint8)
+    for r in rows:
+        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def dense_stretches(place: np.ndarray, begin: np.ndarray, enough: int, wide: int) -> list[tuple[int, int, int]]:
+    """(text, first, last + 1): stretches with all passages of at most `wide` words in which `enough` of the places stand."""
+    place = np.unique(place)
+    if len(place) < enough:
+        return []
+    text = np.searchsorted(begin, place, "right") - 1
+    a, z = place[: len(place) - enough + 1], place[enough - 1 :]
+    ok = (z - a < wide) & (text[: len(a)] == text[enough - 1 :])
+    a, z, text = a[ok], z[ok], text[: len(ok)][ok]
+    lo, hi = np.maximum(begin[text], z - wide + 1), np.minimum(begin[text + 1] - 1, a + wide)
+    new = np.ones(len(a), bool)
+    new[1:] = (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(a)]])[: len(first)] - 1
+    return list(zip(text[first].tolist(), lo[first].tolist(), hi[last].tolist()))
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_key): each document with each item of which it holds a passage; documents are read whole.
+    """(key, item_key): each document with each item of which it holds a passage; documents are read whole, once.
 
     A passage is RUN words of the item in a row, or SHARE of its words in order within at most STRETCH times its
     length. Case, punctuation, white space, markup, invisible characters and look-alikes don't matter. Null, empty
-    and blank texts hold nothing, and items without words are held by none; repeated rows are judged each. Items are taken in blocks of BLOCK_ITEMS, so what is broadcast doesn't grow with them.
+    and blank texts hold nothing, and items without words are held by none; null keys are left out, of repeated keys
+    each text counts. One pass serves any number of items: documents are filtered by a table of bits of bounded size,
+    what it lets through meets the items' seeds in a salted join. Stretches of equal words are judged once.
     """
-    spark = documents.sparkSession
-    schema = f"{key} long, {item_key} long"
-    blocks = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
-    found = spark.createDataFrame([], schema)
-    pending: list = []
-
-    def search(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(ItemIndex([r["i"] for r in block], [r["t"] for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index: ItemIndex = shared.value
-            number = index.number
-            for b in batches:
-                for start in range(0, b.num_rows, 2000):
-                    part = b.slice(start, 2000)
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    words, begin = batch_words(part.column(1).to_pylist())
-                    numbers = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
-                    text_of = np.repeat(np.arange(len(ids)), np.diff(begin))
-                    got = {(int(text_of[a]), i) for a, i in index.repeated(numbers)}
-                    for t, i, a, z in index.candidates(numbers, begin):
-                        if (t, i) not in got and index.holds(numbers[a:z].tolist(), i):
-                            got.add((t, i))
-                    pairs = sorted(got)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[[t for t, _ in pairs]] if pairs else [], pa.int64()), pa.array(index.ids[[i for _, i in pairs]] if pairs else [], pa.int64())],
-                        names=[key, item_key],
-                    )
-
-        wanted = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-        return wanted.mapInArrow(run, schema)
-
-    for row in blocks.toLocalIterator():
-        pending.append(row)
-        if len(pending) == BLOCK_ITEMS:
-            found, pending = found.unionByName(search(pending)), []
-    return found.unionByName(search(pending)) if pending else found
+    spark: SparkSession = documents.sparkSession
+    scratch = Scratch(spark)
+    own = scratch.keep(item_table(items, item_key, item_text))
+    known = scratch.keep(item_seeds(own))
+    facts = own.agg(F.sum("n").alias("words"), F.max("width").alias("wide"), F.min("need").alias("enough"), F.max(F.col("n") == 1).alias("one"), F.max(F.col("n") == 2).alias("two")).first()
+    if not facts["words"]:
+        scratch.drop()
+        return spark.createDataFrame([], f"{key} long, {item_key} long")
+    wide, enough, short = facts["wide"], facts["enough"], (bool(facts["one"]), bool(facts["two"]))
+    log_bits = min(max(int(facts["words"] * SKIP**2 * FILTER_BITS).bit_length(), LEAST_BITS), MOST_BITS)
+    shared, shift = spark.sparkContext.broadcast(seed_filter(known, log_bits)), 64 - log_bits
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                h, begin = hashes.of(part.column(1).to_pylist())
+                place, _ = seed_hits(h, shared.value, shift, short)
+                found = dense_stretches(place, begin, enough, wide)
+                words = [h[a:z].tobytes() for _, a, z in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array([t for t, _, _ in found], pa.int64())), pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())],
+                    names=["k", "digest", "words"],
+                )
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for digest, words in zip(b.column(0), b.column(1).to_pylist()):
+                place, seed = seed_hits(np.frombuffer(words, np.uint64), shared.value, shift, short)
+                yield pa.RecordBatch.from_arrays([pa.array([digest.as_py()] * len(place), pa.binary()), pa.array(place.astype(np.int32)), pa.array(seed.view(np.int64))], names=["digest", "place", "seed"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages: dict[bytes, Passage] = {}
+        for b in batches:
+            held = []
+            for words, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if item not in passages:
+                    if len(passages) > 10_000:
+                        passages.clear()
+                    passages[item] = Passage(np.frombuffer(item, np.uint64))
+                held.append(passages[item].stands_in(np.frombuffer(words, np.uint64)))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["digest", "i"]).filter(pa.array(held, pa.bool_()))
+
+    wanted = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string"))
+    dense = scratch.keep(wanted.mapInArrow(stretches, "k long, digest binary, words binary"))
+    distinct = scratch.keep(dense.groupBy("digest").agg(F.any_value("words").alias("words")))
+    met = salted(distinct.mapInArrow(meeting, "digest binary, place int, seed long"), "digest", "place").join(replicated(known), ["seed", "_salt"])
+    # A passage that begins in one stretch of `width` places ends in the next at the latest.
+    buckets = F.explode(F.array(F.floor(F.col("place") / F.col("width")), F.floor(F.col("place") / F.col("width")) - 1))
+    enough_met = met.select("digest", "i", "width", "need", "place", buckets.alias("bucket")).groupBy("digest", "i", "width", "need", "bucket").agg(F.count_distinct("place").alias("n")).filter("n >= need and bucket >= 0")
+    # Those before the first place are the first bucket's too.
+    around = salted(enough_met, "digest", "bucket").join(replicated(own.select("i", F.col("width").alias("width"), F.col("words").alias("item"))), ["i", "width", "_salt"]).drop("_salt")
+    around = around.join(distinct, "digest").select("digest", "i", F.expr("substring(words, cast(bucket * width * 8 + 1 as int), width * 16)").alias("words"), "item")
+    found = scratch.keep(around.mapInArrow(judged, "digest binary, i long").distinct())
+    pairs = salted(dense.select("k", "digest"), "k").join(replicated(found), ["digest", "_salt"]).select(F.col("k").alias(key), F.col("i").alias(item_key)).distinct()
+    return _last(scratch, pairs)
+
+
+def _last(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """df written; the tables that it was made from are deleted."""
+    got = scratch.keep(df)
+    scratch.drop(but=1)
+    return got
 
 
 def leakage_report(found: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:

@@ -249,10 +249,12 @@ def test_leaks(spark):
     df = spark.createDataFrame([(k, t, k) for k, t in docs.items()] + [(None, inside(item), 0)], "doc_id long, text string, item_id long")
     items = spark.createDataFrame([(7, " ".join(item), "s"), (8, None, "s"), (9, "one two", "s"), (None, " ".join(item), "s")], "item_id long, text string, suite string")
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, items).collect()}
-    assert got == {(k, 7) for k in (1, 2, 4, 11, 12)}
+    # Of document 6, 62 words in a row, a quarter more than the item's 50, hold 41 of them in order: 40 are enough.
+    expected = {(k, 7) for k, t in docs.items() if t and holds_by_definition(re.findall("[a-z]+", t[-5000:].lower()), item)}
+    assert got == expected == {(k, 7) for k in (1, 2, 4, 6, 11, 12)}
     assert leakage.leaks(df, items.limit(0)).count() == 0 and leakage.leaks(df.limit(0), items).count() == 0
     report = {r["item_id"]: r["n_documents"] for r in leakage.leakage_report(leakage.leaks(df, items), items).collect()}
-    assert report[7] == 5 and report[9] == 0
+    assert report[7] == 6 and report[9] == 0
 
 
 def lcs(a, b):
@@ -295,6 +297,44 @@ def test_leaks_of_left_out_and_put_in_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, table).collect()} == expected
 
 
+def test_seeds_that_any_passage_shares():
+    """Every text that counts has the seeds it needs, however its words are left out and put in."""
+    rng = random.Random(3)
+    for n in [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 16, 20, 29, 47, 61, 80]:
+        assert leakage.needed_seeds(n) >= 1
+        for _ in range(30):
+            item = list(range(1, n + 1))
+            kept = sorted(rng.sample(item, leakage.least_words(n)))
+            while len(kept) < leakage.width(n) and rng.random() < 0.98:
+                kept.insert(rng.randrange(len(kept) + 1), 10_000 + rng.randrange(5))
+            a, b = (np.asarray(x, np.uint64) for x in (item, kept))
+            short = (n == 1, n == 2)
+            own = np.concatenate([k for k, span in leakage.seeds(a, short) if n > 2 or span == n])
+            places = {p for k, span in leakage.seeds(b, short) for p in np.flatnonzero(np.isin(k, own)).tolist()}
+            assert len(places) >= leakage.needed_seeds(n)
+
+
+def test_leaks_lose_nothing_at_any_share_of_left_out_and_put_in_words(spark):
+    """Dropped, inserted and replaced words at the rates that were once lost; items of 4 to 60 words; copies of a text."""
+    rng = random.Random(5)
+    items = {n: [f"w{rng.randrange(3000)}" for _ in range(n)] for n in (4, 5, 6, 10, 20, 40, 60)}
+    docs = {}
+    for out, put in ((0.2, 0.1), (0.2, 0.2), (0.2, 0.44), (0.1, 0.25), (0.15, 0.0)):
+        for n, item in items.items():
+            for _ in range(4):
+                gone = set(rng.sample(range(n), int(n * out)))
+                text = [w for j, w in enumerate(item) if j not in gone]
+                for _ in range(int(n * put)):
+                    text.insert(rng.randrange(len(text) + 1), f"w{rng.randrange(3000)}")
+                docs[len(docs)] = [f"w{rng.randrange(3000)}" for _ in range(25)] + text
+    expected = {(d, i) for d, text in docs.items() for i, item in items.items() if holds_by_definition(text, item)}
+    assert len(expected) > 0.6 * len(docs)
+    rows = [(k + c * 1000, " ".join(x)) for k, x in docs.items() for c in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, table).collect()} == {(d + c * 1000, i) for d, i in expected for c in range(3)}
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------------------------
 
 
