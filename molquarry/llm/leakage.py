@@ -3,8 +3,9 @@
 A seed is three words with up to SKIP - 1 words ignored after each of the first two: nine masks, taken of both sides,
 so that words left out of a passage, put in or replaced shift nothing. Of the words that a passage repeats in order, at
 most so many neighbours can be further apart than the masks reach, in the item or in the text; the other triples are
-shared seeds, `needed_seeds` of them at least. Seeds of items and of documents meet in a join of their hashes; where
-enough meet within a passage's length, the words around them are aligned in order and judged.
+shared seeds, `shared_seeds` of them at least. So of an item only the seeds at its rarest places are joined with the
+documents' seeds; where MEET of them meet within a passage's length, the words around are aligned in order and judged.
+A solid mask of RUN words finds words in a row.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.llm.words import END, batch_words
-from molquarry.runtime import Scratch, replicated, salted
+from molquarry.runtime import Scratch
 
 #: Words in a row, and share of an item's words (as a fraction) within a passage of at most STRETCH times its length, that count.
 RUN, SHARE, STRETCH = 16, (4, 5), (5, 4)
 #: The masks: the second and third word of a seed stand 1 to SKIP places after the one before.
 SKIP = 3
-#: Bits of the filter of the items' seeds: for each seed so many, within 2^LEAST_BITS and 2^MOST_BITS (64 MB).
-FILTER_BITS, LEAST_BITS, MOST_BITS = 64, 16, 29
-#: Word hashes that a task remembers.
-REMEMBERED = 1_000_000
+#: Places of shared seeds that must meet in a passage, or all that it must share if these are fewer. It decides the work, not the result.
+MEET = 10
+#: Words of the items that are joined at once: some 200 bytes each. More items take more blocks of the same size.
+BLOCK_WORDS = 200_000
+#: Bits of the filter before the join; words of documents that are joined at once; word hashes that a task remembers.
+FILTER_BITS, AT_ONCE, REMEMBERED = 24, 1_000_000, 1_000_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D))
-_ITEM = "i long, n int, width int, need int, words binary"
 
 
 def width(n: int) -> int:
@@ -42,18 +44,15 @@ def least_words(n: int) -> int:
     return -(-n * SHARE[0] // SHARE[1])
 
 
-def needed_seeds(n: int) -> int:
-    """Seeds, at different places of the text, that every passage that counts shares with an item of n words.
+def shared_seeds(n: int) -> int:
+    """Seeds, beginning at different places of item and text, that a passage with SHARE of an item's n words has at least.
 
     Of the m words in order, m - 2 triples are neighbours. A gap is too wide if it skips SKIP places or more, so the
     words left out allow (n - m) / SKIP such gaps and the words put in (width - m) / SKIP; each spoils two triples.
-    RUN words in a row share RUN - 2. Items of one and two words have one seed of their own.
+    Items of one and two words have one seed of their own.
     """
     m = least_words(n)
-    if n < 3:
-        return 1
-    triples = m - 2 - 2 * ((n - m) // SKIP + (width(n) - m) // SKIP)
-    return min(triples, RUN - 2) if n >= RUN else triples
+    return 1 if n < 3 else m - 2 - 2 * ((n - m) // SKIP + (width(n) - m) // SKIP)
 
 
 class WordHashes(dict):
@@ -95,18 +94,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def seed_hits(h: np.ndarray, bits: np.ndarray, shift: int, short: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, seed) of every seed of h that the filter knows and that lies in one text."""
-    place, key = [], []
-    ended = np.concatenate([[0], np.cumsum(h == 0)])
-    for own, span in seeds(h, short):
-        slot = own >> np.uint64(shift)
-        at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-        at = at[ended[at + span] == ended[at]]
-        place.append(at), key.append(own[at])
-    return np.concatenate(place), np.concatenate(key)
-
-
 class Passage:
     """An item that passages are judged by."""
 
@@ -128,13 +115,15 @@ class Passage:
                 state = ((state + both) | (state - both)) & full
         return self.n - state.bit_count()
 
+    def repeats(self, words: np.ndarray) -> bool:
+        """Whether these RUN words stand in the item in a row."""
+        return any(np.array_equal(self.words[p : p + RUN], words) for p in range(self.n - RUN + 1))
+
     def stands_in(self, text: np.ndarray) -> bool:
         """Whether a passage of the text repeats the item."""
         words = text.tolist()
-        if self.runs and not self.runs.isdisjoint(_runs(text).tolist()):
-            own = {tuple(self.words[p : p + RUN].tolist()) for p in range(self.n - RUN + 1)}
-            if any(tuple(words[a : a + RUN]) in own for a in range(len(words) - RUN + 1)):
-                return True
+        if len(words) == RUN and self.repeats(text):
+            return True
         need, wide = least_words(self.n), width(self.n)
         if not self.n or self.in_order(words) < need:
             return False
@@ -157,137 +146,159 @@ def _runs(words: np.ndarray) -> np.ndarray:
     return key
 
 
-def item_table(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """i, n, width, need, words (their hashes): items that have words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            h, begin = hashes.of(b.column(1).to_pylist())
-            sizes = np.diff(begin) - 1
-            keep = np.flatnonzero(sizes > 0)
-            ints = lambda f: pa.array([f(n) for n in sizes[keep].tolist()], pa.int32())
-            words = pa.array([h[begin[t] : begin[t + 1] - 1].tobytes() for t in keep.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), ints(int), ints(width), ints(needed_seeds), words], names=["i", "n", "width", "need", "words"])
-
-    own = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    return own.mapInArrow(run, _ITEM)
-
-
-def item_seeds(items: DataFrame) -> DataFrame:
-    """seed, i, width, need: each seed of each item once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, n, wide, need, words in zip(*(c.to_pylist() for c in b.columns)):
-                h = np.frombuffer(words, np.uint64)
-                own = np.unique(np.concatenate([k for k, span in seeds(h, (n == 1, n == 2)) if n > 2 or span == n]))
-                same = lambda x, kind: pa.array(np.full(len(own), x), kind)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), same(i, pa.int64()), same(wide, pa.int32()), same(need, pa.int32())], names=["seed", "i", "width", "need"])
-
-    return items.mapInArrow(run, "seed long, i long, width int, need int")
-
-
-def seed_filter(known: DataFrame, log_bits: int) -> np.ndarray:
-    """A bit for the upper log_bits bits of each seed, made where the seeds are; 2^(log_bits - 3) bytes come together."""
-    slot = F.shiftrightunsigned("seed", 64 - log_bits) + 1
-    rows = known.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    table = np.zeros(max(1 << log_bits - 3, 4096), np.uint8)
-    for r in rows:
-        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return table
-
-
-def dense_stretches(place: np.ndarray, begin: np.ndarray, enough: int, wide: int) -> list[tuple[int, int, int]]:
-    """(text, first, last + 1): stretches with all passages of at most `wide` words in which `enough` of the places stand."""
-    place = np.unique(place)
-    if len(place) < enough:
-        return []
-    text = np.searchsorted(begin, place, "right") - 1
-    a, z = place[: len(place) - enough + 1], place[enough - 1 :]
-    ok = (z - a < wide) & (text[: len(a)] == text[enough - 1 :])
-    a, z, text = a[ok], z[ok], text[: len(ok)][ok]
-    lo, hi = np.maximum(begin[text], z - wide + 1), np.minimum(begin[text + 1] - 1, a + wide)
-    new = np.ones(len(a), bool)
-    new[1:] = (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(a)]])[: len(first)] - 1
-    return list(zip(text[first].tolist(), lo[first].tolist(), hi[last].tolist()))
+class SeedIndex:
+    """The seeds of a block of items, sorted for the join: each seed once, with the items that have it at a rare place."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray]):
+        self.ids = np.asarray(ids, np.int64)
+        self.passages = [Passage(x) for x in items]
+        self.widths = np.asarray([width(len(x)) for x in items], np.int64)
+        self.needs = np.asarray([min(MEET, shared_seeds(len(x))) for x in items], np.int64)
+        self.short = any(len(x) == 1 for x in items), any(len(x) == 2 for x in items)
+        own = [[(k, span) for k, span in seeds(x, (len(x) == 1, len(x) == 2)) if len(x) > 2 or span == len(x)] for x in items]
+        every, code = np.unique(_joined([k for x in own for k, _ in x]), return_inverse=True)
+        begin = np.cumsum([0, *(len(k) for x in own for k, _ in x)])
+        mask = iter(zip(begin[:-1], begin[1:]))
+        coded = [[code[slice(*next(mask))] for _ in x] for x in own]
+        frequent = np.bincount(_joined([np.unique(_joined(x)) for x in coded]).astype(np.int64), minlength=len(every))
+        word, item = [], []
+        for i, (x, masks) in enumerate(zip(items, coded)):
+            starts = max(len(x) - 2, 1)
+            cost = np.zeros(starts)
+            for c in masks:
+                cost[: len(c)] += frequent[c]
+            # Of any `starts - shared + need` places of an item a passage that counts shares a seed at `need`.
+            rare = np.zeros(starts, bool)
+            rare[np.argsort(cost, kind="stable")[: starts - shared_seeds(len(x)) + self.needs[i]]] = True
+            chosen = np.unique(_joined([c[rare[: len(c)]] for c in masks]))
+            word.append(chosen), item.append(np.full(len(chosen), i))
+        word, item = _joined(word).astype(np.int64), _joined(item).astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        used, first = np.unique(word[order], return_index=True)
+        self.keys, self.first, self.holders = every[used], np.append(first, len(word)), item[order]
+        self.runs = np.unique(_joined([_runs(x) for x in items]))
+        self.bits = _bit_table(self.keys), _bit_table(self.runs)
+
+    def meets(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last + 1): stretches of the words h, texts closed by 0, with all passages where enough seeds meet."""
+        ended = np.concatenate([[0], np.cumsum(h == 0)])
+        place, key = [], []
+        for own, span in seeds(h, self.short):
+            at = _known(self.bits[0], own)
+            at = at[ended[at + span] == ended[at]]
+            place.append(at), key.append(own[at])
+        place, key = np.concatenate(place), np.concatenate(key)
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        same = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        place, at = place[same], at[same]
+        n = self.first[at + 1] - self.first[at]
+        item = self.holders[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.unique(item * len(h) + np.repeat(place, n))
+        item, place = both // max(len(h), 1), both % max(len(h), 1)
+        last = np.arange(len(both)) + self.needs[item] - 1
+        inside = np.minimum(last, max(len(both) - 1, 0))
+        met = (last == inside) & (item[inside] == item) & (place[inside] - place < self.widths[item]) & (ended[place[inside]] == ended[place])
+        first, last, item = place[met], place[inside[met]], item[met]
+        ends = np.append(np.flatnonzero(h == 0), len(h))
+        text = ended[first]
+        lo, hi = np.maximum(np.where(text > 0, ends[text - 1] + 1, 0), last - self.widths[item] + 1), np.minimum(ends[text], first + self.widths[item])
+        new = np.ones(len(first), bool)
+        new[1:] = (item[1:] != item[:-1]) | (lo[1:] > hi[:-1]) | (text[1:] != text[:-1])
+        begins = np.flatnonzero(new)
+        finals = np.append(begins[1:], len(first))[: len(begins)] - 1
+        yield from zip(item[begins].tolist(), lo[begins].tolist(), hi[finals].tolist())
+        run = _runs(h)
+        at = _known(self.bits[1], run)
+        at = at[np.isin(run[at], self.runs)] if len(at) else at
+        for a in at.tolist():
+            words = h[a : a + RUN]
+            yield from ((i, a, a + RUN) for i, p in enumerate(self.passages) if int(run[a]) in p.runs and p.repeats(words))
+
+    def found(self, h: np.ndarray, begin: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of all passages that count. Words are joined AT_ONCE at a time, with the longest passage beyond."""
+        got: set[tuple[int, int]] = set()
+        for s in range(0, len(h), AT_ONCE):
+            for i, a, z in self.meets(h[s : s + AT_ONCE + max(int(self.widths.max()), RUN)]):
+                pair = int(np.searchsorted(begin, s + a, "right")) - 1, i
+                if pair not in got and self.passages[i].stands_in(h[s + a : s + z]):
+                    got.add(pair)
+        return got
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _bit_table(keys: np.ndarray) -> np.ndarray:
+    """A bit for the upper FILTER_BITS bits of each key."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the keys that the table of bits may know."""
+    slot = keys >> np.uint64(64 - FILTER_BITS)
+    return np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_key): each document with each item of which it holds a passage; documents are read whole, once.
+    """(key, item_key): each document with each item of which it holds a passage; documents are read whole.
 
     A passage is RUN words of the item in a row, or SHARE of its words in order within at most STRETCH times its
     length. Case, punctuation, white space, markup, invisible characters and look-alikes don't matter. Null, empty
     and blank texts hold nothing, and items without words are held by none; null keys are left out, of repeated keys
-    each text counts. One pass serves any number of items: documents are filtered by a table of bits of bounded size,
-    what it lets through meets the items' seeds in a salted join. Stretches of equal words are judged once.
+    each text counts. The items are the query set: blocks of BLOCK_WORDS of them are broadcast, each joined with all
+    documents where these are, so nothing is shuffled but the pairs. With several blocks the documents' words are
+    hashed once and written.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark)
-    own = scratch.keep(item_table(items, item_key, item_text))
-    known = scratch.keep(item_seeds(own))
-    facts = own.agg(F.sum("n").alias("words"), F.max("width").alias("wide"), F.min("need").alias("enough"), F.max(F.col("n") == 1).alias("one"), F.max(F.col("n") == 2).alias("two")).first()
-    if not facts["words"]:
-        scratch.drop()
-        return spark.createDataFrame([], f"{key} long, {item_key} long")
-    wide, enough, short = facts["wide"], facts["enough"], (bool(facts["one"]), bool(facts["two"]))
-    log_bits = min(max(int(facts["words"] * SKIP**2 * FILTER_BITS).bit_length(), LEAST_BITS), MOST_BITS)
-    shared, shift = spark.sparkContext.broadcast(seed_filter(known, log_bits)), 64 - log_bits
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = f"{key} long, {item_key} long"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             for start in range(0, b.num_rows, 2000):
                 part = b.slice(start, 2000)
                 h, begin = hashes.of(part.column(1).to_pylist())
-                place, _ = seed_hits(h, shared.value, shift, short)
-                found = dense_stretches(place, begin, enough, wide)
-                words = [h[a:z].tobytes() for _, a, z in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array([t for t, _, _ in found], pa.int64())), pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())],
-                    names=["k", "digest", "words"],
-                )
-
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for digest, words in zip(b.column(0), b.column(1).to_pylist()):
-                place, seed = seed_hits(np.frombuffer(words, np.uint64), shared.value, shift, short)
-                yield pa.RecordBatch.from_arrays([pa.array([digest.as_py()] * len(place), pa.binary()), pa.array(place.astype(np.int32)), pa.array(seed.view(np.int64))], names=["digest", "place", "seed"])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages: dict[bytes, Passage] = {}
-        for b in batches:
-            held = []
-            for words, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if item not in passages:
-                    if len(passages) > 10_000:
-                        passages.clear()
-                    passages[item] = Passage(np.frombuffer(item, np.uint64))
-                held.append(passages[item].stands_in(np.frombuffer(words, np.uint64)))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["digest", "i"]).filter(pa.array(held, pa.bool_()))
-
-    wanted = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string"))
-    dense = scratch.keep(wanted.mapInArrow(stretches, "k long, digest binary, words binary"))
-    distinct = scratch.keep(dense.groupBy("digest").agg(F.any_value("words").alias("words")))
-    met = salted(distinct.mapInArrow(meeting, "digest binary, place int, seed long"), "digest", "place").join(replicated(known), ["seed", "_salt"])
-    # A passage that begins in one stretch of `width` places ends in the next at the latest.
-    buckets = F.explode(F.array(F.floor(F.col("place") / F.col("width")), F.floor(F.col("place") / F.col("width")) - 1))
-    enough_met = met.select("digest", "i", "width", "need", "place", buckets.alias("bucket")).groupBy("digest", "i", "width", "need", "bucket").agg(F.count_distinct("place").alias("n")).filter("n >= need and bucket >= 0")
-    # Those before the first place are the first bucket's too.
-    around = salted(enough_met, "digest", "bucket").join(replicated(own.select("i", F.col("width").alias("width"), F.col("words").alias("item"))), ["i", "width", "_salt"]).drop("_salt")
-    around = around.join(distinct, "digest").select("digest", "i", F.expr("substring(words, cast(bucket * width * 8 + 1 as int), width * 16)").alias("words"), "item")
-    found = scratch.keep(around.mapInArrow(judged, "digest binary, i long").distinct())
-    pairs = salted(dense.select("k", "digest"), "k").join(replicated(found), ["digest", "_salt"]).select(F.col("k").alias(key), F.col("i").alias(item_key)).distinct()
-    return _last(scratch, pairs)
-
-
-def _last(scratch: Scratch, df: DataFrame) -> DataFrame:
-    """df written; the tables that it was made from are deleted."""
-    got = scratch.keep(df)
-    scratch.drop(but=1)
-    return got
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a : z - 1].tobytes() for a, z in zip(begin[:-1], begin[1:])], pa.binary())], names=["k", "words"])
+
+    texts = lambda df, k, t: df.filter(F.col(t).isNotNull() & F.col(k).isNotNull()).select(F.col(k).cast("long").alias("k"), F.col(t).cast("string").alias("t"))
+    own = scratch.keep(texts(items, item_key, item_text).mapInArrow(hashed, "k long, words binary").filter("length(words) > 0"))
+    total = own.agg(F.sum(F.length("words") / 8)).first()[0] or 0
+    blocks = int(-(-total // BLOCK_WORDS))
+    wanted = texts(documents, key, text)
+    if blocks > 1:
+        wanted = scratch.keep(wanted.mapInArrow(hashed, "k long, words binary"))
+
+    def search(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(SeedIndex([r["k"] for r in block], [np.frombuffer(r["words"], np.uint64) for r in block]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: SeedIndex = shared.value
+            hashes = WordHashes()
+            for b in batches:
+                for start in range(0, b.num_rows, 2000):
+                    part = b.slice(start, 2000)
+                    if pa.types.is_binary(part.schema.field(1).type):
+                        words = [np.frombuffer(w, np.uint64) for w in part.column(1).to_pylist()]
+                        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+                        h = np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint64))])
+                    else:
+                        h, begin = hashes.of(part.column(1).to_pylist())
+                    pairs = sorted(index.found(h, begin))
+                    t, i = ([p[x] for p in pairs] for x in (0, 1))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t, pa.int64())), pa.array(index.ids[i] if i else [], pa.int64())], names=[key, item_key])
+
+        return wanted.mapInArrow(run, schema)
+
+    found = spark.createDataFrame([], schema)
+    for n in range(blocks):
+        block = own.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == n).orderBy("k", "words").collect()
+        if block:
+            found = found.unionByName(search(block))
+    return found.distinct()
 
 
 def leakage_report(found: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:

@@ -301,7 +301,7 @@ def test_seeds_that_any_passage_shares():
     """Every text that counts has the seeds it needs, however its words are left out and put in."""
     rng = random.Random(3)
     for n in [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 16, 20, 29, 47, 61, 80]:
-        assert leakage.needed_seeds(n) >= 1
+        assert leakage.shared_seeds(n) >= 1
         for _ in range(30):
             item = list(range(1, n + 1))
             kept = sorted(rng.sample(item, leakage.least_words(n)))
@@ -311,7 +311,7 @@ def test_seeds_that_any_passage_shares():
             short = (n == 1, n == 2)
             own = np.concatenate([k for k, span in leakage.seeds(a, short) if n > 2 or span == n])
             places = {p for k, span in leakage.seeds(b, short) for p in np.flatnonzero(np.isin(k, own)).tolist()}
-            assert len(places) >= leakage.needed_seeds(n)
+            assert len(places) >= leakage.shared_seeds(n)
 
 
 def test_leaks_lose_nothing_at_any_share_of_left_out_and_put_in_words(spark):
