@@ -7,12 +7,14 @@ shuffles nothing and stays in the JVM.
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from molquarry.functions import scores
 from molquarry.functions.smiles import atom_count
@@ -34,12 +36,50 @@ class ScoringConfig:
     floor: float = 0.0
 
 
+#: A quoted text whose escapes mean the same in Python and in JSON; marks of a text, a reaction, a level once they are read.
+_QUOTED = """'[^'\\\\]*+(?:\\\\[\\\\'"nrtbf][^'\\\\]*+)*+'|"[^"\\\\]*+(?:\\\\[\\\\'"nrtbf][^"\\\\]*+)*+\""""
+_LEVELS = "map<string,array<array<string>>>"
+
+
+def _plain(c: Column) -> Column:
+    """Whether a literal is a map of numbers to lists of lists of one or two quoted texts, so that it is JSON but for its quotes."""
+    bare = F.regexp_replace(F.translate(c, "\x01\x02\x03", "???"), _QUOTED, "\x01")
+    for pattern, mark in (("\\s++", ""), ("\\[\x01(?:,(?:\x01|None))?+,?\\],?", "\x02"), ("[0-9]++:\\[\x02*+\\],?", "\x03")):
+        bare = F.regexp_replace(bare, pattern, mark)
+    # A comma stands between elements or after the last: both are Python, and after the last it isn't JSON.
+    return bare.rlike("^\\{\x03*+\\}$") & ~c.rlike(",\\s*+[\\]}]")
+
+
+@F.pandas_udf(StringType())
+def _literal_json(texts: pd.Series) -> pd.Series:
+    """Any other literal as JSON: tuples, adjacent texts, escapes. Null for what is no map of lists of reactions."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            got = ast.literal_eval(text.strip())
+            if not isinstance(got, dict):
+                return None
+            text_of = lambda x: x if x is None or isinstance(x, str) else str(x)
+            return json.dumps({str(k): [[text_of(x) for x in e] for e in v if isinstance(e, (list, tuple)) and e] for k, v in got.items() if isinstance(v, (list, tuple))})
+        except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+            return None
+
+    return texts.map(one)
+
+
 def parsed_literal(c: Column) -> Column:
-    """The map of depth to [[reaction, label], ...] that a literal writes; null if blank or malformed."""
-    json = F.regexp_replace(c, "(?<=[,\\[] ?)None(?= ?[,\\]])", "null")
-    whole = strip_blanks(json).rlike("(?s)^\\{.*\\}$")
+    """The map of depth to [[reaction, label], ...] that a Python literal writes; null if blank or malformed.
+
+    Plain literals are read in the JVM; only the others' texts are handed to Python's own literal parser.
+    """
     options = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
-    return F.when(whole, F.from_json(json, "map<string,array<array<string>>>", options))
+    outside = F.regexp_count(F.regexp_replace(c, _QUOTED, ""), F.lit("None"))
+    plain = _plain(c) & (outside == F.regexp_count(c, F.lit("None")))
+    read = F.when(plain, F.from_json(F.regexp_replace(c, "(?<=,\\s{0,9})None(?=\\s{0,9}\\])", "null"), _LEVELS, options))
+    hard = F.when((F.coalesce(strip_blanks(c), F.lit("")) != "") & read.isNull(), c)
+    return F.coalesce(read, F.from_json(_literal_json(hard), _LEVELS))
 
 
 def reactions(c: Column) -> Column:
@@ -88,15 +128,30 @@ def children(r: Column) -> Column:
 def longest_line(r: Column, start: Column) -> Column:
     """Reactions on the longest way from start to a leaf; a node met again on its own way ends it.
 
-    All ways grow together, a reaction a round, each an array of nodes; no way has more reactions than the route.
+    A level has each node once, however many ways lead there, so without a cycle the last level is as deep as the
+    longest way. Levels that outnumber the reactions show a cycle; only then ways are followed one by one.
     """
+    made = lambda nodes: F.filter(r, lambda x: F.array_contains(nodes, x["product"]))
+
+    def deeper(state: Column, _: Column) -> Column:
+        below = made(state["nodes"])
+        nodes = F.array_distinct(F.flatten(F.transform(below, lambda x: x["reactants"])))
+        return F.struct(nodes.alias("nodes"), (state["depth"] + F.least(F.size(below), F.lit(1))).alias("depth"))
+
+    begin = F.struct(F.array(start).alias("nodes"), F.lit(0).alias("depth"))
+    levels = F.aggregate(F.sequence(F.lit(1), F.size(r) + 1), begin, deeper, lambda state: state["depth"])
+    return let(levels, lambda n: F.when(n <= F.size(r), n).otherwise(_longest_way(r, start)))
+
+
+def _longest_way(r: Column, start: Column) -> Column:
+    """longest_line by all ways at once, each an array of nodes: for routes that run into a cycle."""
     last = lambda way: F.element_at(way, -1)
     grows = lambda way: F.exists(r, lambda x: x["product"] == last(way)) & ~F.array_contains(F.slice(way, 1, F.size(way) - 1), last(way))
     below = lambda way: F.flatten(F.transform(F.filter(r, lambda x: x["product"] == last(way)), lambda x: x["reactants"]))
 
     def longer(state: Column, _: Column) -> Column:
         growing = F.filter(state["ways"], grows)
-        ways = F.flatten(F.transform(growing, lambda way: F.transform(below(way), lambda c: F.array_append(way, c))))
+        ways = F.flatten(F.transform(growing, lambda way: F.transform(F.array_distinct(below(way)), lambda c: F.array_append(way, c))))
         return F.struct(ways.alias("ways"), (state["depth"] + F.least(F.size(growing), F.lit(1))).alias("depth"))
 
     begin = F.struct(F.array(F.array(start)).alias("ways"), F.lit(0).alias("depth"))
@@ -130,32 +185,11 @@ def with_reactions(df: DataFrame, route: str) -> DataFrame:
     return df.withColumn("reactions", reactions(parsed_literal(F.col(route))))
 
 
-def literal_fallback(df: DataFrame, route: str, key: str) -> DataFrame:
-    """key, route (as JSON) of non-blank cells that the JVM can't parse but Python's literal grammar can."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for b in batches:
-            out = []
-            for k, text in zip(b[key], b[route]):
-                try:
-                    got = ast.literal_eval(text)
-                except (ValueError, SyntaxError, MemoryError, RecursionError):
-                    continue
-                if isinstance(got, dict):
-                    out.append((k, json.dumps({str(a): v for a, v in got.items()})))
-            yield pd.DataFrame(out, columns=[key, route])
-
-    hard = df.filter((F.coalesce(strip_blanks(F.col(route)), F.lit("")) != "") & parsed_literal(F.col(route)).isNull())
-    return hard.select(key, route).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {route} string")
-
-
 def score_routes(df: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """df with tier, synthesizability, struct_* and score_note; columns of these names are replaced.
 
     A route without any step counts as empty: the ceiling if resolved, the floor if not, metrics null. Text
-    booleans are read as such, null as false. Malformed routes are empty ones.
+    booleans are read as such, null as false. Malformed routes are empty ones, and their note says so.
     """
     own = ["tier", "synthesizability", "score_note", *(f"struct_{n}" for n in ("n_steps", "n_bb", "max_depth", "lls", "coupling_fraction", "avg_branching", "fragment_balance"))]
     df = with_reactions(df.drop(*own), config.route)
@@ -180,7 +214,8 @@ def score_routes(df: DataFrame, config: ScoringConfig = ScoringConfig()) -> Data
     notes = {"solved": "fully solved", "unresolved": "partial route", "purchasable": "purchasable as it is", "unsolved": "no route found"}
     df = df.withColumns({"tier": tier, "synthesizability": F.when(there, structural).when(solved, F.lit(config.ceiling)).otherwise(F.lit(config.floor))})
     note = F.create_map(*(F.lit(x) for kv in notes.items() for x in kv))[F.col("tier")]
-    return df.withColumn("score_note", note)
+    malformed = r.isNull() & (F.coalesce(strip_blanks(F.col(config.route)), F.lit("")) != "")
+    return df.withColumn("score_note", F.when(malformed, F.concat(note, F.lit("; malformed route"))).otherwise(note))
 
 
 def shaped_candidates(df: DataFrame, resolved: str = "resolved", steps: tuple[int, int] = (2, 4), blocks: tuple[int, int] = (2, 4)) -> DataFrame:

@@ -27,12 +27,12 @@ def query(sql: str | None = None):
 TRUE = "lower(trim(resolved)) IN ('true','1','1.0','yes','t')"
 
 
-@query(f"SELECT row_id, smiles, synthesizability FROM (SELECT *, row_number() OVER (PARTITION BY smiles ORDER BY CASE WHEN coalesce({TRUE}, false) THEN 0 ELSE 1 END, (synthesizability IS NULL OR isnan(synthesizability)), synthesizability DESC, row_id) AS r FROM routes_train_val) WHERE r = 1")
+@query(f"SELECT row_id, smiles, CASE WHEN isnan(synthesizability) THEN NULL ELSE synthesizability END AS synthesizability FROM (SELECT *, row_number() OVER (PARTITION BY smiles ORDER BY CASE WHEN coalesce({TRUE}, false) THEN 0 ELSE 1 END, CASE WHEN isnan(synthesizability) THEN NULL ELSE synthesizability END DESC NULLS LAST, row_id) AS r FROM routes_train_val) WHERE r = 1")
 def best_route_per_molecule(s, d):
-    return R.best_per_key(table(s, d, "routes_train_val"), "smiles", "resolved", "synthesizability", "row_id").select("row_id", "smiles", "synthesizability")
+    return R.best_per_key(table(s, d, "routes_train_val"), "smiles", "resolved", "synthesizability", "row_id").select("row_id", "smiles", F.when(~F.isnan("synthesizability"), F.col("synthesizability")).alias("synthesizability"))
 
 
-@query(f"SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY smiles ORDER BY CASE WHEN coalesce({TRUE}, false) THEN 0 ELSE 1 END, (synthesizability IS NULL OR isnan(synthesizability)), synthesizability DESC, row_id) AS r FROM routes_train_val) WHERE r > 1")
+@query(f"SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY smiles ORDER BY CASE WHEN coalesce({TRUE}, false) THEN 0 ELSE 1 END, CASE WHEN isnan(synthesizability) THEN NULL ELSE synthesizability END DESC NULLS LAST, row_id) AS r FROM routes_train_val) WHERE r > 1")
 def dropped_routes(s, d):
     return R.dropped_duplicates(table(s, d, "routes_train_val"), "smiles", "resolved", "synthesizability", "row_id").select("row_id")
 

@@ -293,3 +293,36 @@ def test_varied_rows_of_many_are_those_of_all(spark, monkeypatch, brought):
     terms = {"all": ("v", 0.7), "head": ("head", 0.3)}
     whole, parted = ([(r["id"], r["rank"], round(r["gain"], 9)) for r in SE.greedy_varied(df, "id", 25, terms, seeds=[1, 2], bound=b).orderBy("rank").collect()] for b in (1000, 50))
     assert whole == parted and len(whole) == 25 and not {1, 2} & {i for i, *_ in whole}
+
+
+def test_literals_of_any_form(spark):
+    """What Python reads as a map of reactions is read, whatever its form; the rest is malformed."""
+    import ast
+
+    texts = [
+        "{1: [('T => A.BB', '')], 2: [('A => B', '')]}", "{1: (('T => A', None),)}", "{1: [['T => A' '.B', '']]}", "{1: [['T => A.B', None]]}", '{1: [["T => A.B", "it\'s"]]}',
+        "{1: [['C/C=C\\\\C => C\\x41', 'a\\tb']]}", "{1: [['T => A\\C', '']]}", " { 1 : [ [ 'T => A' , 'x' ] , ] , } ", "{'1': [['T => A']]}", "{}", "{1: []}", "{1: [['None, None] => A', None]]}",
+        "{1: [['T => A', null]]}", "not a dict at all {", "[1]", "{1: [['T => A', '']", "{a: [['T => A', '']]}", "", "  ", "{1: [['T => A', '', 3]]}", "{1: [['x\x01y => A', '']]}", "{1: [[None, 'x'], ['T => B', '']]}",
+    ]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, route string")
+    got = {r["i"]: r["reactions"] for r in RT.with_reactions(df, "route").collect()}
+    for i, text in enumerate([*texts, None]):
+        try:
+            made = ast.literal_eval(text.strip()) if text and text.strip() else None
+        except (ValueError, SyntaxError):
+            made = None
+        if not isinstance(made, dict):
+            assert got[i] is None, text
+            continue
+        expected = [(int(k), x[0].split("=>", 1)[0].strip(), [p.strip() for p in x[0].split("=>", 1)[1].split(".") if p.strip()], x[1] if len(x) > 1 else None) for k, v in made.items() for x in v if x and x[0] and "=>" in x[0]]
+        assert [tuple(r) for r in got[i]] == expected, text
+
+
+def test_longest_line_of_stacked_pairs(spark):
+    """Thirty layers of two routes to one intermediate: a way for each choice would be 2^30."""
+    steps = {2 * i + 1: [[f"N{i} => L{i}.R{i}", ""]] for i in range(30)} | {2 * i + 2: [[f"L{i} => N{i + 1}", ""], [f"R{i} => N{i + 1}", ""]] for i in range(30)}
+    cycle = "{1: [['T => A', '']], 2: [['A => B', '']], 3: [['B => A.C', '']]}"
+    df = spark.createDataFrame([(1, "true", str(steps)), (2, "true", cycle), (3, "false", "{1: oops}")], "i int, resolved string, route string")
+    got = {r["i"]: r for r in RT.score_routes(df).collect()}
+    assert got[1]["struct_lls"] == 60 and got[2]["struct_lls"] == 3
+    assert got[3]["tier"] == "unsolved" and got[3]["score_note"] == "no route found; malformed route"

@@ -17,7 +17,7 @@ SQL = entry.oracle_sql()
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return v if math.isnan(v) else float(f"{v:.9g}") + 0.0  # not a number equals nothing
     if isinstance(v, decimal.Decimal):
         return plain(float(v))
     if isinstance(v, (list, tuple)) and not hasattr(v, "asDict"):
