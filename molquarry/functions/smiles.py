@@ -16,7 +16,7 @@ def has_foreign_character(c: Column) -> Column:
 
 
 def unbalanced(c: Column) -> Column:
-    """Round or square brackets that don't pair."""
+    """Round or square brackets that don't pair; a bracket atom has no round ones."""
     bare = F.regexp_replace(c, BRACKET_ATOM, "")
     marks = F.regexp_replace(F.regexp_replace(bare, "%\\(\\d+\\)", ""), "[^()]", "")
     depth = F.aggregate(
@@ -24,7 +24,7 @@ def unbalanced(c: Column) -> Column:
         F.lit(0),
         lambda a, x: F.when(a < 0, a).when(x == "(", a + 1).when(x == ")", a - 1).otherwise(a),
     )
-    return bare.rlike("[\\[\\]]") | (depth != 0)
+    return bare.rlike("[\\[\\]]") | (depth != 0) | c.rlike("\\[[^\\[\\]]*[()][^\\[\\]]*\\]")
 
 
 def unpaired_ring(c: Column) -> Column:

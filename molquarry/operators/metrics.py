@@ -99,6 +99,11 @@ def correlations(df: DataFrame, cols: list[str], method: str = "pearson") -> Dat
     return row.select(F.explode(F.array(*(f"_{i}" for i in range(len(pairs))))).alias("s")).select("s.*")
 
 
+def strongest_pairs(matrix: DataFrame, limit: float) -> DataFrame:
+    """Pairs of different columns whose |r| reaches the limit."""
+    return matrix.filter((F.col("left") != F.col("right")) & (F.abs("r") >= limit))
+
+
 def target_correlations(matrix: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """column, r with the target by falling |r|, null last; at most `top`."""
     own = matrix.filter(((F.col("left") == target) | (F.col("right") == target)) & (F.col("left") != F.col("right")))
@@ -149,6 +154,13 @@ def averaged_over(df: DataFrame, target: str, sums: list[str]) -> DataFrame:
     return df.agg(*(F.sum(c).alias(c) for c in sums), *(F.avg(c).alias(c) for c in rest))
 
 
+def all_metrics(df: DataFrame, y: str, p: str, target: str, threshold: float = 0.7) -> DataFrame:
+    """One flat row: class metrics averaged over targets with their counts summed, regression metrics of all pairs, n_samples."""
+    counts = ["tp", "fp", "tn", "fn"]
+    classes = averaged_over(binary_metrics(df, y, p, threshold, target), target, counts).withColumn("n_samples", sum((F.col(c) for c in counts), F.lit(0)))
+    return classes.join(F.broadcast(regression_metrics(df, y, p).drop("n")), F.lit(True))
+
+
 def hpo_objective(rmse: Column, rank: Column, spread_rank: Column | None = None, alpha: float = 0.5, beta: float = 0.0) -> Column:
     """alpha of the rmse and the rest of 1 - rank correlation, of which beta goes to that of spread and error.
 

@@ -6,10 +6,15 @@ Hot tokens are never a prefix unless a set has nothing rarer.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a block whose products are made at once.
+BLOCK_ROWS = 2_000
+
 
 def tanimoto_distance(a: Column, b: Column) -> Column:
     """1 - intersection over union of two sets of bits; 0 for two empty ones."""
@@ -78,6 +83,36 @@ def distance_report(pairs: DataFrame, distance: str, *groups: str) -> DataFrame:
     return pairs.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(distance).alias("mean"), F.min(distance).alias("min"), F.max(distance).alias("max"))
 
 
+def within_distances(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """group, n, mean, min and max cosine distance of all pairs of rows of a group.
+
+    Distances are found by matrix products of blocks of about BLOCK_ROWS rows of one group, a pair of blocks a task.
+    All pairs are what is asked for, so the groups should be chosen sets, not whole corpora. Zero and null vectors, and
+    null keys, take no part; groups of one row have no pair and no row.
+    """
+    own = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sizes = own.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(1)).cast("int").alias("b"))
+    dealt = own.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, own["g"].eqNullSafe(sizes["g"])).drop(sizes["g"]).withColumn("i", F.pmod(F.xxhash64("k"), F.col("b")).cast("int"))
+    # Each block meets itself and the later ones of its group: rows are copied once for each partner block.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    spread = dealt.withColumn("p", F.explode(F.array_distinct(pairs))).select("g", "k", "v", "i", "p.lo", "p.hi")
+    kind = dict(df.dtypes)[group]
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        x = np.stack(pdf["v"].to_numpy())
+        norm = np.linalg.norm(x, axis=1)
+        x, i = x[norm > 0] / norm[norm > 0, None], pdf["i"].to_numpy()[norm > 0]
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        a, b = x[i == lo], x[i == hi]
+        d = 1 - a @ b.T
+        d = d[np.triu_indices(len(a), 1)] if lo == hi else d.ravel()
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(d)], "s": [float(d.sum())], "least": [float(d.min()) if len(d) else None], "most": [float(d.max()) if len(d) else None]})
+
+    got = spread.groupBy("g", "lo", "hi").applyInPandas(measured, f"g {kind}, n long, s double, least double, most double")
+    return got.groupBy("g").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), F.min("least").alias("min"), F.max("most").alias("max")).filter("n > 0").withColumnRenamed("g", group)
+
+
 def centroids(df: DataFrame, group: str, vector: str, size: int) -> DataFrame:
     """group, centroid: mean vectors, from one aggregation of `size` sums."""
     got = df.groupBy(group).agg(*(F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(size)))

@@ -80,7 +80,7 @@ own AS (SELECT line_id, broken, n, names IS NULL AS headless, v[list_position(na
 texts AS (SELECT DISTINCT unnest([smiles, target]) AS s FROM own WHERE NOT broken AND n = 7),
 bare AS (SELECT s, regexp_replace(s, '\[[^\[\]]*\]', '', 'g') AS b FROM texts),
 faults AS (
-  SELECT s, NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\-\[\]()=#$/\\%.:*~]*') OR b LIKE '%[%' OR b LIKE '%]%'
+  SELECT s, NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\-\[\]()=#$/\\%.:*~]*') OR b LIKE '%[%' OR b LIKE '%]%' OR regexp_matches(s, '\[[^\[\]]*[()][^\[\]]*\]')
     OR list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(b, '[^()]', '', 'g'), ''), lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0
     OR len(list_filter(list_distinct(regexp_extract_all(b, '%[0-9][0-9]|[0-9]')), lambda r: len(list_filter(regexp_extract_all(b, '%[0-9][0-9]|[0-9]'), lambda q: q = r)) % 2 = 1)) > 0 AS bad FROM bare
 ), number AS (SELECT '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?' AS p)

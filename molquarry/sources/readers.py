@@ -200,7 +200,7 @@ class SQLiteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> T.StructType:
-        kinds = {"INT": T.LongType(), "REAL": T.DoubleType(), "FLOA": T.DoubleType(), "DOUB": T.DoubleType(), "BLOB": T.BinaryType()}
+        kinds = {"INTE": T.LongType(), "INT": T.LongType(), "BIGI": T.LongType(), "REAL": T.DoubleType(), "FLOA": T.DoubleType(), "DOUB": T.DoubleType(), "BLOB": T.BinaryType()}
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
             info = db.execute(f'pragma table_info("{self.options["table"]}")').fetchall()
         return T.StructType([T.StructField(name, kinds.get((kind or "").upper()[:4], T.StringType())) for _, name, kind, *_ in info])

@@ -16,7 +16,33 @@ from molquarry.operators.relational import insert_or_ignore
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """A folder of delimited parts, each with the header."""
-    df.write.mode(mode).options(header=True, sep=sep, quote='"', escape='"').csv(path)
+    df.write.mode(mode).options(header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def _filesystem(spark: SparkSession, path: str) -> tuple:
+    """(file system of a path, the path): whatever shared storage holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files in a folder."""
+    fs, p = _filesystem(spark, folder)
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.isFile())
+
+
+def write_file(df: DataFrame, path: str, fmt: str = "csv", sep: str = ",") -> None:
+    """One file of that very name, for tools that need one: a bounded export, written by one task. Folders are made, an old file is replaced."""
+    spark, folder = df.sparkSession, path + ".parts"
+    if fmt == "csv":
+        write_delimited(df.coalesce(1), folder, sep)
+    else:
+        df.coalesce(1).write.mode("overwrite").format(fmt).save(folder)
+    fs, target = _filesystem(spark, path)
+    part = next(x for x in listed(spark, folder) if x.rsplit("/", 1)[-1].startswith("part-"))
+    fs.delete(target, True)
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), target)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
@@ -119,14 +145,14 @@ def merge_json(spark: SparkSession, folder: str, out: str, prefix: str | None =
 
 def _merge(spark: SparkSession, folder: str, out: str, prefix: str | None, endings: tuple[str, ...]) -> dict[str, int]:
     done = {}
-    for stem, parts in task_prefixes([f"{folder}/{n}" for n in os.listdir(folder) if n.endswith(endings)]).items():
+    for stem, parts in task_prefixes([n for n in listed(spark, folder) if n.endswith(endings)]).items():
         if prefix and stem != prefix:
             continue
         if endings == (".csv",):
             df = spark.read.options(header=True, quote='"', escape='"').csv(parts)
             write_delimited(df, f"{out}/{stem}")
         else:
-            whole = [p for p in parts if open(p, encoding="utf-8").read(1) == "["]
+            whole = [p for p in parts if _first_byte(spark, p) == "["]
             lines = [p for p in parts if p not in whole]
             both = [spark.read.option("multiLine", m).json(p) for m, p in ((True, whole), (False, lines)) if p]
             df = both[0] if len(both) == 1 else both[0].unionByName(both[1], allowMissingColumns=True)
@@ -135,6 +161,16 @@ def _merge(spark: SparkSession, folder: str, out: str, prefix: str | None, endin
     return done
 
 
+def _first_byte(spark: SparkSession, path: str) -> str:
+    fs, p = _filesystem(spark, path)
+    stream = fs.open(p)
+    try:
+        got = stream.read()
+    finally:
+        stream.close()
+    return chr(got) if got >= 0 else ""
+
+
 # Reports and documents --------------------------------------------------------------------------------------------------------------
 
 

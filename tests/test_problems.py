@@ -106,3 +106,10 @@ def test_flatten_edges(spark):
     assert (4, "precursors[0]") in paths and not any(k in (1, 3) for k, _ in paths)
     assert sum(k == 5 for k, _ in paths) == 120
     assert flatten_nested(df.limit(0), "record_id").count() == 0
+
+
+def test_round_brackets_inside_bracket_atoms(spark):
+    from molquarry.functions import smiles as S
+
+    df = spark.createDataFrame([("CC[C@@H(](N)C)O",), ("CC[C@@H](N)C",), ("C%(12)CC%(12)",), ("C(C))C(",)], "s string")
+    assert [r[0] for r in df.select(S.fault(F.col("s"))).collect()] == ["unbalanced brackets", None, None, "unbalanced brackets"]
