@@ -11,7 +11,7 @@ from molquarry.chem.backend import TextBackend
 from molquarry.functions import scores
 from molquarry.functions import smiles as S
 from molquarry.operators import routes as RT
-from molquarry.operators.flatten import flatten_nested
+from molquarry.operators.flatten import child_table
 from molquarry.plans.stats import rounded
 from molquarry.runtime import table
 from molquarry.sources.sinks import route_table
@@ -103,10 +103,8 @@ def design_scores(s, d):
 @query()
 def record_availability(s, d):
     """Of each record: number of precursors, share in stock by atoms, whether all are in stock."""
-    own = flatten_nested(table(s, d, "route_records"), "record_id").filter("child = 'precursor'")
-    smiles = F.get_json_object("value", "$.precursor_smiles")
-    stock = F.coalesce(F.lower(F.get_json_object("value", "$.in_stock")) == "true", F.lit(False))
-    rows = own.select("record_id", RT.heavy_atoms(F.coalesce(smiles, F.lit(""))).alias("atoms"), stock.alias("in_stock"))
+    own = child_table(table(s, d, "route_records"), "record_id", "precursor")
+    rows = own.select("record_id", RT.heavy_atoms(F.coalesce("precursor_smiles", F.lit(""))).alias("atoms"), F.coalesce(F.lower("in_stock") == "true", F.lit(False)).alias("in_stock"))
     return rounded(rows.groupBy("record_id").agg(F.count("*").alias("n_precursors"), RT.available_share(F.col("atoms"), F.col("in_stock")).alias("available"), F.bool_and("in_stock").alias("solved")))
 
 
@@ -119,8 +117,9 @@ def record_statistics(s, d):
 @query()
 def unavailable_precursors(s, d):
     """Precursors that no record has in stock, with the number of records that need them."""
-    own = flatten_nested(table(s, d, "route_records"), "record_id").filter("child = 'precursor'")
-    return own.select(F.get_json_object("value", "$.precursor_smiles").alias("smiles"), "record_id", F.lower(F.get_json_object("value", "$.in_stock")).alias("f")).groupBy("smiles").agg(F.count_distinct("record_id").alias("n_records"), F.bool_or(F.coalesce(F.col("f") == "true", F.lit(False))).alias("_in")).filter("smiles is not null and not _in").drop("_in")
+    own = child_table(table(s, d, "route_records"), "record_id", "precursor").filter("precursor_smiles is not null")
+    held = F.coalesce(F.lower("in_stock") == "true", F.lit(False))
+    return own.groupBy(F.col("precursor_smiles").alias("smiles")).agg(F.count_distinct("record_id").alias("n_records"), F.bool_or(held).alias("_in")).filter("not _in").drop("_in")
 
 
 @query("SELECT id, greatest(len(regexp_extract_all(smiles, '\\[[^\\]]*\\]|Cl|Br|[BCNOPSFIbcnops]')) - len(regexp_extract_all(smiles, '\\[[0-9]*H[0-9]*[+-]?[0-9]*\\]')), 1)::INT AS atoms FROM stock")

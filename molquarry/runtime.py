@@ -34,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one of a local session.
+
+    Executors on other machines couldn't read a temporary folder, so a cluster without the setting is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -42,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="molquarry-cp-", dir=os.environ.get("TMPDIR")))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -87,9 +92,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, checkpoint_dir(spark).rstrip("/"), []
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """df written, in folders by the columns given, and read again."""
         path = f"{self.root}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from molquarry.operators.flatten import flatten_nested
@@ -94,6 +96,21 @@ def test_flatten_against_recursion(spark, sf):
     assert got == expected and got
 
 
+def test_flatten_of_any_depth(spark):
+    """Ten thousand levels, more than a decoder that calls itself can hold; and the same by the decoder where it can."""
+    from molquarry.operators import flatten
+
+    text = '[{"reactants": [{"smiles": "C", "made_by": ' * 5_000 + "null" + "}]}]" * 5_000
+    df = spark.createDataFrame([(1, None, text), (2, None, text[:-1])], "record_id long, precursors string, synthesis_steps string")
+    got = flatten_nested(df, "record_id").groupBy("record_id", "child").count().collect()
+    assert {tuple(r) for r in got} == {(1, "step", 5_000), (1, "reactant", 5_000)}
+    for t in ('{"a": [1, -2.5e3, true, null, {}], "b": {"c": "x\\n\\u00e9"}}', "[]", " [ [ ] , { } ] ", '"t"', "3"):
+        assert flatten._parsed(t) == json.loads(t)
+    for t in ("[1,]", '{"a" 1}', "[1", "{,}", "[1] 2", "", "tru"):
+        with pytest.raises(ValueError):
+            flatten._parsed(t)
+
+
 def test_flatten_edges(spark):
     deep = "C"
     for _ in range(60):
