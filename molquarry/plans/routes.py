@@ -12,6 +12,7 @@ from molquarry.functions import scores
 from molquarry.functions import smiles as S
 from molquarry.operators import routes as RT
 from molquarry.operators.flatten import child_table
+from molquarry.plans.problems import _ELEMENTS
 from molquarry.plans.stats import rounded
 from molquarry.runtime import table
 from molquarry.sources.sinks import route_table
@@ -57,9 +58,19 @@ def route_lines(s, d):
     return own.select("row_id", F.col("struct_lls").alias("lls"))
 
 
+_SCORED = f"""{_METRICS}, walk(row_id, node, n) AS (SELECT row_id, root, 0 FROM sets UNION SELECT walk.row_id, unnest(rx.reactants), n + 1 FROM walk JOIN rx ON walk.row_id = rx.row_id AND walk.node = rx.product WHERE n < 40),
+lines AS (SELECT row_id, max(n)::INT AS lls FROM walk GROUP BY 1),
+counts AS (SELECT row_id, list_transform(reactants, lambda r: {{atoms}}) AS c FROM rx WHERE len(reactants) >= 2),
+ratios AS (SELECT row_id, list_avg(flatten(list_transform(range(1, len(c) + 1), lambda i: list_transform(c[i + 1:], lambda b: least(c[i], b)::DOUBLE / greatest(c[i], b))))) AS x FROM counts),
+balances AS (SELECT row_id, coalesce(avg(x), 0.5) AS balance FROM (SELECT DISTINCT row_id FROM rx) LEFT JOIN ratios USING (row_id) GROUP BY 1),
+truth AS (SELECT row_id, smiles, resolved, root, coalesce(lower(trim(resolved)) IN ('true', '1', '1.0', 'yes', 't'), false) AS solved, n_steps, n_bb, max_depth, lls, coupling, branching, balance, trim(coalesce(route, '')) <> '' AND j IS NULL AS malformed
+  FROM routes_scored LEFT JOIN (SELECT row_id, j FROM cells) USING (row_id) LEFT JOIN base USING (row_id) LEFT JOIN sets USING (row_id) LEFT JOIN lines USING (row_id) LEFT JOIN balances USING (row_id))"""
 _ATOMS = "greatest(len(regexp_extract_all(r, '\\[[^\\]]*\\]|Cl|Br|[BCNOPSFIbcnops]')) - len(regexp_extract_all(r, '\\[[0-9]*H[0-9]*[+-]?[0-9]*\\]')), 1)"
 
 
+_SCORED = "WITH RECURSIVE " + _SCORED.replace("{atoms}", _ATOMS)
+
+
 @query(f"WITH {_RX}, counts AS (SELECT row_id, list_transform(reactants, lambda r: {_ATOMS}) AS c FROM rx WHERE len(reactants) >= 2), ratios AS (SELECT row_id, list_avg(flatten(list_transform(range(1, len(c) + 1), lambda i: list_transform(c[i + 1:], lambda b: least(c[i], b)::DOUBLE / greatest(c[i], b))))) AS x FROM counts) SELECT row_id, round(coalesce(avg(x), 0.5), 6) AS balance FROM (SELECT DISTINCT row_id FROM rx) LEFT JOIN ratios USING (row_id) GROUP BY 1")
 def route_balance(s, d):
     own = RT.score_routes(table(s, d, "routes_scored").select("row_id", "resolved", "route")).filter("struct_n_steps is not null")
@@ -71,7 +82,7 @@ def route_tiers(s, d):
     return RT.score_routes(table(s, d, "routes_scored").select("row_id", "resolved", "route")).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{_SCORED} SELECT row_id, smiles, resolved, n_steps AS struct_n_steps, n_bb AS struct_n_bb, max_depth AS struct_max_depth, lls AS struct_lls, round(coupling, 6) AS struct_coupling_fraction, round(branching, 6) AS struct_avg_branching, round(balance, 6) AS struct_fragment_balance, CASE WHEN n_steps IS NOT NULL THEN CASE WHEN solved THEN 'solved' ELSE 'unresolved' END WHEN solved THEN 'purchasable' ELSE 'unsolved' END AS tier, round(CASE WHEN n_steps IS NOT NULL THEN 0.5 * greatest(0, 1 - (greatest(lls, 1) - 1) / 10.0) + 0.5 * balance WHEN solved THEN 1.0 ELSE 0.0 END, 6) AS synthesizability, CASE WHEN n_steps IS NOT NULL THEN CASE WHEN solved THEN 'fully solved' ELSE 'partial route' END WHEN solved THEN 'purchasable as it is' ELSE 'no route found' END || CASE WHEN malformed THEN '; malformed route' ELSE '' END AS score_note FROM truth")
 def route_scores(s, d):
     own = RT.score_routes(table(s, d, "routes_scored").select("row_id", "smiles", "resolved", "route"))
     return rounded(own.drop("reactions", "route"))
@@ -87,20 +98,30 @@ def route_layouts(s, d):
     return RT.tree_layout(RT.with_reactions(table(s, d, "routes_scored").select("row_id", "route"), "route"), "row_id")
 
 
-@query()
+@query(f"{_SCORED} SELECT row_id, smiles, n_steps AS struct_n_steps, n_bb AS struct_n_bb FROM truth WHERE solved AND root IS NOT NULL AND n_steps BETWEEN 2 AND 4 AND n_bb BETWEEN 2 AND 4")
 def shaped_routes(s, d):
     own = RT.score_routes(table(s, d, "routes_scored").select("row_id", "smiles", "resolved", "route"))
     return RT.shaped_candidates(own).select("row_id", "smiles", "struct_n_steps", "struct_n_bb")
 
 
-@query()
+_TERM = {"linear": "greatest(least(1 - (lls - 1) / 10.0, 1), 0)", "log": "greatest(least(1 - ln(greatest(lls, 1)) / ln(11), 1), 0)", "coupling": "coupling", "balance": "balance", "branching": "greatest(least(branching - 1, 1), 0)", "convergence": "(1 - lls / n_steps::DOUBLE)"}
+_DESIGNED = ", ".join(f"round(({' + '.join(f'{w} * ' + _TERM[kind if t == 'depth' else t] for t, w in own.items())}) / {sum(own.values())}, 6) AS {n}" for n, (kind, own) in scores.DESIGNS.items())
+
+
+@query(f"{_SCORED} SELECT row_id, {_DESIGNED} FROM truth WHERE lls IS NOT NULL")
 def design_scores(s, d):
     own = RT.score_routes(table(s, d, "routes_scored").select("row_id", "resolved", "route")).filter("struct_lls is not null")
     made = scores.design_variants(F.col("struct_lls"), F.col("struct_n_steps"), F.col("struct_coupling_fraction"), F.col("struct_avg_branching"), F.col("struct_fragment_balance"))
     return rounded(own.select("row_id", *(c.alias(n) for n, c in made.items())))
 
 
-@query()
+_PRECURSORS = f"""{_ELEMENTS}, held AS (SELECT record_id, CASE WHEN json_type(x) = 'VARCHAR' THEN x->>'$' WHEN json_type(x) = 'OBJECT' THEN x->>'$.precursor_smiles' END AS r, coalesce(lower(CASE WHEN json_type(x) = 'OBJECT' THEN x->>'$.in_stock' END) = 'true', false) AS f FROM items WHERE child = 'precursor'),
+kept AS (SELECT record_id, f, {_ATOMS.replace("(r,", "(coalesce(r, ''),")} AS a FROM held),
+available AS (SELECT record_id, count(*) AS n_precursors, round(coalesce(sum(CASE WHEN f THEN a ELSE 0 END)::DOUBLE / nullif(sum(a), 0), 0), 6) AS available, bool_and(f) AS solved FROM kept GROUP BY 1)"""
+_SPREAD = "count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.95), 6) AS p95, round(max(x), 6) AS max"
+
+
+@query(f"{_PRECURSORS} SELECT record_id, n_precursors, available, solved FROM available")
 def record_availability(s, d):
     """Of each record: number of precursors, share in stock by atoms, whether all are in stock."""
     own = child_table(table(s, d, "route_records"), "record_id", "precursor")
@@ -108,13 +129,13 @@ def record_availability(s, d):
     return rounded(rows.groupBy("record_id").agg(F.count("*").alias("n_precursors"), RT.available_share(F.col("atoms"), F.col("in_stock")).alias("available"), F.bool_and("in_stock").alias("solved")))
 
 
-@query()
+@query(f"{_PRECURSORS}, long AS (SELECT solved, unnest(['route_score', 'hac_weighted_score', 'search_time_seconds', 'available']) AS metric, unnest([route_score, hac_weighted_score, search_time_seconds, available]) AS x FROM available JOIN route_records USING (record_id)) SELECT solved, metric, {_SPREAD} FROM long GROUP BY 1, 2")
 def record_statistics(s, d):
     own = record_availability(s, d).join(table(s, d, "route_records").select("record_id", "route_score", "hac_weighted_score", "search_time_seconds"), "record_id")
     return rounded(RT.record_report(own, "solved", ["route_score", "hac_weighted_score", "search_time_seconds", "available"]))
 
 
-@query()
+@query(f"{_PRECURSORS} SELECT r AS smiles, count(DISTINCT record_id) AS n_records FROM held WHERE r IS NOT NULL GROUP BY 1 HAVING NOT bool_or(f)")
 def unavailable_precursors(s, d):
     """Precursors that no record has in stock, with the number of records that need them."""
     own = child_table(table(s, d, "route_records"), "record_id", "precursor").filter("precursor_smiles is not null")
@@ -127,7 +148,10 @@ def heavy_atom_counts(s, d):
     return table(s, d, "stock").select("id", RT.heavy_atoms(F.col("smiles")).alias("atoms"))
 
 
-@query()
+@query(f"""WITH u AS (SELECT id, regexp_replace(smiles, '^ +| +$', '', 'g') AS s FROM stock), t AS (SELECT id, s, regexp_replace(s, '\\[[^\\[\\]]*\\]', '', 'g') AS b FROM u), r AS (SELECT *, list_transform(regexp_extract_all(b, '%\\([0-9]+\\)|%[0-9][0-9]|[0-9]'), lambda q: regexp_replace(q, '[%()]', '', 'g')::INT) AS rings FROM t)
+SELECT id, CASE WHEN NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\\-\\[\\]()=#$/\\\\%.:*~]*') THEN 'foreign character' WHEN regexp_matches(b, '[\\[\\]]') OR regexp_matches(s, '\\[[^\\[\\]]*[()][^\\[\\]]*\\]')
+  OR list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(b, '[^()]', '', 'g'), ''), lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0 THEN 'unbalanced brackets'
+  WHEN len(list_filter(list_distinct(rings), lambda q: len(list_filter(rings, lambda p: p = q)) % 2 = 1)) > 0 THEN 'unpaired ring number' END AS fault FROM r""")
 def structure_faults(s, d):
     """Why texts of the stock can't be structures; null for those that can."""
     return table(s, d, "stock").select("id", S.fault(F.trim("smiles")).alias("fault"))
