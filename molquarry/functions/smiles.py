@@ -12,7 +12,7 @@ RING_NUMBER = "%\\(\\d+\\)|%\\d\\d|\\d"
 
 
 def has_foreign_character(c: Column) -> Column:
-    return ~c.rlike(f"^[{ALPHABET}]*$")
+    return ~c.rlike(f"^[{ALPHABET}]*\\z")
 
 
 def unbalanced(c: Column) -> Column:

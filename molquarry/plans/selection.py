@@ -43,14 +43,22 @@ def similar_stock(s, d):
     return rounded(SI.similar_sets(_words(s, d), "id", "tokens", 0.8))
 
 
-@query()
+_NEAR = f"""{_TOK}, r AS (SELECT list_sort(s) AS s, min(id) AS id FROM t GROUP BY 1),
+pairs AS (SELECT a.id AS l, b.id AS o FROM r a JOIN r b ON a.id < b.id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.8 UNION ALL SELECT r.id, t.id FROM t JOIN r ON list_sort(t.s) = r.s WHERE t.id <> r.id),
+near AS (SELECT k, list(DISTINCT o) AS o FROM (SELECT l AS k, o FROM pairs UNION ALL SELECT o, l FROM pairs) GROUP BY 1),
+own AS MATERIALIZED (SELECT id, coalesce(o, []) AS o, row_number() OVER (ORDER BY {{order}}) AS i FROM stock LEFT JOIN near ON id = k),
+walk(i, c) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT own.i, CASE WHEN list_has_any(c, own.o) THEN c ELSE list_append(c, own.id) END FROM walk JOIN own ON own.i = walk.i + 1),
+picked AS (SELECT unnest(c) AS id FROM (SELECT c FROM walk ORDER BY i DESC LIMIT 1))"""
+
+
+@query("WITH RECURSIVE " + _NEAR.format(order="-len(coalesce(o, [])), id") + ", first AS (SELECT k AS id, min_by(own.id, own.i) AS centre FROM (SELECT id AS k, unnest(o) AS n FROM own) JOIN picked ON picked.id = n JOIN own ON own.id = n GROUP BY 1) SELECT own.id, CASE WHEN picked.id IS NOT NULL THEN own.id ELSE centre END AS centre FROM own LEFT JOIN picked ON picked.id = own.id LEFT JOIN first ON first.id = own.id")
 def stock_clusters(s, d):
     """Sphere exclusion on the similar pairs."""
     pairs = SI.similar_sets(_words(s, d), "id", "tokens", 0.8)
     return SE.sphere_exclusion(table(s, d, "stock").select("id"), pairs, "id")
 
 
-@query()
+@query("WITH RECURSIVE " + _NEAR.format(order="id") + " SELECT id FROM picked")
 def stock_leaders(s, d):
     return SE.leaders(table(s, d, "stock").select("id"), SI.similar_sets(_words(s, d), "id", "tokens", 0.8), "id")
 
@@ -60,26 +68,50 @@ def linker_components(s, d):
     return SE.shared_components(table(s, d, "scaffolds"), "row_id", ["molecule", "linker_scaffold"])
 
 
-@query()
+_GROUPS = "SELECT warhead_scaffold AS g, count(*) AS n FROM scaffolds WHERE warhead_scaffold IS NOT NULL GROUP BY 1"
+
+
+@query(f"SELECT unnest([0, 1])::BIGINT AS seed, count(*) AS n_groups, count(*) AS n_placed, sum(n)::BIGINT AS n_rows, 5::BIGINT AS n_folds, true AS balanced FROM ({_GROUPS})")
 def scaffold_folds(s, d):
-    return SE.group_folds(table(s, d, "scaffolds"), "warhead_scaffold", "row_id", [0, 1])
+    """Of each seed's folds: groups, groups placed once, rows, folds, and whether no fold is larger than the smallest by more than the largest group."""
+    own = table(s, d, "scaffolds")
+    folds = SE.group_folds(own, "warhead_scaffold", "row_id", [0, 1])
+    rows = own.groupBy("warhead_scaffold").agg(F.count("*").alias("n")).join(folds, "warhead_scaffold")
+    sizes = rows.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("groups"), F.count_distinct("warhead_scaffold").alias("placed"))
+    return sizes.groupBy("seed").agg(F.sum("groups").alias("n_groups"), F.sum("placed").alias("n_placed"), F.sum("n").alias("n_rows"), F.count_distinct("fold").alias("n_folds"), (F.max("n") - F.min("n") <= F.max("most")).alias("balanced"))
 
 
-@query()
+@query(f"SELECT count(*) AS n_groups, true AS whole_outer, true AS enough, true AS not_too_many FROM ({_GROUPS})")
 def inner_parts(s, d):
+    """Inner validation of one outer fold: every group has one part, and the inner part passes a fifth of the outer training rows by no more than a group."""
     own = table(s, d, "scaffolds")
-    return SE.inner_validation(own, SE.group_folds(own, "warhead_scaffold", "row_id", [0]), "warhead_scaffold", "row_id", 0, 1)
+    folds = SE.group_folds(own, "warhead_scaffold", "row_id", [0])
+    parts = SE.inner_validation(own, folds, "warhead_scaffold", "row_id", 0, 1)
+    sized = own.groupBy("warhead_scaffold").agg(F.count("*").alias("n")).join(parts, "warhead_scaffold").join(folds, "warhead_scaffold")
+    of = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n"))), F.lit(0))
+    quota = F.floor(0.2 * (of("inner_val") + of("inner_train")))
+    return sized.agg(F.count("*").alias("n_groups"), F.bool_and((F.col("part") == "outer_val") == (F.col("fold") == 1)).alias("whole_outer"), (of("inner_val") >= quota).alias("enough"), (of("inner_val") - F.max("n") < quota).alias("not_too_many"))
 
 
-@query()
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS n_split_groups, true AS share_reached, true AS not_passed_by_more_than_a_group FROM scaffolds")
 def scaffold_split(s, d):
-    return SE.group_split(table(s, d, "scaffolds").select("row_id", "warhead_scaffold"), "warhead_scaffold", "row_id").select("row_id", "part")
+    """A test part of whole groups that reaches a fifth of the grouped rows."""
+    own = table(s, d, "scaffolds").select("row_id", "warhead_scaffold")
+    parted = SE.group_split(own, "warhead_scaffold", "row_id")
+    groups = parted.groupBy("warhead_scaffold").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"), F.count_if(F.col("part") == "test").alias("t"))
+    known = F.col("warhead_scaffold").isNotNull()
+    total, test = F.sum(F.when(known, F.col("n"))), F.sum("t")
+    return groups.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("parts") > 1).alias("n_split_groups"), (test >= 0.2 * total).alias("share_reached"), (test - F.max(F.when(F.col("t") > 0, F.col("n"))) < 0.2 * total).alias("not_passed_by_more_than_a_group"))
 
 
-@query()
+@query(f"SELECT (SELECT count(*) FROM ({_GROUPS})) AS n_clusters, true AS within_target, true AS rest_would_not_fit")
 def held_out_clusters(s, d):
+    """Whole clusters up to 150 rows: none that is left out would still fit."""
     sizes = table(s, d, "scaffolds").filter("warhead_scaffold is not null").groupBy("warhead_scaffold").agg(F.count("*").alias("n"))
-    return SE.filled_clusters(sizes, "warhead_scaffold", "n", 150)
+    taken = SE.filled_clusters(sizes, "warhead_scaffold", "n", 150)
+    total = taken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    left = sizes.join(taken.select("warhead_scaffold"), "warhead_scaffold", "left_anti").agg(F.min("n").alias("least"))
+    return sizes.agg(F.count("*").alias("n_clusters")).join(F.broadcast(total), F.lit(True)).join(F.broadcast(left), F.lit(True)).select("n_clusters", (F.col("total") <= 150).alias("within_target"), (F.col("total") + F.col("least") > 150).alias("rest_would_not_fit"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS first_mean, round(avg(embedding[64]), 5) AS last_mean FROM embeddings GROUP BY 1")
@@ -91,10 +123,10 @@ def embedding_centres(s, d):
     return rounded(mid.join(n, "label").select("label", "n", F.col("centroid")[0].alias("first_mean"), F.col("centroid")[63].alias("last_mean")), 5)
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id AS r, e AS f FROM v WHERE vec_id <= 20) SELECT vec_id, min(r) FILTER (WHERE sim >= best - 1e-12) AS nearest, round(max(sim), 6) AS similarity FROM (SELECT vec_id, r, sim, max(sim) OVER (PARTITION BY vec_id) AS best FROM (SELECT vec_id, r, list_cosine_similarity(e, f) AS sim FROM v, r)) GROUP BY 1")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id AS r, e AS f FROM v WHERE vec_id % 50 = 0) SELECT vec_id, min(r) FILTER (WHERE sim >= best - 1e-12) AS nearest, round(max(sim), 6) AS similarity FROM (SELECT vec_id, r, sim, max(sim) OVER (PARTITION BY vec_id) AS best FROM (SELECT vec_id, r, list_cosine_similarity(e, f) AS sim FROM v, r)) GROUP BY 1")
 def nearest_embeddings(s, d):
     own = table(s, d, "embeddings")
-    return rounded(SI.nearest_reference(own, own.filter("vec_id <= 20"), "vec_id", "embedding", "vec_id"))
+    return rounded(SI.nearest_reference(own, own.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id"))
 
 
 @query()
@@ -139,16 +171,28 @@ def ensemble_means(s, d):
     return rounded(E.ensemble_predictions(predictions, E.normalised_weights(weights)), 4)
 
 
-@query()
+_TRIES = ", ".join(f"((ca + {i})^2 * aa + (cb + {j})^2 * bb + (cc + {k})^2 * c2 + 2 * (ca + {i}) * (cb + {j}) * ab + 2 * (ca + {i}) * (cc + {k}) * ac + 2 * (cb + {j}) * (cc + {k}) * bc) / (ca + cb + cc + 1)^2 / n AS m{x}" for x, (i, j, k) in enumerate(((1, 0, 0), (0, 1, 0), (0, 0, 1))))
+_GREEDY = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT sum((a - y_true)^2) AS aa, sum((b - y_true)^2) AS bb, sum((c - y_true)^2) AS c2, sum((a - y_true) * (b - y_true)) AS ab, sum((a - y_true) * (c - y_true)) AS ac, sum((b - y_true) * (c - y_true)) AS bc, count(*)::DOUBLE AS n FROM {_GUESS} {{where}}),
+walk(k, ca, cb, cc, mse) AS (
+  SELECT 1, (aa <= bb AND aa <= c2)::INT, (bb < aa AND bb <= c2)::INT, (c2 < aa AND c2 < bb)::INT, least(aa, bb, c2) / n FROM g
+  UNION ALL SELECT k + 1, ca + (m0 <= m1 AND m0 <= m2)::INT, cb + (m1 < m0 AND m1 <= m2)::INT, cc + (m2 < m0 AND m2 < m1)::INT, least(m0, m1, m2) FROM (SELECT *, {_TRIES} FROM walk, g WHERE k < 30)
+), best AS (SELECT * FROM walk ORDER BY mse, k LIMIT 1)"""
+
+
+@query(_GREEDY.format(where="") + " SELECT * FROM (SELECT unnest(['GNN_seed0_fold0', 'GNN_seed0_fold1', 'MLP_seed0_fold0']) AS model, unnest([ca / k, cb / k, cc / k]) AS weight FROM (SELECT round(ca / (ca + cb + cc), 6) AS ca, round(cb / (ca + cb + cc), 6) AS cb, round(cc / (ca + cb + cc), 6) AS cc, 1 AS k FROM best)) WHERE weight > 0")
 def greedy_ensemble(s, d):
     predictions, truth = _ensemble(s, d)
     return rounded(E.greedy_selection(predictions, truth, 30))
 
 
-@query()
+_PLANS = {"best_single": "CASE WHEN ra <= rb AND ra <= rc THEN a WHEN rb <= rc THEN b ELSE c END", "uniform": "(a + b + c) / 3", "best_backend": "CASE WHEN (ra + rb) / 2 <= rc THEN (a + b) / 2 ELSE c END", "greedy": "(a * ca + b * cb + c * cc) / (ca + cb + cc)"}
+
+
+@query(_GREEDY.format(where="WHERE row_id % 5 = 0") + ", r AS (SELECT sqrt(aa / n) AS ra, sqrt(bb / n) AS rb, sqrt(c2 / n) AS rc FROM g) " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, round(sqrt(avg(({p} - y_true)^2)), 4) AS rmse, round(1 - sum(({p} - y_true)^2) / ((SELECT var_pop(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0) * count(*)), 6) AS r2 FROM {_GUESS}, r, best WHERE row_id % 5 <> 0" for k, p in _PLANS.items()))
 def ensemble_strategies(s, d):
     predictions, truth = _ensemble(s, d)
-    return rounded(E.strategies(predictions, truth, truth.filter("row_id % 5 = 0"), 30))
+    got = E.strategies(predictions, truth, truth.filter("row_id % 5 = 0"), 30)
+    return got.select("strategy", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
 @query(f"SELECT unnest(['GNN_seed0_fold0', 'GNN_seed0_fold1', 'MLP_seed0_fold0']) AS model, unnest([round(sqrt(avg((a - y_true) ^ 2)), 4), round(sqrt(avg((b - y_true) ^ 2)), 4), round(sqrt(avg((c - y_true) ^ 2)), 4)]) AS rmse FROM {_GUESS}")
@@ -171,7 +215,10 @@ def length_scorer(texts: list[str]) -> np.ndarray:
     return np.asarray([0.01 * len(t) for t in texts])
 
 
-@query()
+_SCORABLE = "smiles IS NOT NULL AND trim(smiles) <> '' AND NOT regexp_matches(regexp_replace(smiles, '^[\\s\\x{00a0}\\x{3000}]+|[\\s\\x{00a0}\\x{3000}]+$', '', 'g'), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]') AND list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(smiles, '[^()\\[\\]]', '', 'g'), ''), lambda c: CASE WHEN c IN ('(', '[') THEN 1 WHEN c IN (')', ']') THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) = 0"
+
+
+@query(f"SELECT row_id, CASE WHEN {_SCORABLE} THEN round(0.01 * length(smiles), 6) END AS score FROM routes_test")
 def aligned_scores(s, d):
     return rounded(SC.score_table(table(s, d, "routes_test"), "smiles", {"score": length_scorer}, keep=["row_id"]))
 
