@@ -6,14 +6,20 @@ Hot tokens are never a prefix unless a set has nothing rarer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Rows of a block whose products are made at once.
 BLOCK_ROWS = 2_000
+#: Reference vectors that are broadcast at once: 10 MB at 256 dimensions.
+REFERENCES = 5_000
 
 
 def tanimoto_distance(a: Column, b: Column) -> Column:
@@ -58,19 +64,53 @@ def similar_sets(df: DataFrame, key: str, tokens: str, threshold: float) -> Data
     return full.select("left", "right", j.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).unionByName(copies)
 
 
-def nearest_reference(df: DataFrame, references: DataFrame, key: str, vector: str, ref_key: str, limit: int = 10_000) -> DataFrame:
-    """key, nearest, similarity: for every row the most similar of a stated, bounded reference set, ties by key.
+def nearest_reference(df: DataFrame, references: DataFrame, key: str, vector: str, ref_key: str, block: int = REFERENCES) -> DataFrame:
+    """key, nearest (the reference of highest cosine, the smallest key of several), similarity; null for zero vectors.
 
-    References beyond the limit are an error: their vectors are broadcast.
+    References are taken `block` at a time: a block is one broadcast matrix, met by Arrow batches of rows, so nothing
+    is shuffled but, with several blocks, each row's best of each. Null keys and vectors of references are left out;
+    without references there are no rows.
     """
-    refs = references.select(F.col(ref_key).alias("r"), F.col(vector).cast("array<double>").alias("v")).limit(limit + 1).collect()
-    if len(refs) > limit:
-        raise ValueError(f"more than {limit} references: take them in blocks")
-    if not refs:
-        return df.select(key, F.lit(None).cast(dict(references.dtypes)[ref_key]).alias("nearest"), F.lit(None).cast("double").alias("similarity"))
-    table = F.array(*(F.struct(F.lit(r["r"]).alias("r"), F.array(*map(F.lit, r["v"])).alias("v")) for r in refs))
-    best = F.array_max(F.transform(table, lambda x: F.struct(cosine(F.col(vector), x["v"]).alias("s"), (-x["r"]).alias("k"))))
-    return df.select(key, best.alias("_b")).select(key, (-F.col("_b.k")).cast(dict(references.dtypes)[ref_key]).alias("nearest"), F.col("_b.s").alias("similarity"))
+    refs = references.filter(F.col(vector).isNotNull() & F.col(ref_key).isNotNull()).select(F.col(ref_key).alias("r"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    blocks = max(1, -(-refs.count() // block))
+    kind, ref_kind = dict(df.dtypes)[key], dict(references.dtypes)[ref_key]
+    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    spark, best = df.sparkSession, None
+
+    def search(held: list) -> DataFrame:
+        unit = np.asarray([r["v"] for r in held], float)
+        norm = np.linalg.norm(unit, axis=1)
+        shared = spark.sparkContext.broadcast(([r["r"] for r, n in zip(held, norm) if n > 0], unit[norm > 0] / norm[norm > 0, None]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, table = shared.value
+            for b in batches:
+                for start in range(0, b.num_rows, 1000):
+                    part = b.slice(start, 1000)
+                    nearest, similarity = [None] * part.num_rows, [None] * part.num_rows
+                    there = [i for i, v in enumerate(part.column(1)) if v.is_valid]
+                    x = np.asarray(part.column(1).take(pa.array(there, pa.int64())).to_pylist(), float).reshape(len(there), -1)
+                    size = np.linalg.norm(x, axis=1) if len(there) else np.zeros(0)
+                    if len(names) and len(there):
+                        s = x @ table.T / np.maximum(size, 1e-300)[:, None]
+                        top = s.max(1)
+                        for i, n, t, row in zip(there, size, top, s):
+                            if n > 0:  # products that differ by rounding only are alike
+                                nearest[i], similarity[i] = names[int(np.flatnonzero(row >= t - 1e-12)[0])], float(t)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nearest, ref_type), pa.array(similarity, pa.float64())], names=["k", "nearest", "similarity"])
+
+        return rows.mapInArrow(run, f"k {kind}, nearest {ref_kind}, similarity double")
+
+    ref_type = to_arrow_type(references.schema[ref_key].dataType)
+    for n in range(blocks):
+        held = refs.filter(F.pmod(F.xxhash64("r"), F.lit(blocks)) == n).orderBy("r").collect()
+        got = search(held) if held else None
+        best = got if best is None else best if got is None else best.unionByName(got)
+    if best is None:
+        return spark.createDataFrame([], f"{key} {kind}, nearest {ref_kind}, similarity double")
+    if blocks > 1:
+        best = best.groupBy("k").agg(F.min_by(F.struct("nearest", "similarity"), F.struct(-F.round(F.coalesce("similarity", F.lit(-2.0)), 12), F.col("nearest"))).alias("b")).select("k", "b.*")
+    return best.withColumnRenamed("k", key)
 
 
 def is_novel(own: Column, used: Column, limit: float = 0.85) -> Column:

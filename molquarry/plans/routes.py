@@ -163,10 +163,21 @@ def text_scaffolds(s, d):
     return table(s, d, "scaffolds").select("row_id", b.standard(F.col("molecule")).alias("standard"), b.scaffold(F.col("molecule")).alias("core"), b.scaffold(F.col("molecule"), generic=True).alias("generic"))
 
 
-@query()
+def _times(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
+
+_COUNTS = {
+    "heavy_atoms": _times("\\[[^\\]]*\\]|Cl|Br|[BCNOPSFIbcnops]") + " - " + _times("\\[[0-9]*H[0-9]*[+-]?[0-9]*\\]"), "carbons": _times("C|c") + " - " + _times("Cl"), "nitrogens": _times("N|n"), "oxygens": _times("O|o"), "sulfurs": _times("S|s"),
+    "halogens": _times("F|Cl|Br|I"), "aromatic_atoms": _times("[bcnops]"), "rings": _times("[0-9]") + " / 2.0", "branches": _times("\\("), "double_bonds": _times("="), "triple_bonds": _times("#"), "stereo_marks": _times("@+|/|\\\\"),
+    "charges": _times("[+-][0-9]*\\]"), "components": _times("\\.") + " + 1", "length": "length(t)",
+}
+
+
+@query(f"SELECT id, {', '.join(f'({c})::DOUBLE AS {n}' for n, c in _COUNTS.items())} FROM (SELECT id, nullif(regexp_replace(smiles, '[\\s\\x{{00a0}}\\x{{00ad}}\\x{{061c}}\\x{{180e}}\\x{{1680}}\\x{{2000}}-\\x{{200f}}\\x{{2028}}-\\x{{202f}}\\x{{205f}}-\\x{{206f}}\\x{{3000}}\\x{{feff}}\\p{{Cc}}]+', '', 'g'), '') AS t FROM stock)")
 def text_descriptors(s, d):
     b = TextBackend()
-    return table(s, d, "stock").select("id", b.descriptors(F.col("smiles")).alias("x"), F.size(b.fingerprint(F.col("smiles"))).alias("n_bits")).select("id", "x.*", "n_bits")
+    return table(s, d, "stock").select("id", b.descriptors(F.col("smiles")).alias("x")).select("id", "x.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -223,7 +223,7 @@ def aligned_scores(s, d):
     return rounded(SC.score_table(table(s, d, "routes_test"), "smiles", {"score": length_scorer}, keep=["row_id"]))
 
 
-@query()
+@query(f"SELECT row_id, CASE WHEN {_SCORABLE} THEN round(0.01 * length(smiles), 6) END AS score, CASE WHEN {_SCORABLE} THEN 0.0 END AS spread FROM routes_test")
 def member_scores(s, d):
     members = SC.Members(lambda name: length_scorer, 2)
     return rounded(SC.ensemble_scores(table(s, d, "routes_test"), "row_id", "smiles", members, {"GNN_seed0_fold0": 2.0, "MLP_seed0_fold0": 1.0}))
