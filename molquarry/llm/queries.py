@@ -56,16 +56,18 @@ def p6_splits(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_totals(s: SparkSession, d: str) -> DataFrame:
-    own = p6_splits(s, d)
-    return own.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+    """Rows of each part and of its share."""
+    own = p6_splits(s, d).groupBy("split").agg(F.count("*").alias("n_rows"))
+    share = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    return own.join(F.broadcast(own.agg(F.sum("n_rows").alias("n"))), F.lit(True)).select("split", "n_rows", F.round(F.col("n") * share).cast("long").alias("n_wanted"))
 
 
 def p6_shared(s: SparkSession, d: str) -> DataFrame:
-    """Values of either link that stand in more than one part: none."""
+    """Of each link its values, and how many of them stand in more than one part: none."""
     rows = table(s, d, "scaffolds").join(p6_splits(s, d), "row_id")
     values = rows.select("split", F.explode(F.array(*(F.struct(F.lit(c).alias("link"), F.trim(c).alias("value")) for c in _LINKS))).alias("x")).select("split", "x.*")
     parted = values.filter("value <> ''").groupBy("link", "value").agg(F.count_distinct("split").alias("n"))
-    return parted.groupBy("link").agg(F.count_if(F.col("n") > 1).alias("n_parted"))
+    return parted.groupBy("link").agg(F.count("*").alias("n_values"), F.count_if(F.col("n") > 1).alias("n_parted"))
 
 
 def p7_subset(s: SparkSession, d: str) -> DataFrame:
@@ -77,6 +79,15 @@ def p7_coverage(s: SparkSession, d: str) -> DataFrame:
     return variety.coverage(rows, variety.varied_subset(rows, SUBSET), "warhead_id")
 
 
+def p7_quality(s: SparkSession, d: str) -> DataFrame:
+    """Whether the subset spans more than as many rows taken at random, by the logarithm of the kernel's determinant."""
+    rows = table(s, d, "routes_scored")
+    subset = variety.varied_subset(rows, SUBSET)
+    chance = rows.filter("smiles is not null").orderBy(F.xxhash64("row_id"), "row_id").limit(SUBSET).select("row_id")
+    spans = [variety.volume(rows.join(F.broadcast(keys), "row_id", "left_semi")) for keys in (subset.select("row_id"), chance)]  # SUBSET rows each
+    return s.createDataFrame([(subset.count(), spans[0] > spans[1])], "n_rows long, spans_more boolean")
+
+
 def p8_ids(s: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(s, d, "documents"))
 
@@ -102,7 +113,7 @@ def p10_composition(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_report p2_found p2_sizes p4_found p4_records p6_splits p6_totals p6_shared p7_subset p7_coverage p8_ids p9_found p9_report p10_found p10_composition"
+    names = "p1_found p1_report p2_found p2_sizes p4_found p4_records p6_splits p6_totals p6_shared p7_subset p7_coverage p7_quality p8_ids p9_found p9_report p10_found p10_composition"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -137,5 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_records": f"{_COPIED} SELECT source_table, keep_id, n AS n_copies FROM grouped WHERE id = keep_id",
         "p2_found": f"WITH RECURSIVE {_EDGES} SELECT group_id, row_id FROM found",
         "p2_sizes": f"WITH RECURSIVE {_EDGES}, sizes AS (SELECT count(*) AS n FROM found GROUP BY group_id) SELECT n, count(*) AS n_groups FROM sizes GROUP BY n",
-        "p6_shared": "SELECT unnest(['molecule', 'warhead_scaffold']) AS link, 0::BIGINT AS n_parted",
+        "p6_shared": " UNION ALL ".join(f"SELECT '{c}' AS link, count(DISTINCT trim({c}, ' ')) AS n_values, 0::BIGINT AS n_parted FROM scaffolds WHERE trim({c}, ' ') <> ''" for c in _LINKS),
+        "p6_totals": "SELECT split, n_rows, n_rows AS n_wanted FROM (SELECT unnest(['train', 'validation', 'test']) AS split, unnest([n - 2 * t, t, t]) AS n_rows FROM (SELECT count(*) AS n, round(count(*) * 0.1)::BIGINT AS t FROM scaffolds))",
+        "p7_quality": f"SELECT least({SUBSET}, count(DISTINCT smiles)) AS n_rows, true AS spans_more FROM routes_scored",
     }

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.llm.words import Numbers, batch_sentences
@@ -45,14 +45,27 @@ def log_odds(counts: np.ndarray, totals: np.ndarray, smooth: float = 0.5) -> np.
     return np.log(np.maximum(rate, 1e-12) / np.maximum(rest, 1e-12))
 
 
+#: Words, and sources and addresses, are counted by so many slots of their hashes: what is broadcast has one size, however many there are.
+WORD_SLOTS, META_SLOTS = 1 << 22, 1 << 16
+
+
+def slots_of(names: list[str], slots: int = WORD_SLOTS) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def meta_slot(c: Column) -> Column:
+    """The slot of a source or address, 0 for none."""
+    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(META_SLOTS - 1))).cast("int")
+
+
 class Lexicon:
-    """Each word speaks for one subject, with its weight, or for none; hashes of furniture lines are known too."""
+    """The subject that the words of each slot speak for, and their weight, 0 where they speak for none; hashes of furniture lines."""
 
-    def __init__(self, words: list[str], weights: np.ndarray, furniture: frozenset[int] = frozenset()):
-        best = weights.max(1) if len(words) else np.zeros(0)
-        self.k = weights.shape[1]
-        self.entries = {w: (int(s), float(v)) for w, s, v in zip(words, weights.argmax(1), np.minimum(best, 4.0)) if v > 1.0} if len(words) else {}
-        self.furniture = furniture
+    def __init__(self, slots: np.ndarray, subject: np.ndarray, weight: np.ndarray, k: int, furniture: frozenset[int] = frozenset()):
+        self.k, self.furniture = k, furniture
+        self.subject, self.weight = np.zeros(WORD_SLOTS, np.uint8 if k < 256 else np.int32), np.zeros(WORD_SLOTS, np.float32)
+        speaks = weight > 1.0
+        self.subject[slots[speaks]], self.weight[slots[speaks]] = subject[speaks], np.minimum(weight[speaks], 4.0)
 
 
 class Judge:
@@ -70,10 +83,11 @@ class Judge:
     def _grown(self) -> None:
         new = self.number.words[len(self.subject) - 1 :]
         if new:
-            got = [self.lexicon.entries.get(w, (0, 0.0)) for w in new]
-            self.subject = np.concatenate([self.subject, np.asarray([s for s, _ in got], np.int64)])
-            self.weight = np.concatenate([self.weight, np.asarray([v for _, v in got])])
-            self.hash = np.concatenate([self.hash, np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))])
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            slot = (hashes & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+            self.subject = np.concatenate([self.subject, self.lexicon.subject[slot].astype(np.int64)])
+            self.weight = np.concatenate([self.weight, self.lexicon.weight[slot].astype(float)])
+            self.hash = np.concatenate([self.hash, hashes])
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(words' numbers, sentence of each word, first token, length, line hash, text, vote or -1, whether strong) of the sentences that count."""
@@ -112,20 +126,20 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str],
     picked = labels.filter(F.col("subject").isin(subjects)).groupBy(key).agg(F.collect_set("subject").alias("subjects"))
     picked = picked.orderBy(F.xxhash64(key), key).limit(LABELLED)
     sample = picked.join(documents.select(key, text).filter(F.col(text).isNotNull()), key).select("subjects", text).toPandas()
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[int, np.ndarray] = {}
     totals, number = np.zeros(len(subjects)), Numbers()
     for names, own in zip(sample["subjects"], sample[text]):
         share = np.zeros(len(subjects))
         share[[rank[s] for s in names]] = 1 / len(names)
         totals += share
         tokens, _, first, last, _ = batch_sentences([own], number)
-        for w in {w for a, z in zip(first, last) if z - a >= LEAST_WORDS for w in tokens[a:z]}:
-            counts[w] = counts[w] + share if w in counts else share.copy()
-    words = sorted(w for w, c in counts.items() if c.sum() >= 2)
-    if not words:
-        return Lexicon([], np.zeros((0, len(subjects))))
-    table = np.stack([counts[w] for w in words])
-    return Lexicon(words, log_odds(table, totals) * (1 - np.exp(-table.sum(1, keepdims=True) / 2)))
+        words = sorted({w for a, z in zip(first, last) if z - a >= LEAST_WORDS for w in tokens[a:z]})
+        for slot in np.unique(slots_of(words)).tolist():
+            counts[slot] = counts[slot] + share if slot in counts else share.copy()
+    known = np.asarray(sorted(x for x, c in counts.items() if c.sum() >= 2), np.int64)
+    table = np.stack([counts[x] for x in known.tolist()]) if len(known) else np.zeros((0, len(subjects)))
+    weights = log_odds(table, totals) * (1 - np.exp(-table.sum(1, keepdims=True) / 2)) if len(known) else np.zeros((0, len(subjects)))
+    return Lexicon(known, weights.argmax(1), weights.max(1, initial=0.0), len(subjects))
 
 
 #: Words that a task numbers before it hands on its counts and begins anew.
@@ -133,7 +147,7 @@ REMEMBERED = 300_000
 
 
 def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataFrame:
-    """What the corpus says, by kind: words and metadata by subject, lines by the number of texts, documents.
+    """What the corpus says, by kind: slots of words and of metadata by subject, lines by the number of texts, documents.
 
     Each of c copies of a text counts 1/c in words, lines and documents, wherever they stand.
     """
@@ -143,19 +157,22 @@ def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataF
         judge = Judge(shared.value)
         words = np.zeros((1, k))
         lines: Counter = Counter()
-        other: dict[str, np.ndarray] = {}
+        other: dict[int, np.ndarray] = {}
         n = 0.0
 
         def flush() -> pa.RecordBatch:
             nonlocal words, n
             known = np.flatnonzero(words.any(1))
-            kinds = ["w"] * len(known) + ["m"] * len(other) + ["l"] * len(lines) + ["n"]
-            names = [*(judge.number.words[i - 1] for i in known), *other, *map(str, lines), ""]
-            table = np.concatenate([words[known], np.asarray([*other.values()]).reshape(-1, k)])
+            slot, place = np.unique((judge.hash[known] & np.uint64(WORD_SLOTS - 1)).astype(np.int64), return_inverse=True)
+            summed = np.zeros((len(slot), k))
+            np.add.at(summed, place.reshape(-1), words[known])
+            kinds = ["w"] * len(slot) + ["m"] * len(other) + ["l"] * len(lines) + ["n"]
+            names = pa.array(np.concatenate([slot, np.fromiter(other, np.int64, len(other)), np.fromiter(lines, np.uint64, len(lines)).view(np.int64), np.zeros(1, np.int64)]))
+            table = np.concatenate([summed, np.asarray([*other.values()]).reshape(-1, k)])
             much = [0.0] * len(table) + [*lines.values(), n]
             by = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, k, dtype=np.int32)), pa.array(table.ravel()))
             by = pa.concat_arrays([by, pa.nulls(len(lines) + 1, by.type)])
-            out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), by, pa.array(much, pa.float64())], names=["kind", "name", "by", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(kinds), names, by, pa.array(much, pa.float64())], names=["kind", "name", "by", "n"])
             words, n = np.zeros((1, k)), 0.0
             lines.clear(), other.clear(), judge.forget()
             return out
@@ -176,23 +193,27 @@ def _spread(shared, documents: DataFrame, text: str, extras: list[str]) -> DataF
                 words += np.bincount(numbers[use].astype(np.int64) * k + vote[owner[use]], counts[owner[use]], words.size).reshape(words.shape)
                 voted = vote >= 0
                 for e in range(len(extras)):
-                    names, code = np.unique(np.asarray([x or "" for x in part.column(1 + e).to_pylist()], object).astype(str), return_inverse=True)
+                    names, code = np.unique(part.column(1 + e).to_numpy(), return_inverse=True)
                     table = np.bincount(code[text_of[voted]] * k + vote[voted], minlength=len(names) * k).reshape(-1, k)
                     for name, c in zip(names.tolist(), table):
-                        key = f"{e}:{name}"
+                        key = e * META_SLOTS + name
                         other[key] = other[key] + c if key in other else c.astype(float)
-                if len(judge.number.words) > REMEMBERED or len(lines) > REMEMBERED or len(other) > 10_000:
+                if len(judge.number.words) > REMEMBERED or len(lines) > REMEMBERED:
                     yield flush()
         yield flush()
 
     own = documents.select(text, *extras).filter(F.col(text).isNotNull()).withColumns({"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)})
     copied = own.groupBy("_h", "_g").agg(F.count("*").alias("_c")).filter("_c > 1")
     weighted = own.join(copied, ["_h", "_g"], "left").select(text, *extras, (1 / F.coalesce("_c", F.lit(1))).alias("_w"))
-    return weighted.mapInArrow(run, "kind string, name string, by array<double>, n double")
+    return weighted.mapInArrow(run, "kind string, name long, by array<double>, n double")
 
 
-def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, extras: list[str]) -> tuple[Lexicon, list[dict[str, int]]]:
-    """The corpus-wide lexicon with the furniture lines, and what sources and addresses vote for."""
+def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, extras: list[str]) -> tuple[Lexicon, list[np.ndarray]]:
+    """The corpus-wide lexicon with the furniture lines, and what each slot of sources and addresses votes for, -1 for nothing.
+
+    To the driver come at most WORD_SLOTS slots of words, META_SLOTS of each kind of metadata, and lines that so many
+    documents hold that each document's lines divided by FURNITURE_SHARE bounds them.
+    """
     spark = documents.sparkSession
     k = len(subjects)
     start = first_lexicon(documents, labels, subjects, key, text)
@@ -201,29 +222,32 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
     found = _spread(shared, documents, text, extras).groupBy("kind", "name").agg(by.alias("by"), F.sum("n").alias("n")).withColumn("all", F.aggregate("by", F.lit(0.0), lambda a, x: a + x))
     found = Scratch(spark).keep(found)
     n_documents = found.filter("kind = 'n'").agg(F.sum("n")).first()[0] or 0
-    words = found.filter(f"kind = 'w' and all >= {LEAST_VOTES - 1e-6}").select("name", "by").toPandas().sort_values("name", ignore_index=True)
     least = max(8, int(n_documents * FURNITURE_SHARE))
-    furniture = frozenset(int(r["name"]) for r in found.filter(f"kind = 'l' and n >= {least - 1e-6}").select("name").collect())
-    votes: list[dict[str, int]] = [{} for _ in extras]
+    furniture = frozenset(int(r["name"]) % 2**64 for r in found.filter(f"kind = 'l' and n >= {least - 1e-6}").select("name").collect())
+    votes = [np.full(META_SLOTS, -1, np.int64) for _ in extras]
     meta = [(r["name"], np.asarray(r["by"])) for r in found.filter(f"kind = 'm' and all >= {LEAST_META}").orderBy("name").collect()]
     for e in range(len(extras)):
-        own = {n.partition(":")[2]: c for n, c in meta if n.startswith(f"{e}:")}
+        own = {n % META_SLOTS: c for n, c in meta if n // META_SLOTS == e}
         total = sum(own.values()) if own else None
-        for name, c in own.items():
+        for slot, c in own.items():
             lift = (c / c.sum()) / np.maximum(total / total.sum(), 1e-9)
-            if lift.max() >= LIFT and name:
-                votes[e][name] = int(lift.argmax())
-    if not len(words):
+            if lift.max() >= LIFT and slot:
+                votes[e][slot] = int(lift.argmax())
+    counted = found.filter(f"kind = 'w' and all >= {LEAST_VOTES - 1e-6}")
+    totals = np.asarray(counted.agg(by.alias("t")).first()["t"], float)
+    if np.isnan(totals).any():
         return start, votes
-    table = np.stack([np.asarray(x) for x in words["by"]])
-    weights = log_odds(table, table.sum(0) + 1)
-    # Words that the hand labels knew but the corpus hardly has stay as they were.
-    known = dict(zip(words["name"], range(len(words))))
-    extra = [w for w in start.entries if w not in known]
-    rows = np.zeros((len(extra), k))
-    for i, w in enumerate(extra):
-        rows[i, start.entries[w][0]] = start.entries[w][1]
-    return Lexicon([*words["name"], *extra], np.concatenate([weights, rows]), furniture), votes
+    # Only the slots' subjects and weights leave the executors, as log_odds has them.
+    whole = totals + 1
+    rate = [(F.col("by")[i] + float(0.5 * whole[i] / whole.sum())) / float(whole[i] + 1) for i in range(k)]
+    every = sum(rate[1:], rate[0])
+    odds = F.array_max(F.array(*(F.struct((F.ln(F.greatest(r, F.lit(1e-12))) - F.ln(F.greatest((every - r) / max(k - 1, 1), F.lit(1e-12)))).cast("float").alias("w"), F.lit(-i).alias("i")) for i, r in enumerate(rate))))
+    words = counted.select("name", odds.alias("o")).select("name", (-F.col("o.i")).alias("subject"), F.col("o.w").alias("weight")).toPandas()
+    # Slots that the hand labels knew but the corpus hardly has stay as they were.
+    weight, subject = start.weight.copy(), start.subject.copy()
+    weight[words["name"]], subject[words["name"]] = words["weight"], words["subject"]
+    slot = np.flatnonzero(weight)
+    return Lexicon(slot, subject[slot], weight[slot], k, furniture), votes
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
@@ -263,12 +287,12 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     counts of vote patterns come to the driver. Without labels nothing can be learned and the result is empty.
     """
     spark = documents.sparkSession
-    names = sorted(r["subject"] for r in subjects.select("subject").distinct().limit(1000).collect() if r["subject"])
+    names = sorted(r["subject"] for r in subjects.select("subject").distinct().collect() if r["subject"])  # the few that documents are measured by
     schema = f"{key} long, subject string, share double"
     if not names:
         return spark.createDataFrame([], schema)
     kind = F.regexp_extract(F.coalesce(F.col(address).cast("string"), F.lit("")), "^([A-Za-z]*[0-9]*?)[_-]", 1)
-    docs = documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), kind.alias("_address"))
+    docs = documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text), meta_slot(F.col(source).cast("string")).alias("_source"), meta_slot(kind).alias("_address"))
     lexicon, meta = learn(docs, labels, names, key, text, ["_source", "_address"])
     shared = spark.sparkContext.broadcast((lexicon, meta))
     k = len(names)
@@ -290,7 +314,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                 same = text_of[1:] == text_of[:-1]
                 before[1:][same], after[:-1][same] = vote[:-1][same], vote[1:][same]
                 section = np.where(before == after, before, np.where(before < 0, after, np.where(after < 0, before, -1)))
-                sources, addresses = (np.asarray([d.get(x, -1) for x in part.column(c).to_pylist()]) for c, d in ((2, by_source), (3, by_address)))
+                sources, addresses = (d[part.column(c).to_numpy()] for c, d in ((2, by_source), (3, by_address)))
                 code = np.zeros(len(vote), np.int64)
                 for v in (np.where(strong, vote, -1), np.where(strong, -1, vote), section, sources[text_of], addresses[text_of]):
                     code = code * base + v + 1

@@ -19,14 +19,18 @@ from molquarry.llm.cosine_join import gram_hashes
 from molquarry.llm.molecules import molecule_text
 from molquarry.runtime import Scratch
 
-#: Length of the vectors; characters of a gram; grams of the middle count less than those of the ends by nothing:
-#: what makes a series, shared ends, makes vectors alike.
+#: The least length of the vectors; characters of a gram. What makes a series, shared ends, makes vectors alike.
 DIMENSIONS, GRAM = 256, 5
 #: Rows that a partition selects from, at most about; and that the last pass does.
 PARTITION_ROWS, LAST_ROWS = 8_192, 16_384
 
 
-def vectors(texts: list[str]) -> np.ndarray:
+def dimensions(size: int) -> int:
+    """A power of two that is twice the subset at least: with fewer dimensions than rows the volume would be the ridge's."""
+    return max(DIMENSIONS, 1 << (2 * size - 1).bit_length())
+
+
+def vectors(texts: list[str], length: int = DIMENSIONS) -> np.ndarray:
     """A unit vector for each text: signed hashed counts of its grams, square roots taken. Zero for texts without grams."""
     h, owner, _ = gram_hashes([t if len(t) >= GRAM else t.ljust(GRAM, "\x01") for t in texts], GRAM)
     order = np.lexsort((h, owner))
@@ -34,9 +38,9 @@ def vectors(texts: list[str]) -> np.ndarray:
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([new, [len(h)]]))
     h, owner = h[new], owner[new]
-    slot = (h % np.uint64(DIMENSIONS)).astype(np.int64)
+    slot = (h % np.uint64(length)).astype(np.int64)
     sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    x = np.bincount(owner * DIMENSIONS + slot, sign * np.sqrt(count), len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS)
+    x = np.bincount(owner * length + slot, sign * np.sqrt(count), len(texts) * length).reshape(len(texts), length)
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
@@ -89,7 +93,7 @@ def varied_subset(df: DataFrame, size: int, key: str = "row_id", smiles: str = "
             return
         table = pa.Table.from_batches(got).sort_by("id")
         ids, texts = table.column("id").to_numpy(), table.column("text").to_pylist()
-        picked = greedy_determinant(vectors(texts), size)
+        picked = greedy_determinant(vectors(texts, dimensions(size)), size)
         yield pa.RecordBatch.from_arrays([pa.array(ids[picked]), pa.array([texts[i] for i in picked], pa.string()), pa.array(np.arange(1, len(picked) + 1, dtype=np.int32))], names=["id", "text", "rank"])
 
     last = max(LAST_ROWS, 2 * size)
@@ -103,6 +107,12 @@ def varied_subset(df: DataFrame, size: int, key: str = "row_id", smiles: str = "
     return rows.select("id", "text").repartition(1).mapInArrow(select, "id long, text string, rank int").select(F.col("id").alias(key), "rank")
 
 
+def volume(df: DataFrame, smiles: str = "smiles", ridge: float = 1e-3) -> float:
+    """Logarithm of the determinant of the kernel of a chosen subset's molecules."""
+    x = vectors([molecule_text(r[0]) for r in df.select(smiles).collect()], dimensions(max(1, df.count()))).astype(float)
+    return float(np.linalg.slogdet(x @ x.T + ridge * np.eye(len(x)))[1])
+
+
 def coverage(df: DataFrame, subset: DataFrame, group: str, key: str = "row_id") -> DataFrame:
     """By group: its rows in the whole table and in the subset."""
     own = df.select(key, group).join(subset.select(key, F.lit(1).alias("_in")), key, "left")

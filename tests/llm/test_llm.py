@@ -380,12 +380,12 @@ def test_subjects_learn_the_same_however_rows_are_spread(spark):
     rows = [(i, "\n\n".join([line("law" if i % 2 else "sport") for _ in range(4)] + [furniture]), "mail", "a") for i in range(24)]
     once = line("law") + "\n\nThis note stands in one text alone"
     rows += [(100 + i, once, "mail", "a") for i in range(16)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, address string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, address string").withColumns({c: subjects.meta_slot(F.col(c)) for c in ("source", "address")})
     labels = spark.createDataFrame([(i, "law" if i % 2 else "sport") for i in range(24)], "doc_id long, subject string")
     spread = [subjects.learn(docs.repartitionByRange(n, "doc_id"), labels, ["law", "sport"], "doc_id", "text", ["source", "address"]) for n in (1, 40)]
     (one, a), (many, b) = spread
-    assert one.furniture == many.furniture and len(many.furniture) == 1 and a == b
-    assert one.entries.keys() == many.entries.keys() and all(one.entries[w] == pytest.approx(many.entries[w]) for w in one.entries)
+    assert one.furniture == many.furniture and len(many.furniture) == 1 and all(np.array_equal(x, y) for x, y in zip(a, b))
+    assert np.array_equal(one.subject, many.subject) and one.weight == pytest.approx(many.weight) and (one.weight > 0).any()
 
 
 def test_accuracies_are_learned():
