@@ -34,8 +34,9 @@ def min_labels(edges: DataFrame) -> DataFrame:
     edges = scratch.keep(edges)
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).select("x.*")
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
-        labels = ends.groupBy("v").agg(F.least(F.first(order("v")), F.min(order("u")))["n"].alias("l"))
+        first = lambda c: F.xxhash64(F.col(c), F.lit(len(rounds)))  # noqa: B023, E731
+        ahead = (first("u") < first("v")) | ((first("u") == first("v")) & (F.col("u") < F.col("v")))
+        labels = ends.groupBy("v").agg(F.min_by("u", first("u")).alias("u")).select("v", F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("l"))
         labels = scratch.keep(labels)
         while True:  # pointers double until none moves, so that a chain of any length falls to its end
             to = labels.select(F.col("v").alias("l"), F.col("l").alias("up"))

@@ -82,7 +82,8 @@ def copies(df: DataFrame, shape: RecordShape) -> DataFrame:
     """
     scratch = Scratch(df.sparkSession)
     made = scratch.keep(digests(df.filter(F.col(shape.key).isNotNull()), shape))  # trees are made once
-    groups = made.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "tree")).alias("first")).filter("n > 1").select("digest", F.col("first.id").alias("keep_id"), F.col("first.tree").alias("kept"))
+    groups = scratch.keep(made.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keep_id")).filter("n > 1").drop("n"))
+    groups = groups.join(made.select(F.col("id").alias("keep_id"), "digest", F.col("tree").alias("kept")), ["keep_id", "digest"]).distinct()
     pairs = scratch.keep(made.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(replicated(groups), ["digest", "_salt"]).select("digest", "tree", "kept", "id", "keep_id"))
     scratch.drop(but=1)
     same = pairs.filter("tree = kept and id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))

@@ -49,10 +49,16 @@ def gram_hashes(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.nd
     owner = np.repeat(np.arange(len(texts)), counts)
     pos = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = (np.cumsum(sizes) - sizes)[owner] + pos
-    h = np.zeros(max(len(codes) - q + 1, 0), np.uint64)
+    n = max(len(codes) - q + 1, 0)
+    h, done, part, size = np.zeros(n, np.uint64), 0, codes * _MULT, 1  # part: hashes of `size` characters, joined as the bits of q ask
     with np.errstate(over="ignore"):
-        for i in range(q):
-            h = h * np.uint64(1000003) + codes[i : i + len(h)]
+        while size <= q:
+            if q & size:
+                h = (h ^ (h >> np.uint64(29))) * _MULT + part[done : done + n]
+                done += size
+            m = max(len(part) - size, 0)
+            part = (part[:m] ^ (part[:m] >> np.uint64(31))) * np.uint64(0x5851F42D4C957F2D) + part[size : size + m]
+            size *= 2
         h = (h ^ (h >> np.uint64(29))) * _MULT
         h ^= h >> np.uint64(32)
     return h[start], owner, pos
@@ -135,7 +141,9 @@ def prefixes(texts: list[str], counts: np.ndarray, total: float, plan: JoinPlan)
 _LISTED = ("text", "hash", "pos", "weight", "bound", "rest")
 #: Places in inverted lists are cut into buckets of so many positions; a bucket and the next cover edits of both ends.
 _REACH = 8
-_MIX = 0x5851F42D4C957F2D
+#: Lengths are cut into bands too, so that the list of a gram that a whole series shares is split by length.
+_BAND = 16
+_MIX, _MIX_2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
 def slot_counts(texts: DataFrame, plan: JoinPlan) -> np.ndarray:
@@ -158,7 +166,7 @@ def slot_counts(texts: DataFrame, plan: JoinPlan) -> np.ndarray:
 def _postings(texts: DataFrame, shared, total: float, plan: JoinPlan, probe: bool) -> DataFrame:
     """key, id, place (position and length), weight, signature: the listed grams of texts(id, text).
 
-    A text that is listed stands in one bucket of positions a gram; one that probes looks into all within reach.
+    A text that is listed stands in one bucket of positions and lengths a gram; one that probes looks into all within reach.
     """
     k = plan.edits
 
@@ -171,12 +179,13 @@ def _postings(texts: DataFrame, shared, total: float, plan: JoinPlan, probe: boo
                 got = prefixes(own, shared.value, total, plan)
                 sig = signatures(own)
                 t, pos = got["text"], got["pos"]
-                for turn in (0, 1) if probe else (0,):
-                    at = (pos - k if turn == 0 else pos + k) if probe else pos
-                    bucket = np.maximum(at, 0) // _REACH
-                    use = np.ones(len(t), bool) if turn == 0 else bucket != np.maximum(pos - k, 0) // _REACH
+                size = sizes[t]
+                place, band = (np.maximum(x - k, 0) // w if probe else x // w for x, w in ((pos, _REACH), (size, _BAND)))
+                for turn in range(4 if probe else 1):
+                    at, of = (np.maximum(pos + k, 0) // _REACH if turn & 1 else place), ((size + k) // _BAND if turn & 2 else band)
+                    use = (at != place if turn & 1 else np.ones(len(t), bool)) & (of != band if turn & 2 else True)
                     with np.errstate(over="ignore"):
-                        key = got["hash"] ^ (bucket.astype(np.int64) + 1) * np.int64(_MIX)
+                        key = got["hash"] ^ ((at.astype(np.int64) + 1) * np.int64(_MIX) + (of.astype(np.int64) + 1) * np.int64(_MIX_2))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key[use]), pa.array(ids[t][use]), pa.array(pos[use].astype(np.int32)), pa.array(sizes[t][use].astype(np.int32)),
@@ -188,50 +197,55 @@ def _postings(texts: DataFrame, shared, total: float, plan: JoinPlan, probe: boo
     return texts.select("id", "text").mapInArrow(run, "key long, id long, pos int, size int, weight float, sig long")
 
 
-def _bounds(texts: DataFrame, shared, total: float, plan: JoinPlan) -> DataFrame:
-    """id, text, bound, rest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 4096):
-                part = b.slice(start, 4096)
-                got = prefixes(part.column(1).to_pylist(), shared.value, total, plan)
-                bound, rest = np.zeros(part.num_rows), np.zeros(part.num_rows)
-                bound[got["text"]], rest[got["text"]] = got["bound"], got["rest"]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bound), pa.array(rest)], names=["id", "text", "bound", "rest"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, text string, bound double, rest double")
-
-
 def _dots(pairs: DataFrame, shared, total: float, plan: JoinPlan) -> DataFrame:
-    """pairs with dot, the exact product of the two texts' vectors, and cosine."""
+    """The pairs that both prunings leave, with cosine: what the lists have gathered and the residual norms must reach the
+    larger bound of the two texts, and so must the exact product of their vectors."""
     q = plan.gram
 
-    def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(texts: list[str]) -> tuple[np.ndarray, ...]:
+        """hash, text and squared weight of each gram once; norm, bound and residual norm of each text."""
+        got = prefixes(texts, shared.value, total, plan)
+        bound, rest = np.zeros(len(texts)), np.zeros(len(texts))
+        bound[got["text"]], rest[got["text"]] = got["bound"], got["rest"]
         h, owner, _ = gram_hashes(texts, q)
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        return h[once], owner[once], weights_of(h[once], shared.value, total)
+        h, owner = h[once], owner[once]
+        w = weights_of(h, shared.value, total)
+        return h, owner, w, np.bincount(owner, w, len(texts)), bound, rest
+
+    def numbered(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Each text once, and where each stands: a text is in many pairs."""
+        names, at = np.unique(np.asarray(texts, object), return_inverse=True)
+        return names.tolist(), at.reshape(-1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 4096):
                 part = b.slice(start, 4096)
                 n = part.num_rows
-                (hx, ox, wx), (hy, oy, wy) = (vectors(part.column(part.schema.get_field_index(c)).to_pylist()) for c in ("left_text", "right_text"))
-                h, o, w = np.concatenate([hx, hy]), np.concatenate([ox, oy]), np.concatenate([wx, wy])
-                order = np.lexsort((h, o))
-                h, o, w = h[order], o[order], w[order]
-                both = np.flatnonzero((h[1:] == h[:-1]) & (o[1:] == o[:-1])) if len(h) else np.zeros(0, np.int64)
-                dot = np.bincount(o[both], w[both], n)
-                norms = np.bincount(ox, wx, n) * np.bincount(oy, wy, n)
-                cosine = dot / np.sqrt(np.maximum(norms, 1e-300))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(dot), pa.array(np.minimum(cosine, 1.0))], names=[*part.schema.names, "dot", "cosine"])
+                (left, li), (right, ri) = (numbered(part.column(part.schema.get_field_index(c)).to_pylist()) for c in ("left_text", "right_text"))
+                h, owner, w, norm, bound, rest = vectors(left + right)
+                ri = ri + len(left)
+                least = np.maximum(bound[li], bound[ri]) * (1 - 1e-5)
+                gathered = part.column(part.schema.get_field_index("gathered")).to_numpy()
+                keep = np.flatnonzero(gathered + np.maximum(rest[li], rest[ri]) >= least)
+                begin = np.searchsorted(owner, np.arange(len(left) + len(right) + 1))
+                dot = np.zeros(n)
+                for i in keep.tolist():
+                    a, z = begin[li[i]], begin[li[i] + 1]
+                    c, d = begin[ri[i]], begin[ri[i] + 1]
+                    at = np.minimum(np.searchsorted(h[c:d], h[a:z]), d - c - 1)
+                    dot[i] = w[a:z][h[c:d][at] == h[a:z]].sum()
+                keep = keep[dot[keep] >= least[keep]]
+                cosine = np.minimum(dot[keep] / np.sqrt(np.maximum(norm[li[keep]] * norm[ri[keep]], 1e-300)), 1.0)
+                part = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cosine)], names=[*part.schema.names, "cosine"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(run, f"{kinds}, dot double, cosine double")
+    return pairs.mapInArrow(run, f"{kinds}, cosine double")
 
 
 def _pieces(texts: DataFrame, plan: JoinPlan, probe: bool) -> DataFrame:
@@ -281,12 +295,10 @@ def near_texts(left: DataFrame, right: DataFrame, plan: JoinPlan = JoinPlan(), s
         & (F.bit_count(F.col("sig").bitwiseXOR(F.col("r_sig"))) <= 4 * k)
     )
     gathered = met.groupBy(F.col("id").alias("left_id"), F.col("r_id").alias("right_id")).agg(F.sum("weight").alias("gathered"))
-    lb, rb = (_bounds(t.filter(long), shared, total, plan).select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "text", "bound", "rest"))) for t, side in ((left, "left"), (right, "right")))
-    bound = F.greatest("left_bound", "right_bound") * (1 - 1e-5)
-    candidates = gathered.join(lb, "left_id").join(rb, "right_id").filter(F.col("gathered") + F.greatest("left_rest", "right_rest") >= bound).select("left_id", "right_id", "left_text", "right_text", bound.alias("bound"))
-    exact = _dots(candidates, shared, total, plan).filter("dot >= bound")
+    sides = (t.filter(long).select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")) for t, side in ((left, "left"), (right, "right")))
+    candidates = gathered.join(next(sides), "left_id").join(next(sides), "right_id").select("left_id", "right_id", "left_text", "right_text", "gathered")
     distance = F.levenshtein("left_text", "right_text", k)
-    found = exact.withColumn("distance", distance).filter("distance >= 0").select("left_id", "right_id", "distance", "cosine")
+    found = _dots(candidates, shared, total, plan).withColumn("distance", distance).filter("distance >= 0").select("left_id", "right_id", "distance", "cosine")
     # Short texts: one piece of the left text stands whole in the right one.
     met = _pieces(left, plan, probe=False).join(_pieces(right, plan, probe=True).withColumnRenamed("id", "r_id"), "key").select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
     short = (
