@@ -142,7 +142,7 @@ _LISTED = ("text", "hash", "pos", "weight", "bound", "rest")
 #: Places in inverted lists are cut into buckets of so many positions; a bucket and the next cover edits of both ends.
 _REACH = 8
 #: Lengths are cut into bands too, so that the list of a gram that a whole series shares is split by length.
-_BAND = 16
+_BAND = 32
 _MIX, _MIX_2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
