@@ -7,12 +7,14 @@ table of members by members from one pass.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.operators.metrics import finite_pairs, regression_metrics
+from molquarry.operators.metrics import finite_pairs, ranking_metrics, regression_metrics
+from molquarry.runtime import Scratch
 
 
 def error_products(predictions: DataFrame, truth: DataFrame, members: list[str]) -> tuple[np.ndarray, int]:
@@ -65,6 +67,63 @@ def greedy_selection(predictions: DataFrame, truth: DataFrame, size: int = 50, s
     return predictions.sparkSession.createDataFrame(rows, "model string, weight double").orderBy(F.desc("weight"), "model")
 
 
+#: Metrics that selection may go by; all are turned so that lower is better.
+METRICS = ("rmse", "mse", "r2", "auc", "log_loss", "brier")
+
+
+def selection_metric(df: DataFrame, y: str, p: str, metric: str, threshold: float = 0.7, *groups: str) -> DataFrame:
+    """groups, value (lower is better): rmse, mse, -r2, -auc, log_loss or brier; the last three see y from the threshold on as 1.
+
+    Pairs that aren't finite are left out; r2 of a constant truth and auc of one class are null.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"{metric} isn't one of {METRICS}")
+    if metric == "auc":
+        return ranking_metrics(df, y, p, threshold, list(groups)).select(*groups, (-F.col("roc_auc")).alias("value"))
+    t, q = (F.col(y) >= threshold).cast("double"), F.least(F.greatest(F.col(p).cast("double"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    e2 = (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
+    value = {
+        "mse": F.avg(e2), "rmse": F.sqrt(F.avg(e2)), "r2": F.when(F.var_pop(y) > 0, F.avg(e2) / F.nullif(F.var_pop(y), F.lit(0.0)) - 1),
+        "log_loss": -F.avg(t * F.ln(q) + (1 - t) * F.ln(1 - q)), "brier": F.avg((F.col(p) - t) * (F.col(p) - t)),
+    }
+    return finite_pairs(df, y, p).groupBy(*groups).agg(value[metric].alias("value"))
+
+
+def greedy_by(predictions: DataFrame, truth: DataFrame, metric: str, size: int = 50, start: int = 1, threshold: float = 0.7) -> DataFrame:
+    """model, weight by greedy selection with replacement under any metric; the best prefix counts, ties go to the first name.
+
+    Rows that all members predict are kept side by side in a written table; a round is one aggregation that judges
+    every candidate at once. Under squared error greedy_selection needs a single pass instead.
+    """
+    spark = predictions.sparkSession
+    members = sorted(r[0] for r in predictions.select("model").distinct().collect())
+    own = finite_pairs(predictions.join(truth, "row_id"), "y_pred", "y_true")
+    wide = own.groupBy("row_id", "y_true").pivot("model", members).agg(F.first("y_pred")).dropna(subset=members)
+    scratch = Scratch(spark)
+    wide = scratch.keep(wide.select("y_true", F.array(*(F.col(f"`{m}`").cast("double") for m in members)).alias("p")))
+    counts = np.zeros(len(members))
+
+    def judged() -> list[float]:
+        taken = F.aggregate(F.zip_with("p", F.array(*map(F.lit, counts.tolist())), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
+        tries = wide.select("y_true", taken.alias("s"), F.posexplode("p").alias("i", "x")).withColumn("q", (F.col("s") + F.col("x")) / (counts.sum() + 1))
+        got = {r["i"]: r["value"] for r in selection_metric(tries, "y_true", "q", metric, threshold, "i").collect()}
+        return [math.inf if got.get(i) is None else got[i] for i in range(len(members))]
+
+    first = judged()
+    for i in sorted(range(len(members)), key=lambda i: (first[i], i))[:start]:
+        counts[i] += 1
+    best, kept = (first[int(np.argmax(counts))], counts.copy()) if start == 1 else (math.inf, counts.copy())
+    while counts.sum() < size:
+        values = judged()
+        i = min(range(len(members)), key=lambda i: (values[i], i))
+        counts[i] += 1
+        if values[i] < best - 1e-15:
+            best, kept = values[i], counts.copy()
+    scratch.drop()
+    rows = [(m, float(c / kept.sum())) for m, c in zip(members, kept) if c > 0]
+    return spark.createDataFrame(rows, "model string, weight double").orderBy(F.desc("weight"), "model")
+
+
 def uniform_weights(predictions: DataFrame) -> DataFrame:
     names = predictions.select("model").distinct()
     total = names.agg(F.count("*").alias("_n"))

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from molquarry.functions.scores import bounded
 from molquarry.operators.metrics import hpo_objective, regression_metrics, spearman
@@ -36,6 +39,41 @@ def sanitized(df: DataFrame, cols: list[str], limit: float = 1e4) -> DataFrame:
     return df.withColumns({c: bounded(F.col(c).cast("double"), limit) for c in cols})
 
 
+@dataclass(frozen=True)
+class QuantileNormal:
+    """A target brought to a normal distribution by its quantiles, and back; values beyond the fitted range take its ends."""
+
+    values: tuple[float, ...]
+    scores: tuple[float, ...]
+
+    @staticmethod
+    def fit(df: DataFrame, y: str, n: int = 1000) -> QuantileNormal:
+        """From n + 1 exact quantiles of the finite values; one aggregation."""
+        shares = [i / n for i in range(n + 1)]
+        x = F.when(F.abs(F.col(y).cast("double")) < float("inf"), F.col(y).cast("double"))
+        cuts = df.agg(F.percentile(x, shares).alias("q")).first()["q"]
+        if not cuts:
+            raise ValueError(f"no finite values in {y}")
+        inverse = NormalDist().inv_cdf
+        values, at = np.unique(np.asarray(cuts, float), return_inverse=True)
+        score = np.bincount(at.reshape(-1), [inverse(min(max(s, 1e-7), 1 - 1e-7)) for s in shares]) / np.bincount(at.reshape(-1))
+        return QuantileNormal(tuple(values.tolist()), tuple(score.tolist()))
+
+    def _mapped(self, c: Column, a: tuple, b: tuple) -> Column:
+        @F.pandas_udf(DoubleType())
+        def run(x: pd.Series) -> pd.Series:
+            got = np.interp(x.to_numpy(float, na_value=np.nan), a, b)
+            return pd.Series(np.where(x.isna(), np.nan, got)).astype("Float64").mask(x.isna().to_numpy())
+
+        return run(c.cast("double"))
+
+    def forward(self, c: Column) -> Column:
+        return self._mapped(c, self.values, self.scores)
+
+    def inverse(self, c: Column) -> Column:
+        return self._mapped(c, self.scores, self.values)
+
+
 @dataclass(frozen=True)
 class BackendSpec:
     """make: parameters to an estimator; space: parameter to (kind, low, high): 'int', 'float' or 'log'."""

@@ -92,7 +92,9 @@ def filled_clusters(sizes: DataFrame, cluster: str, size: str, target: int, seed
 
     Clusters that would pass the target are skipped, so later, smaller ones can still fill it.
     """
-    rows = sizes.select(cluster, size).orderBy(F.xxhash64(F.col(cluster), F.lit(seed)), cluster).limit(MAX_GROUPS).collect()
+    rows = sizes.select(cluster, size).orderBy(F.xxhash64(F.col(cluster), F.lit(seed)), cluster).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} clusters: merge the smallest or hold out by a hash")
     taken, out = 0, []
     for c, n in rows:
         if taken + n <= target:
@@ -156,6 +158,47 @@ def cluster_quality(df: DataFrame, cluster: str, vector: str, size: int) -> Data
     return between.join(F.broadcast(bouldin), F.lit(True)).select(F.col("k").alias("n_clusters"), "largest", "mean_size", "size_skew", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
+def silhouette(df: DataFrame, cluster: str, vector: str, size: int) -> DataFrame:
+    """silhouette: mean over all rows, by squared Euclidean distance; rows alone in their cluster count 0, null for one cluster.
+
+    A row's mean squared distance to a cluster follows from the cluster's mean vector and mean squared length, so no
+    pair of rows is made: each row meets the clusters' table, a row a cluster. Rows with null vector or cluster take no part.
+    """
+    from molquarry.operators.similarity import centroids, dot
+
+    own = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    facts = centroids(own, "c", "v", size).join(own.groupBy("c").agg(F.count("*").alias("n"), F.avg(dot(F.col("v"), F.col("v"))).alias("q")), "c")
+    facts = Scratch(df.sparkSession).keep(facts)
+    table = facts.agg(F.collect_list(F.struct("c", "n", "q", "centroid")).alias("t"))  # one row a cluster
+    mean = lambda x: dot(F.col("v"), F.col("v")) + x["q"] - 2 * dot(F.col("v"), x["centroid"])
+    every = F.transform("t", lambda x: F.struct((x["c"] == F.col("c")).alias("own"), x["n"].alias("n"), mean(x).alias("d")))
+    rows = own.join(F.broadcast(table), F.lit(True)).select(every.alias("e"))
+    mine = F.filter("e", lambda x: x["own"])[0]
+    a, b = mine["d"] * mine["n"] / (mine["n"] - 1), F.array_min(F.transform(F.filter("e", lambda x: ~x["own"]), lambda x: x["d"]))
+    s = F.when(mine["n"] == 1, 0.0).when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return rows.agg(F.avg(F.when(F.size("e") > 1, s)).alias("silhouette"))
+
+
+def cutoff_sweep(keys: DataFrame, pairs: DataFrame, key: str, cutoffs: list[float], target: int, similarity: str = "jaccard") -> DataFrame:
+    """cutoff, n_clusters, largest, singletons, n_held, tightness for each distance cutoff: clusters by sphere exclusion, held out up to the target.
+
+    pairs(left, right, similarity) must hold all pairs within the largest cutoff; each smaller one takes a part of
+    them. tightness is the mean similarity of members to their centre, 1 for singletons. One job a cutoff, a few.
+    """
+    spark, rows = keys.sparkSession, []
+    pairs = Scratch(spark).keep(pairs)
+    for cut in sorted(cutoffs):
+        near = pairs.filter(F.col(similarity) >= 1 - cut - 1e-12)
+        got = sphere_exclusion(keys, near, key)
+        sizes = got.groupBy("centre").agg(F.count("*").alias("n"))
+        held = filled_clusters(sizes, "centre", "n", target).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("held"))
+        both = near.select(F.col("left").alias(key), F.col("right").alias("centre"), similarity).unionByName(near.select(F.col("right").alias(key), F.col("left").alias("centre"), similarity))
+        tight = got.join(both, [key, "centre"], "left").agg(F.avg(F.coalesce(F.col(similarity), F.lit(1.0))).alias("tightness"))
+        r = sizes.agg(F.count("*").alias("k"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons")).join(F.broadcast(held), F.lit(True)).join(F.broadcast(tight), F.lit(True)).first()
+        rows.append((float(cut), r["k"], r["largest"], r["singletons"], r["held"], r["tightness"]))
+    return spark.createDataFrame(rows, "cutoff double, n_clusters long, largest long, singletons long, n_held long, tightness double")
+
+
 # Picking by distance ----------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from molquarry.chem.backend import TextBackend, capped_variants
 from molquarry.functions import labels
 from molquarry.operators import ensembles as E
 from molquarry.operators import metrics as M
+from molquarry.operators import models as MO
 from molquarry.operators import relational as R
 from molquarry.operators import scoring as SC
 from molquarry.operators import selection as SE
@@ -195,6 +197,50 @@ def ensemble_strategies(s, d):
     return got.select("strategy", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
+_UNIT = f"(SELECT model, y_true / 500000 AS y, unnest AS p FROM (SELECT y_true, unnest(['GNN_seed0_fold0', 'GNN_seed0_fold1', 'MLP_seed0_fold0']) AS model, unnest([a, b, c]) / 500000 AS unnest FROM {_GUESS}))"
+_LOSS = "least(greatest(p, 1e-7), 1 - 1e-7)"
+
+
+@query(f"WITH m AS (SELECT model, avg((p - y)^2) AS mse, sqrt(avg((p - y)^2)) AS rmse, avg((p - y)^2) / var_pop(y) - 1 AS r2, avg(CASE WHEN y >= 0.3 THEN -ln({_LOSS}) ELSE -ln(1 - {_LOSS}) END) AS log_loss, avg((p - (y >= 0.3)::INT)^2) AS brier FROM {_UNIT} GROUP BY 1), r AS (SELECT model, y >= 0.3 AS t, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS k FROM {_UNIT}), a AS (SELECT model, -(sum(k) FILTER (WHERE t) - count(*) FILTER (WHERE t) * (count(*) FILTER (WHERE t) + 1) / 2.0) / (count(*) FILTER (WHERE t) * count(*) FILTER (WHERE NOT t)) AS auc FROM r GROUP BY 1) SELECT model, unnest(['rmse', 'mse', 'r2', 'auc', 'log_loss', 'brier']) AS metric, round(unnest([rmse, mse, r2, auc, log_loss, brier]), 6) AS value FROM m JOIN a USING (model)")
+def selection_metrics(s, d):
+    """Every metric that an ensemble may be selected by, of every member."""
+    predictions, truth = _ensemble(s, d)
+    own = predictions.join(truth, "row_id").select("model", (F.col("y_true") / 500000).alias("y"), (F.col("y_pred") / 500000).alias("p"))
+    return rounded(reduce(DataFrame.unionByName, (E.selection_metric(own, "y", "p", m, 0.3, "model").withColumn("metric", F.lit(m)) for m in E.METRICS)))
+
+
+@query(_GREEDY.format(where="").replace("WHERE k < 30", "WHERE k < 8") + " SELECT * FROM (SELECT unnest(['GNN_seed0_fold0', 'GNN_seed0_fold1', 'MLP_seed0_fold0']) AS model, unnest([round(ca / (ca + cb + cc), 6), round(cb / (ca + cb + cc), 6), round(cc / (ca + cb + cc), 6)]) AS weight FROM best) WHERE weight > 0")
+def greedy_by_r2(s, d):
+    """Selection under r2 by rounds over the rows: it must choose as that under squared error does."""
+    predictions, truth = _ensemble(s, d)
+    return rounded(E.greedy_by(predictions, truth, "r2", 8))
+
+
+@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)^2) AS s FROM e a, e b GROUP BY 1, 2, 3), d AS (SELECT vec_id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM p JOIN n ON n.label = other GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM d")
+def label_silhouette(s, d):
+    own = table(s, d, "embeddings")
+    return rounded(SE.silhouette(own, "label", "embedding", len(own.first()["embedding"])))
+
+
+@query("WITH RECURSIVE " + _NEAR.format(order="-len(coalesce(o, [])), id") + " SELECT 3::BIGINT AS n_cutoffs, (SELECT count(*) FROM picked) AS n_clusters_at_widest, true AS within_target, true AS tighter_when_narrower")
+def held_out_sweep(s, d):
+    """Clusters at three cutoffs, each with what it would hold out; the widest has as many clusters as stock_clusters."""
+    keys, pairs = table(s, d, "stock").select("id"), SI.similar_sets(_words(s, d), "id", "tokens", 0.8)
+    got = SE.cutoff_sweep(keys, pairs, "id", [0.05, 0.1, 0.2], 120)
+    chosen = SE.adaptive_cutoff(got.select("cutoff", "n_held", "tightness"), 120)
+    row = got.agg(F.count("*").alias("n_cutoffs"), F.max_by("n_clusters", "cutoff").alias("n_clusters_at_widest"), F.max("n_held").alias("most"), (F.max_by("tightness", "cutoff") <= F.min_by("tightness", "cutoff")).alias("tighter_when_narrower"))
+    return row.join(F.broadcast(chosen.select("n_held")), F.lit(True)).select("n_cutoffs", "n_clusters_at_widest", ((F.col("most") <= 120) & (F.col("n_held") <= 120)).alias("within_target"), "tighter_when_narrower")
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_moved, true AS centred FROM orders")
+def normal_targets(s, d):
+    """Prices brought to a normal distribution by their quantiles, and back again."""
+    own = table(s, d, "orders").select(F.col("o_totalprice").cast("double").alias("y"))
+    made = MO.QuantileNormal.fit(own, "y")
+    there = own.select("y", made.forward(F.col("y")).alias("z"))
+    return there.select("y", "z", made.inverse(F.col("z")).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("b") - F.col("y")) > 1e-6 * F.abs("y")).alias("n_moved"), ((F.abs(F.avg("z")) < 0.02) & (F.abs(F.stddev("z") - 1) < 0.05)).alias("centred"))
+
+
 @query(f"SELECT unnest(['GNN_seed0_fold0', 'GNN_seed0_fold1', 'MLP_seed0_fold0']) AS model, unnest([round(sqrt(avg((a - y_true) ^ 2)), 4), round(sqrt(avg((b - y_true) ^ 2)), 4), round(sqrt(avg((c - y_true) ^ 2)), 4)]) AS rmse FROM {_GUESS}")
 def member_errors(s, d):
     predictions, truth = _ensemble(s, d)

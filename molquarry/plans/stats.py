@@ -11,6 +11,7 @@ from molquarry.functions import scores
 from molquarry.operators import aggregates as A
 from molquarry.operators import metrics as M
 from molquarry.runtime import table
+from molquarry.streaming import scores as ST
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -288,6 +289,23 @@ def windowed_events(s, d):
     return rounded(got.select("user_group", F.col("window.start").alias("window_start"), "event_type", "n", "mean"))
 
 
+@query("SELECT w AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2")
+def sliding_events(s, d):
+    """Windows of two days that begin every day."""
+    return rounded(ST.sliding_counts(table(s, d, "events"), "ts", "event_type", "value"))
+
+
+@query("SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def user_sessions(s, d):
+    return ST.sessions(table(s, d, "events"), "ts", "user_id", "6 hours")
+
+
+@query("SELECT row_id, scored_at, loaded_at FROM routes_scored WHERE loaded_at > scored_at + INTERVAL 7 DAY")
+def late_arrivals(s, d):
+    """Rows that a watermark of a week may leave out."""
+    return ST.late_rows(table(s, d, "routes_scored"), "scored_at", "loaded_at").select("row_id", "scored_at", "loaded_at")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in Q.items()}
 

@@ -27,5 +27,24 @@ def windowed_counts(df: DataFrame, time: str, kind: str, length: str = "1 day",
     return got.select(F.col("window.start").alias("window_start"), kind, "n", "mean")
 
 
+def sliding_counts(df: DataFrame, time: str, kind: str, value: str, length: str = "2 days", step: str = "1 day", late: str = "7 days") -> DataFrame:
+    """window_start, kind, n, mean of windows of a length that begin every step; tables, or streams under a watermark."""
+    own = df.withWatermark(time, late) if df.isStreaming else df
+    got = own.groupBy(F.window(time, length, step), kind).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return got.select(F.col("window.start").alias("window_start"), kind, "n", "mean")
+
+
+def sessions(df: DataFrame, time: str, key: str, gap: str = "1 hour", late: str = "7 days") -> DataFrame:
+    """key, session_start, session_end, n: rows of a key that follow each other within the gap; the end is the last time plus the gap."""
+    own = df.withWatermark(time, late) if df.isStreaming else df
+    got = own.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+    return got.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+
+
+def late_rows(df: DataFrame, time: str, arrival: str, late: str = "7 days") -> DataFrame:
+    """Rows that arrived so long after the fact that a watermark of `late` may leave them out: to be counted, or added by a batch."""
+    return df.filter(F.col(arrival) > F.col(time) + F.expr(f"interval {late}"))
+
+
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)

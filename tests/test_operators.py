@@ -326,3 +326,22 @@ def test_longest_line_of_stacked_pairs(spark):
     got = {r["i"]: r for r in RT.score_routes(df).collect()}
     assert got[1]["struct_lls"] == 60 and got[2]["struct_lls"] == 3
     assert got[3]["tier"] == "unsolved" and got[3]["score_note"] == "no route found; malformed route"
+
+
+def test_significance_against_tables(spark):
+    """Critical values of the F distribution and of the studentised range, as printed in any textbook."""
+    from molquarry.operators import significance as SG
+
+    for f, a, b, p in ((4.9646, 1, 10, 0.05), (3.3541, 2, 27, 0.05), (5.4881, 2, 27, 0.01)):
+        assert math.isclose(SG.f_tail(f, a, b), p, rel_tol=2e-3)
+    for q, k, dof, p in ((3.877, 3, 10, 0.05), (3.506, 3, 27, 0.05), (4.495, 3, 27, 0.01), (5.27, 3, 10, 0.01)):
+        assert math.isclose(SG.range_tail(q, k, dof), p, rel_tol=2e-2)
+    rng = np.random.default_rng(1)
+    rows = [(g, float(rng.normal(m, 1))) for g, m in (("a", 0), ("b", 0), ("c", 3)) for _ in range(30)] + [(None, 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    pairs = {(r["first"], r["second"]): r["differs"] for r in SG.tukey_pairs(df, "x", "g").collect()}
+    assert sorted(v for k, v in pairs.items()) == [False, True, True] and sum("c" in k for k, v in pairs.items() if v) == 2
+    assert SG.anova_test(df.filter("g is not null"), "x", "g").first()["p_value"] < 1e-10
+    assert SG.levene_test(df.filter("g is not null"), "x", "g").first()["p_value"] > 0.01
+    assert SG.tukey_pairs(df.limit(0), "x", "g").count() == 0
+    assert SG.anova_test(df.filter("g = 'a'"), "x", "g").first()["p_value"] is None
