@@ -6,6 +6,7 @@ Hot tokens are never a prefix unless a set has nothing rarer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from molquarry.runtime import Scratch
+
 #: Rows of a block whose products are made at once.
 BLOCK_ROWS = 2_000
 #: Reference vectors that are broadcast at once: 10 MB at 256 dimensions.
@@ -49,16 +52,27 @@ def similar_sets(df: DataFrame, key: str, tokens: str, threshold: float) -> Data
     Equal sets are joined once through one representative, so copies don't multiply candidates; their pairs with
     the representative are given. Empty and null sets have no partners. threshold must be above 0.
     """
-    sets = df.filter(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s"))
-    rep = sets.groupBy("s").agg(F.min("k").alias("k"))
+    scratch = Scratch(df.sparkSession)
+    sets = scratch.keep(df.filter(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s")))
+    rep = scratch.keep(sets.groupBy("s").agg(F.min("k").alias("k")))
     copies = sets.join(rep.withColumnRenamed("k", "r"), "s").filter("k <> r").select(F.col("r").alias("left"), F.col("k").alias("right"), F.lit(1.0).alias("jaccard"))
     flat = rep.select("k", F.size("s").alias("n"), F.explode("s").alias("t"))
     freq = flat.groupBy("t").agg(F.count("*").alias("f"))
     ranked = flat.join(freq, "t").withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
-    prefix = ranked.filter(F.col("p") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("t", "k", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9))
-    pairs = met.select(F.col("a.k").alias("left"), F.col("b.k").alias("right")).distinct()
+    first = lambda share: F.col("p") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    # Sizes of similar sets lie in one band of the logarithm or in neighbouring ones, so that a hot token's list is split by size.
+    band = F.floor(F.ln("n") / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n").cast("long")
+    prefix = scratch.keep(ranked.filter(first(threshold)).select("t", "k", "n", "p", band.alias("b"), first(2 * threshold / (1 + threshold)).alias("listed")))
+    # Of a pair the smaller set is listed, under fewer tokens, and the larger one looks it up.
+    low = prefix.filter("listed").select(F.col("t"), F.col("b"), *(F.col(c).alias(f"a_{c}") for c in ("k", "n", "p")))
+    high = prefix.select("t", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("k", "n", "p")))
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    met = low.join(high, ["t", "b"]).filter(
+        ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_k") < F.col("b_k")))) & (F.col("a_n") >= threshold * F.col("b_n") - 1e-9)
+        # From their first common token on the sets must still have enough.
+        & (1 + F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p")) >= needed)
+    )
+    pairs = met.select(F.least("a_k", "b_k").alias("left"), F.greatest("a_k", "b_k").alias("right")).distinct()
     full = pairs.join(rep.select(F.col("k").alias("left"), F.col("s").alias("x")), "left").join(rep.select(F.col("k").alias("right"), F.col("s").alias("y")), "right")
     j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return full.select("left", "right", j.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).unionByName(copies)
