@@ -1,58 +1,70 @@
 """Delimited lines to a typed table, with the lines that can't be read and why (problem 3).
 
-Structure is checked on each line; values are not: each distinct value of a column is cast once, the
-failing ones make a dictionary of invalid values with reasons, and that dictionary is joined back.
+Structure is checked on each line; values are not: each distinct value is judged once for each kind of column it stands
+in, in Arrow batches, the failing ones make a dictionary of invalid values with reasons, and that is joined back.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.functions import smiles as S
-from molquarry.functions.text import decimal, let, strip_blanks
+from molquarry.functions.text import DECIMAL, decimal, let, strip_blanks
 from molquarry.runtime import SALTS, Scratch, replicated
 
 
-def _structure(c: Column) -> Column:
-    return S.fault(c)
+#: Judges values: texts to reasons, None for valid ones. Columns with one check share its dictionary.
+Check = Callable[[list[str]], list[str | None]]
+_DECIMAL = re.compile(DECIMAL[1:-1], re.ASCII)
 
 
-def _range(low: float, high: float | None, whole: bool = False):
-    def check(c: Column) -> Column:
-        x = decimal(c)
-        fault = F.when(x.isNull(), "not a number").when(x < low, "too small")
-        if high is not None:
-            fault = fault.when(x > high, "too large")
-        return fault.when(x != F.floor(x), "not whole") if whole else fault
+def _number(low: float, high: float | None, whole: bool = False) -> Check:
+    def one(text: str) -> str | None:
+        x = float(text) if _DECIMAL.fullmatch(text) else math.inf
+        if math.isinf(x):
+            return "not a number"
+        if x < low:
+            return "too small"
+        if high is not None and x > high:
+            return "too large"
+        return "not whole" if whole and x != math.floor(x) else None
 
-    return check
+    return lambda texts: [one(t) for t in texts]
 
 
-def _boolean(c: Column) -> Column:
-    return F.when(~F.lower(c).isin("true", "false"), "neither true nor false")
+def _booleans(texts: list[str]) -> list[str | None]:
+    return [None if t.lower() in ("true", "false") else "neither true nor false" for t in texts]
+
+
+CHECKS: dict[str, Check] = {"structure": S.faults, "boolean": _booleans, "share": _number(0, 1), "amount": _number(0, None), "count": _number(0, None, True)}
 
 
 @dataclass(frozen=True)
 class Field:
-    """name; type of the cast; check: a column to a reason, null where valid; needed: not empty."""
+    """name; type of the cast; check: a name in CHECKS or None; needed: not empty."""
 
     name: str
     type: str = "string"
-    check: object = None
+    check: str | None = None
     needed: bool = False
 
 
 #: The route files' seven fields.
 ROUTE_FIELDS = (
-    Field("smiles", "string", _structure, True),
-    Field("target_smiles", "string", _structure),
-    Field("resolved", "boolean", _boolean),
-    Field("route_score", "double", _range(0, 1)),
-    Field("search_time_seconds", "double", _range(0, None)),
-    Field("n_steps", "int", _range(0, None, whole=True)),
+    Field("smiles", "string", "structure", True),
+    Field("target_smiles", "string", "structure"),
+    Field("resolved", "boolean", "boolean"),
+    Field("route_score", "double", "share"),
+    Field("search_time_seconds", "double", "amount"),
+    Field("n_steps", "int", "count"),
     Field("note"),
 )
 
@@ -131,23 +143,24 @@ def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Pa
     checked = [f for f in fields if f.check or f.needed]
     long = fine.select(
         "line_id",
-        F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("value")) for f in checked))).alias("x"),
+        F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.check or "").alias("check"), F.lit(f.needed).alias("needed"), F.col(f.name).alias("value")) for f in checked))).alias("x"),
     ).select("line_id", "x.*")
-    fault = F.lit(None).cast("string")
-    for f in checked:
-        own = F.when(F.col("value") == "", "empty" if f.needed else None)
-        if f.check:
-            own = F.when(F.col("value") != "", f.check(F.col("value"))).otherwise(own)
-        fault = F.when(F.col("column") == f.name, own).otherwise(fault)
-    invalid = long.select("column", "value").distinct().withColumn("detail", fault).filter("detail is not null")
+    empty = long.filter("needed and value = ''").select("line_id", "column", F.lit("empty").alias("detail"))
+    valued = long.filter("check <> '' and value <> ''")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            for kind in sorted(set(kinds.tolist())):
+                own = values.take(pa.array(np.flatnonzero(kinds == kind)))
+                details = pa.array(CHECKS[kind](own.to_pylist()), pa.string())
+                bad = pa.array(np.flatnonzero(details.is_valid()))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(bad), pa.string()), own.take(bad), details.take(bad)], names=["check", "value", "detail"])
+
+    invalid = valued.select("check", "value").distinct().mapInArrow(judge, "check string, value string, detail string")
     # Hot values are spread by salt; the dictionary has one row a value.
-    faulty = (
-        long.withColumn("_salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int"))
-        .join(replicated(invalid), ["column", "value", "_salt"])
-        .groupBy("line_id")
-        .agg(F.min(F.struct("column", "detail")).alias("x"))
-        .select("line_id", F.lit("value").alias("reason"), "x.column", "x.detail")
-    )
+    found = valued.withColumn("_salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int")).join(replicated(invalid), ["check", "value", "_salt"]).select("line_id", "column", "detail")
+    faulty = found.unionByName(empty).groupBy("line_id").agg(F.min(F.struct("column", "detail")).alias("x")).select("line_id", F.lit("value").alias("reason"), "x.column", "x.detail")  # a line has a few faults, lines with one are few
     cast = {"string": lambda c: c, "double": decimal, "int": lambda c: decimal(c).cast("int"), "boolean": lambda c: F.lower(c) == "true"}
     rows = fine.join(faulty, "line_id", "left_anti").select(
         "line_id", *(F.when(F.col(f.name) != "", cast[f.type](F.col(f.name))).alias(f.name) for f in fields)

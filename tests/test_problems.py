@@ -130,3 +130,16 @@ def test_round_brackets_inside_bracket_atoms(spark):
 
     df = spark.createDataFrame([("CC[C@@H(](N)C)O",), ("CC[C@@H](N)C",), ("C%(12)CC%(12)",), ("C(C))C(",)], "s string")
     assert [r[0] for r in df.select(S.fault(F.col("s"))).collect()] == ["unbalanced brackets", None, None, "unbalanced brackets"]
+
+
+def test_faults_of_batches_are_those_of_columns(spark):
+    import random
+
+    from molquarry.functions import smiles as S
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("CCNcn1122()()[]%3=@H(") for _ in range(rng.randrange(0, 12))) for _ in range(3000)] + ["", "C%12CC%12", "C%(3)C3", "C1CC%01", "é", "CX?", "C\n", "[C@@H(](N)C", "C]C[", "%", "C%1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", S.fault(F.col("s")).alias("f")).collect()
+    got = S.faults(texts)
+    assert [(texts[r["i"]], r["f"]) for r in rows] == [(texts[r["i"]], got[r["i"]]) for r in rows] and {None, "foreign character", "unbalanced brackets", "unpaired ring number"} == set(got)
+    assert S.faults([]) == []
