@@ -16,9 +16,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The same characters one by one, for trimming.
+BLANKS = "".join(chr(i) for a, z in ((0x00, 0x20), (0x7F, 0xA0), (0xAD, 0xAD), (0x61C, 0x61C), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)) for i in range(a, z + 1))
+
+
 def strip_blanks(c: Column) -> Column:
-    """Without white space and invisible characters at either end."""
-    return F.regexp_replace(c, f"^[{INVISIBLE}]+|[{INVISIBLE}]+$", "")
+    """Without white space and invisible characters at either end: only the ends are looked at."""
+    return F.trim(c, F.lit(BLANKS))
 
 
 def without_blanks(c: Column) -> Column:

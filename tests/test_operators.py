@@ -345,3 +345,12 @@ def test_significance_against_tables(spark):
     assert SG.levene_test(df.filter("g is not null"), "x", "g").first()["p_value"] > 0.01
     assert SG.tukey_pairs(df.limit(0), "x", "g").count() == 0
     assert SG.anova_test(df.filter("g = 'a'"), "x", "g").first()["p_value"] is None
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    from molquarry.functions import text as T
+
+    texts = [chr(i) + "a" + chr(i) + " b" + chr(i) * 2 for i in range(0x3100) if not 0xD800 <= i < 0xE000] + ["", " \t\u200b\ufeff", "\ufeffx", "\ue000", "\U0001f600 "]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    pattern = F.regexp_replace("s", f"^[{T.INVISIBLE}]+|[{T.INVISIBLE}]+\\z", "")
+    assert df.filter(T.strip_blanks(F.col("s")) != pattern).count() == 0
