@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from molquarry.functions.text import strip_blanks
 from molquarry.llm.components import hook_and_shortcut, simple_edges
+from molquarry.runtime import Scratch
 
 #: Bits of the subset-sum tables of one part that are kept together; beyond, tables are made again.
 MAX_BITS = 1 << 29
@@ -72,6 +73,8 @@ def linked_components(df: DataFrame, key: str, links: list[str]) -> DataFrame:
     left out.
     """
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *(F.nullif(strip_blanks(F.col(c).cast("string")), F.lit("")).alias(f"k{i}") for i, c in enumerate(links)))
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.keep(rows)  # values are trimmed once
     edges = None
     for i in range(len(links)):
         own = rows.filter(F.col(f"k{i}").isNotNull()).select("id", f"k{i}")
@@ -89,7 +92,7 @@ def grouped_splits(df: DataFrame, key: str, links: list[str], shares: tuple[tupl
     component sizes allow, what no part takes goes to `rest`. Of equal sizes, a hash of the component decides.
     Only the multiplicities of sizes come to the driver: no more than the square root of twice the rows.
     """
-    members = linked_components(df, key, links)
+    members = Scratch(df.sparkSession).keep(linked_components(df, key, links))
     components = members.groupBy("component").agg(F.count("*").alias("size"))
     there = {r["size"]: r["n"] for r in components.groupBy("size").agg(F.count("*").alias("n")).collect()}
     total, left, plan = sum(s * n for s, n in there.items()), dict(there), []
