@@ -102,7 +102,8 @@ def _fields(line: Column, delimiter: Column) -> Column:
         )
         return F.struct(((last % 2 == 1) | F.array_contains(wrong, True)).alias("broken"), F.split(F.array_join(resolved, ""), _SEP, -1).alias("values"))
 
-    return let(F.split(line, '"', -1), judged)
+    plain = F.struct(F.lit(False).alias("broken"), F.split(F.replace(line, delimiter, F.lit(_SEP)), _SEP, -1).alias("values"))
+    return F.when(delimiter.isNotNull() & ~F.contains(line, F.lit('"')), plain).otherwise(let(F.split(line, '"', -1), judged))
 
 
 def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Parsed:
