@@ -114,7 +114,7 @@ def parse_rows(lines: DataFrame, fields: tuple[Field, ...] = ROUTE_FIELDS) -> Pa
     without header have too few columns. Empty fields are null but for the needed ones. Extra columns are
     ignored; repeated lines are judged each. No lines give two empty tables.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("line", F.lit("")), "^\\ufeff", ""), "[\\r\\n]+$", "")
+    text = F.rtrim(F.ltrim(F.coalesce("line", F.lit("")), F.lit("\ufeff")), F.lit("\r\n"))
     text = F.translate(text, _SEP, "�")
     lines = lines.select("line_id", F.coalesce("source_file", F.lit("")).alias("_file"), "line_no", text.alias("_text"))
     headers = (

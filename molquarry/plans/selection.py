@@ -113,7 +113,7 @@ def held_out_clusters(s, d):
     taken = SE.filled_clusters(sizes, "warhead_scaffold", "n", 150)
     total = taken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     left = sizes.join(taken.select("warhead_scaffold"), "warhead_scaffold", "left_anti").agg(F.min("n").alias("least"))
-    return sizes.agg(F.count("*").alias("n_clusters")).join(F.broadcast(total), F.lit(True)).join(F.broadcast(left), F.lit(True)).select("n_clusters", (F.col("total") <= 150).alias("within_target"), (F.col("total") + F.col("least") > 150).alias("rest_would_not_fit"))
+    return sizes.agg(F.count("*").alias("n_clusters")).join(F.broadcast(total), F.lit(True)).join(F.broadcast(left), F.lit(True)).select("n_clusters", (F.col("total") <= 150).alias("within_target"), F.coalesce(F.col("total") + F.col("least") > 150, F.lit(True)).alias("rest_would_not_fit"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS first_mean, round(avg(embedding[64]), 5) AS last_mean FROM embeddings GROUP BY 1")
