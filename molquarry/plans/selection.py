@@ -131,13 +131,21 @@ def nearest_embeddings(s, d):
     return rounded(SI.nearest_reference(own, own.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id"))
 
 
-@query()
+_SPREADS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2) GROUP BY 1), w AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM x GROUP BY 1)),
+s AS (SELECT e.label, count(*) AS n, sum(list_distance(v, c)^2) AS w, avg(list_distance(v, c)) AS s, any_value(c) AS c FROM e JOIN m USING (label) GROUP BY 1)"""
+
+
+@query(f"WITH {_SPREADS}, b AS (SELECT avg(r) AS d FROM (SELECT max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)) SELECT count(*) AS n_clusters, max(n) AS largest, round(avg(n), 4) AS mean_size, round((SELECT sum(s.n * list_distance(s.c, w.c)^2) FROM s, w) / (count(*) - 1) / (sum(s.w) / (sum(n) - count(*))), 4) AS calinski_harabasz, (SELECT round(d, 4) FROM b) AS davies_bouldin FROM s")
 def embedding_clusters(s, d):
     own = table(s, d, "embeddings")
-    return rounded(SE.cluster_quality(own, "label", "embedding", len(own.first()["embedding"])), 4)
+    return rounded(SE.cluster_quality(own, "label", "embedding", len(own.first()["embedding"])).drop("size_skew"), 4)
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), walk(rank, vec_id, d, pick) AS (
+  SELECT 1, e.vec_id, list_distance(e.v, o.v), o.vec_id FROM e, (SELECT * FROM e ORDER BY vec_id LIMIT 1) o
+  UNION ALL SELECT w.rank + 1, w.vec_id, least(w.d, list_distance(e.v, n.v)), n.vec_id FROM walk w JOIN e ON e.vec_id = w.vec_id, (SELECT e.vec_id, e.v FROM (SELECT vec_id FROM walk ORDER BY d DESC, vec_id LIMIT 1) t JOIN e ON e.vec_id = t.vec_id) n WHERE w.rank < 25
+) SELECT DISTINCT pick AS vec_id, rank::INT AS rank FROM walk""")
 def farthest_embeddings(s, d):
     return SE.picked_rows(table(s, d, "embeddings"), "vec_id", "embedding", 25)
 
@@ -282,10 +290,10 @@ def stock_keys(s, d):
     return table(s, d, "stock").select("id", b.standard(F.col("smiles")).alias("standard"), b.key(F.col("smiles")).alias("key"), b.reason(F.col("smiles")).alias("reason"))
 
 
-@query()
+@query("SELECT component, 'methyl' AS cap_type, 'C' AS cap, w || 'C' AS smiles FROM (SELECT DISTINCT warhead_scaffold AS w, warhead_scaffold || '[*:1]' AS component FROM scaffolds WHERE warhead_scaffold IS NOT NULL AND position('*' IN warhead_scaffold) = 0) UNION ALL SELECT component, 'hydrogen', '[H]', w || '[H]' FROM (SELECT DISTINCT warhead_scaffold AS w, warhead_scaffold || '[*:1]' AS component FROM scaffolds WHERE warhead_scaffold IS NOT NULL AND position('*' IN warhead_scaffold) = 0)")
 def capped_scaffolds(s, d):
-    own = table(s, d, "scaffolds").select(F.concat("warhead_scaffold", F.lit("[*:1]")).alias("component"))
-    return capped_variants(own, "component", {"methyl": ["C"], "hydrogen": ["[H]"]})
+    own = table(s, d, "scaffolds").filter("instr(warhead_scaffold, '*') = 0").select(F.concat("warhead_scaffold", F.lit("[*:1]")).alias("component"))
+    return capped_variants(own, "component", {"methyl": ["C"], "hydrogen": ["[H]"]}).drop("error")
 
 
 @query("SELECT row_id FROM routes_scored WHERE warhead_id IS NOT NULL AND datasource = 'curated'")
