@@ -148,16 +148,32 @@ def heavy_atom_counts(s, d):
     return table(s, d, "stock").select("id", RT.heavy_atoms(F.col("smiles")).alias("atoms"))
 
 
-@query(f"""WITH u AS (SELECT id, regexp_replace(smiles, '^ +| +$', '', 'g') AS s FROM stock), t AS (SELECT id, s, regexp_replace(s, '\\[[^\\[\\]]*\\]', '', 'g') AS b FROM u), r AS (SELECT *, list_transform(regexp_extract_all(b, '%\\([0-9]+\\)|%[0-9][0-9]|[0-9]'), lambda q: regexp_replace(q, '[%()]', '', 'g')::INT) AS rings FROM t)
-SELECT id, CASE WHEN NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\\-\\[\\]()=#$/\\\\%.:*~]*') THEN 'foreign character' WHEN regexp_matches(b, '[\\[\\]]') OR regexp_matches(s, '\\[[^\\[\\]]*[()][^\\[\\]]*\\]')
+_FAULTS = f"""t AS (SELECT id, s, regexp_replace(s, '\\[[^\\[\\]]*\\]', '', 'g') AS b FROM u), r AS (SELECT *, list_transform(regexp_extract_all(b, '%\\([0-9]+\\)|%[0-9][0-9]|[0-9]'), lambda q: regexp_replace(q, '[%()]', '', 'g')::INT) AS rings FROM t), faulted AS (SELECT id, s, CASE WHEN NOT regexp_full_match(s, '[A-IK-PR-Za-ik-pr-vy0-9@+\\-\\[\\]()=#$/\\\\%.:*~]*') THEN 'foreign character' WHEN regexp_matches(b, '[\\[\\]]') OR regexp_matches(s, '\\[[^\\[\\]]*[()][^\\[\\]]*\\]')
   OR list_reduce(list_prepend(0, list_transform(string_split(regexp_replace(b, '[^()]', '', 'g'), ''), lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0 THEN 'unbalanced brackets'
-  WHEN len(list_filter(list_distinct(rings), lambda q: len(list_filter(rings, lambda p: p = q)) % 2 = 1)) > 0 THEN 'unpaired ring number' END AS fault FROM r""")
+  WHEN len(list_filter(list_distinct(rings), lambda q: len(list_filter(rings, lambda p: p = q)) % 2 = 1)) > 0 THEN 'unpaired ring number' END AS fault FROM r)"""
+
+
+@query(f"WITH u AS (SELECT id, regexp_replace(smiles, '^ +| +$', '', 'g') AS s FROM stock), {_FAULTS} SELECT id, fault FROM faulted")
 def structure_faults(s, d):
     """Why texts of the stock can't be structures; null for those that can."""
     return table(s, d, "stock").select("id", S.fault(F.trim("smiles")).alias("fault"))
 
 
-@query()
+_UNSEEN = "[\\s\\x{00a0}\\x{00ad}\\x{061c}\\x{180e}\\x{1680}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\p{Cc}]+"
+
+
+def _standard(name: str, key: str, col: str) -> str:
+    """CTEs up to standard(id, fault, std): the text standard form of a column in SQL."""
+    return (
+        f"u AS (SELECT {key} AS id, nullif(regexp_replace({col}, '{_UNSEEN}', '', 'g'), '') AS s FROM {name}), {_FAULTS}, "
+        "standard AS (SELECT id, CASE WHEN s IS NULL THEN 'empty' ELSE fault END AS fault, CASE WHEN s IS NOT NULL AND fault IS NULL THEN regexp_replace(regexp_replace(regexp_replace(list_max(list_transform(string_split(s, '.'), lambda x: {'n': length(x), 'x': x})).x, '[@/\\\\]', '', 'g'), '[+-][0-9]*\\]', ']', 'g'), '\\[([BCNOPSF]|Cl|Br|I)H?[0-9]*\\]', '\\1', 'g') END AS std FROM faulted)"
+    )
+
+
+STOCK_KEYS = "WITH " + _standard("stock", "id", "smiles") + " SELECT id, std AS standard, upper(substr(sha256(std), 1, 27)) AS key, fault AS reason FROM standard"
+
+
+@query("WITH " + _standard("scaffolds", "row_id", "molecule") + ", c AS (SELECT id, std, regexp_extract(std, '^[^0-9]*?([A-Za-z\\[][^0-9\\[\\]]{0,3}\\]?[0-9].*[0-9])', 1) AS core FROM standard), o AS (SELECT id, std, CASE WHEN core = '' THEN std ELSE core END AS own FROM c) SELECT row_id, std AS standard, coalesce(own, molecule) AS core, coalesce(regexp_replace(regexp_replace(regexp_replace(own, '\\[[^\\]]*\\]', 'C', 'g'), 'Cl|Br|[A-Za-z]', 'C', 'g'), '[=#]', '', 'g'), molecule) AS generic FROM o JOIN scaffolds ON row_id = id")
 def text_scaffolds(s, d):
     b = TextBackend()
     return table(s, d, "scaffolds").select("row_id", b.standard(F.col("molecule")).alias("standard"), b.scaffold(F.col("molecule")).alias("core"), b.scaffold(F.col("molecule"), generic=True).alias("generic"))

@@ -18,6 +18,7 @@ from molquarry.operators import relational as R
 from molquarry.operators import scoring as SC
 from molquarry.operators import selection as SE
 from molquarry.operators import similarity as SI
+from molquarry.plans.routes import STOCK_KEYS
 from molquarry.plans.stats import rounded
 from molquarry.runtime import table
 
@@ -283,7 +284,7 @@ def member_scores(s, d):
     return rounded(SC.ensemble_scores(table(s, d, "routes_test"), "row_id", "smiles", members, {"GNN_seed0_fold0": 2.0, "MLP_seed0_fold0": 1.0}))
 
 
-@query()
+@query(STOCK_KEYS)
 def stock_keys(s, d):
     """Standard text and key of the stock's structures, with the reason where there is none."""
     b = TextBackend()
