@@ -47,7 +47,7 @@ def _plain(c: Column) -> Column:
     for pattern, mark in (("\\s++", ""), ("\\[\x01(?:,(?:\x01|None))?+,?\\],?", "\x02"), ("[0-9]++:\\[\x02*+\\],?", "\x03")):
         bare = F.regexp_replace(bare, pattern, mark)
     # A comma stands between elements or after the last: both are Python, and after the last it isn't JSON.
-    return bare.rlike("^\\{\x03*+\\}$") & ~c.rlike(",\\s*+[\\]}]")
+    return bare.rlike("^\\{\x03*+\\}$") & ~c.rlike(",\\s*+[\\]}]|[\\x00-\\x1f]")
 
 
 @F.pandas_udf(StringType())
@@ -75,11 +75,12 @@ def parsed_literal(c: Column) -> Column:
     Plain literals are read in the JVM; only the others' texts are handed to Python's own literal parser.
     """
     options = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
-    outside = F.regexp_count(F.regexp_replace(c, _QUOTED, ""), F.lit("None"))
-    plain = _plain(c) & (outside == F.regexp_count(c, F.lit("None")))
-    read = F.when(plain, F.from_json(F.regexp_replace(c, "(?<=,\\s{0,9})None(?=\\s{0,9}\\])", "null"), _LEVELS, options))
-    hard = F.when((F.coalesce(strip_blanks(c), F.lit("")) != "") & read.isNull(), c)
-    return F.coalesce(read, F.from_json(_literal_json(hard), _LEVELS))
+    none = F.contains(c, F.lit("None"))
+    outside = F.regexp_count(F.regexp_replace(c, _QUOTED, ""), F.lit("None")) == F.regexp_count(c, F.lit("None"))
+    plain = _plain(c) & F.when(none, outside).otherwise(True)
+    written = F.when(plain, F.when(none, F.regexp_replace(c, "None(?=\\s*+\\])", "null")).otherwise(c))
+    hard = F.when(~plain & (F.coalesce(strip_blanks(c), F.lit("")) != ""), c)
+    return F.from_json(F.coalesce(written, _literal_json(hard)), _LEVELS, options)
 
 
 def reactions(c: Column) -> Column:
