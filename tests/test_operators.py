@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -354,3 +355,46 @@ def test_blanks_are_those_of_the_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     pattern = F.regexp_replace("s", f"^[{T.INVISIBLE}]+|[{T.INVISIBLE}]+\\z", "")
     assert df.filter(T.strip_blanks(F.col("s")) != pattern).count() == 0
+
+
+def shuffled_rows(spark, act):
+    """What act gives, and the rows that its stages write for others."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    got = act()
+    return got, total() - before
+
+
+def test_similar_sets_shuffle_the_sets_not_the_pairs_that_share_a_token(spark):
+    rng = np.random.default_rng(3)
+    sets = [frozenset(f"w{i}" for i in rng.choice(60, 13, replace=False)) for _ in range(1500)]
+    sets += [s - {min(s)} | {"x"} for s in sets[:40]]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)] + [(None, ["w1"])], "id long, t array<string>")
+    got, rows = shuffled_rows(spark, lambda: SI.similar_sets(df, "id", "t", 0.8).collect())
+    near = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2)}
+    assert {(r["left"], r["right"]): r["jaccard"] for r in got} == {k: x for k, x in near.items() if x >= 0.8}
+    assert len(got) >= 40 and rows < 30 * len(sets)
+
+
+@pytest.mark.parametrize("threshold", [1.0, 0.8, 0.5, 0.15])
+def test_similar_sets_lose_nothing_at_any_threshold_and_size(spark, threshold):
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{min(int(rng.pareto(0.5)), 300)}"
+    sets = [{word() for _ in range(n)} for n in (1, 2, 3, 8, 13, 40, 60) for _ in range(12)]
+    sets += [{w for w in s if rng.random() > 0.1} | {word() for _ in range(k)} for s in sets for k in range(3)]
+    rows = [(i, sorted(s)) for i, s in enumerate(sets)]
+    got = SI.similar_sets(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", threshold).collect()
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    want = {(first[frozenset(s)], i): 1.0 for i, s in enumerate(sets) if s and first[frozenset(s)] != i}
+    for (a, i), (b, j) in itertools.combinations([(s, i) for s, i in first.items() if s], 2):
+        if len(a & b) / len(a | b) >= threshold - 1e-9:
+            want[i, j] = len(a & b) / len(a | b)
+    assert len(got) == len(want) and {(r["left"], r["right"]): r["jaccard"] for r in got} == want
