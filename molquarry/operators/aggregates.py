@@ -5,8 +5,11 @@ Sums and counts combine before the shuffle; exact quantiles keep a value count f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -245,6 +248,49 @@ def average_ranks(df: DataFrame, value: str, out: str, group: list[str] | None =
     return df.join(ranked, [*keys, value], "left").select(*df.columns, out)
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """The quantiles of the non-null values, interpolated as `percentile` does; [] without values.
+
+    `percentile` holds all distinct values in one task and goes through them once a share. Here counted values are
+    sorted by ranges, and only those at the places asked for come to the driver.
+    """
+    from molquarry.runtime import SALTS
+
+    scratch = Scratch(df.sparkSession)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    parts = scratch.keep(counted.repartitionByRange(max(SALTS, df.sparkSession.sparkContext.defaultParallelism), "v").withColumn("p", F.spark_partition_id()))
+    totals, begin, total = parts.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect(), {}, 0  # a row a range
+    for r in totals:
+        begin[r["p"]], total = total, total + r["n"]
+    if not total:
+        return []
+    places = [(total - 1) * s for s in shares]
+    wanted = sorted({int(f(x)) for x in places for f in (np.floor, np.ceil)})
+    bounds = [*begin.values(), total]
+    asked = {p: np.asarray([i for i in wanted if a <= i < z], np.int64) for p, a, z in zip(begin, bounds, bounds[1:])}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto: dict[int, int] = {}  # values of a range that came before
+        for b in batches:
+            p, v, n = (b.column(i).to_numpy() for i in range(3))
+            for own in np.unique(p).tolist():
+                mine = p == own
+                z = np.cumsum(n[mine]) + upto.get(own, begin[own])
+                at = asked[own]
+                at = at[(at >= upto.get(own, begin[own])) & (at < z[-1])]
+                upto[own] = int(z[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(v[mine][np.searchsorted(z, at, side="right")])], names=["i", "v"])
+
+    value_at = {r["i"]: r["v"] for r in parts.select("p", "v", "n").repartition("p").sortWithinPartitions("p", "v").mapInArrow(pick, "i long, v double").collect()}
+    scratch.drop()
+    out = []
+    for x in places:
+        low, high = int(np.floor(x)), int(np.ceil(x))
+        a, b = value_at[low], value_at[high]
+        out.append(a if a == b else (high - x) * a + (x - low) * b)
+    return out
+
+
 def fractional_rank(df: DataFrame, value: str, out: str, group: list[str] | None = None) -> DataFrame:
     """Average rank over the number of values."""
     got = average_ranks(df, value, "_r", group)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from molquarry.functions.scores import bounded
+from molquarry.operators.aggregates import exact_quantiles
 from molquarry.operators.metrics import hpo_objective, regression_metrics, spearman
 
 
@@ -48,10 +49,10 @@ class QuantileNormal:
 
     @staticmethod
     def fit(df: DataFrame, y: str, n: int = 1000) -> QuantileNormal:
-        """From n + 1 exact quantiles of the finite values; one aggregation."""
+        """From n + 1 exact quantiles of the finite values, sorted by ranges."""
         shares = [i / n for i in range(n + 1)]
         x = F.when(F.abs(F.col(y).cast("double")) < float("inf"), F.col(y).cast("double"))
-        cuts = df.agg(F.percentile(x, shares).alias("q")).first()["q"]
+        cuts = exact_quantiles(df.select(x.alias("x")), "x", shares)
         if not cuts:
             raise ValueError(f"no finite values in {y}")
         inverse = NormalDist().inv_cdf

@@ -398,3 +398,22 @@ def test_similar_sets_lose_nothing_at_any_threshold_and_size(spark, threshold):
         if len(a & b) / len(a | b) >= threshold - 1e-9:
             want[i, j] = len(a & b) / len(a | b)
     assert len(got) == len(want) and {(r["left"], r["right"]): r["jaccard"] for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one", "two"])
+def test_exact_quantiles_are_those_of_percentile(spark, kind):
+    rng = np.random.default_rng(5)
+    x = {"distinct": rng.normal(size=5000), "ties": rng.integers(0, 7, 5000) / 4.0, "one": np.full(3, 2.5), "two": np.asarray([1.0, -3.0])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    shares = [i / 1000 for i in range(1001)]
+    want = df.agg(F.percentile("x", shares).alias("q")).first()["q"]
+    assert A.exact_quantiles(df, "x", shares) == want
+    assert A.exact_quantiles(df.filter("x is null"), "x", shares) == []
+
+
+def test_normal_targets_of_many_values_hold_none_of_them_in_one_task(spark):
+    from molquarry.operators import models as ML
+
+    df = spark.range(0, 300_000, 1, 8).select(F.rand(3).alias("y"))
+    made, rows = shuffled_rows(spark, lambda: ML.QuantileNormal.fit(df, "y"))
+    assert len(made.values) == 1001 and rows > 300_000  # percentile writes a row a task, with all values in it
