@@ -157,9 +157,9 @@ def slot_counts(texts: DataFrame, plan: JoinPlan) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["slot", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # columns: as rows a million slots are 500 MB in the driver
     counts = np.zeros(SLOTS, np.float32)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.float32)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from molquarry.llm import copies, encoding, leakage, overlaps, splits, subjects, variety
 from molquarry.llm import queries as llm_queries
 from molquarry.llm.components import group_rows
-from molquarry.llm.cosine_join import JoinPlan, near_texts
+from molquarry.llm.cosine_join import JoinPlan, near_texts, slot_counts
 from molquarry.llm.molecules import molecule_text
 from molquarry.llm.words import batch_words
 
@@ -58,6 +59,21 @@ def test_near_texts_loses_nothing(spark, plan, seed):
     assert got == {k: d for k, d in full.items() if d <= plan.edits}
 
 
+def test_slot_counts_come_to_the_driver_as_columns(spark):
+    rng = random.Random(8)
+    texts = spark.createDataFrame([("".join(rng.choices("CNOS=()1", k=400)),) for _ in range(1000)], "text string").repartition(4).localCheckpoint()
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # as on a cluster that doesn't set it
+    tracemalloc.start()
+    try:
+        counts = slot_counts(texts, JoinPlan())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert counts.sum() == 1000 * 385 and (counts > 0).sum() > 200_000
+    assert peak < 20_000_000
+
+
 def test_split_overlaps(spark):
     mol = "CS(=O)(=O)c1cc(C#N)ccc1c1nc(OCC)c2ccccc2n1CCNOCCOCCSCCSC#CCNNCCCc1cc(oc1)CCOC(=O)C1(CC1)OOCCOC(Cl)CC"
     schema = "row_id long, smiles string, datasource string, distance int, text string"
