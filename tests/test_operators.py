@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -417,3 +418,23 @@ def test_normal_targets_of_many_values_hold_none_of_them_in_one_task(spark):
     df = spark.range(0, 300_000, 1, 8).select(F.rand(3).alias("y"))
     made, rows = shuffled_rows(spark, lambda: ML.QuantileNormal.fit(df, "y"))
     assert len(made.values) == 1001 and rows > 300_000  # percentile writes a row a task, with all values in it
+
+
+@pytest.mark.parametrize("by_degree", [True, False])
+def test_clusters_make_their_pairs_once(spark, tmp_path, by_degree):
+    pairs = {(i, i + 1) for i in range(40)} | {(50, i) for i in range(51, 60)} | {(3, 80), (7, 999)}
+
+    def made(batches):
+        with open(tmp_path / "made", "a") as f:
+            f.write("x")
+        yield from batches
+
+    df = spark.createDataFrame(sorted(pairs), "left long, right long").repartition(1).mapInArrow(made, "left long, right long")
+    got = {r["id"]: r["centre"] for r in SE.sphere_exclusion(spark.range(90), df, "id", by_degree).collect()}
+    assert (tmp_path / "made").read_text() == "x"
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(90)}
+    want = {}
+    for i in sorted(near, key=lambda i: (-len(near[i]) if by_degree else 0, i)):
+        if i not in want:
+            want |= {j: i for j in {i, *near[i]} if j not in want and j < 90}
+    assert got == want
