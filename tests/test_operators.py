@@ -438,3 +438,12 @@ def test_clusters_make_their_pairs_once(spark, tmp_path, by_degree):
         if i not in want:
             want |= {j: i for j in {i, *near[i]} if j not in want and j < 90}
     assert got == want
+
+
+def test_filled_clusters_of_many_come_as_columns(spark):
+    sizes = spark.range(200_000).select(F.col("id").alias("c"), (1 + F.col("id") % 5).alias("n")).localCheckpoint()
+    tracemalloc.start()
+    got = SE.filled_clusters(sizes, "c", "n", 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.agg(F.sum("n")).first()[0] == 120 and peak < 30_000_000
