@@ -1,15 +1,14 @@
-"""Weighted cosine join of texts between two tables, lossless for a bounded edit distance (problem 1).
+"""Join of texts between two tables, lossless for a bounded edit distance, with their weighted cosine (problem 1).
 
-A text is a vector over its character grams, rare grams weighing more. An edit destroys at most q neighbouring
-grams, so a text x and any text within k edits share grams of a squared weight of at least |x|^2 - loss(x), where
-loss(x) is the most that k windows of q grams can weigh together. That is x's own bound of the dot product:
+An edit destroys at most one of several grams that don't overlap. So of any k + 1 such grams of a text one stands whole
+in every text within k edits, moved by at most k places:
 
-* inverted lists hold only x's heaviest grams, up to where the rest, bounded by its own norm, falls below the bound;
-* a candidate must meet in such a list, at nearly the same place, with nearly the same length;
-* what its lists have gathered plus the residual norms must reach the larger bound of the two;
-* then the exact dot product must, and last the edit distance itself decides.
+* each text of the right table asks for its k + 1 grams that are rarest together;
+* what is asked for is a filter of fixed size, broadcast, and only those grams of the left table that pass it are shuffled;
+* a candidate must meet in such a gram, at nearly the same place, with nearly the same length and signature;
+* then the edit distance itself decides, and pairs found get the cosine of their grams' vectors, rare grams weighing more.
 
-Texts too short to have such a bound are joined by the pigeonhole principle: one of k + 1 pieces stays whole.
+Texts too short to have so many grams are joined by the pigeonhole principle: one of k + 1 pieces stays whole.
 """
 
 from __future__ import annotations
@@ -84,20 +83,19 @@ def _blocks(texts: list[str], cells: int = 2_000_000) -> Iterator[list[int]]:
         yield block
 
 
-def _windows(weights: np.ndarray, owner: np.ndarray, pos: np.ndarray, n: int, q: int, k: int) -> np.ndarray:
-    """For each text the most that k windows of q neighbouring positions weigh together."""
-    width = int(pos.max()) + 1
-    grid = np.zeros((n, width + q))
-    grid[owner, pos] = weights
-    total = np.cumsum(grid, axis=1)
-    total = np.concatenate([np.zeros((n, 1)), total], axis=1)
-    own = total[:, q:] - total[:, :-q]  # of the window that begins here
-    best = np.zeros((n, own.shape[1] + q))
+def rarest_apart(cost: np.ndarray, q: int, k: int) -> np.ndarray:
+    """For each row the places of k grams, q apart at least, that cost least together; cost: of the gram at each place, inf where none is."""
+    best, steps = np.zeros((len(cost), cost.shape[1] + q)), []  # best: of the grams up to a place, from -q
     for _ in range(k):
-        following = np.zeros_like(best)
-        following[:, q:] = own + best[:, : own.shape[1]]
-        best = np.maximum(np.maximum.accumulate(following, axis=1), best)
-    return best[:, -1]
+        own = cost + best[:, : cost.shape[1]]
+        least = np.minimum.accumulate(own, axis=1)
+        steps.append(np.maximum.accumulate(np.where(own == least, np.arange(cost.shape[1]), 0), axis=1))
+        best = np.concatenate([np.full((len(cost), q), np.inf), least], axis=1)
+    at, end = [], np.full(len(cost), cost.shape[1] - 1)
+    for step in reversed(steps):
+        at.append(step[np.arange(len(cost)), end])
+        end = at[-1] - q
+    return np.stack(at[::-1], axis=1)
 
 
 def weights_of(hashes: np.ndarray, counts: np.ndarray, total: float) -> np.ndarray:
@@ -106,44 +104,24 @@ def weights_of(hashes: np.ndarray, counts: np.ndarray, total: float) -> np.ndarr
     return np.maximum(idf, 0.05) ** 2
 
 
-def prefixes(texts: list[str], counts: np.ndarray, total: float, plan: JoinPlan) -> dict[str, np.ndarray]:
-    """What the inverted lists get of each text: text (its number), hash, pos, weight (squared), and bound and rest of the text."""
-    q, out = plan.gram, []
-    for block in _blocks(texts):
-        own = [texts[i] for i in block]
-        h, owner, pos = gram_hashes(own, q)
-        if not len(h):
-            continue
-        w = weights_of(h, counts, total)
-        loss = _windows(w, owner, pos, len(own), q, plan.edits)
-        # Each gram once: the heaviest first, ties by hash, so that every text has the same order.
-        order = np.lexsort((pos, h, -w, owner))
-        h, owner, pos, w = h[order], owner[order], pos[order], w[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        once = np.where(first, w, 0.0)
-        norm = np.bincount(owner, once, len(own))
-        begin = np.searchsorted(owner, np.arange(len(own)))
-        upto = np.cumsum(once)
-        before = upto - once - np.concatenate([[0.0], upto])[begin][owner]  # weight of the grams ahead of this one
-        # While the grams from here on could still reach the bound, they are in a list; repeats go with their first.
-        bound = norm - loss
-        kept = before[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-        indexed = kept <= loss[owner] * (1 + 1e-6) + 1e-6
-        rest = norm - np.bincount(owner, np.where(indexed, once, 0.0), len(own))
-        sel = np.flatnonzero(indexed)
-        out.append((np.asarray(block)[owner[sel]], h[sel].view(np.int64), pos[sel], w[sel], bound[owner[sel]], rest[owner[sel]]))
-    if not out:
-        return {k: np.zeros(0, np.int64 if k in ("text", "hash", "pos") else float) for k in _LISTED}
-    return dict(zip(_LISTED, map(np.concatenate, zip(*out))))
-
-
-_LISTED = ("text", "hash", "pos", "weight", "bound", "rest")
-#: Places in inverted lists are cut into buckets of so many positions; a bucket and the next cover edits of both ends.
+#: Places are cut into buckets of so many positions; a bucket and the next cover edits of both ends.
 _REACH = 8
-#: Lengths are cut into bands too, so that the list of a gram that a whole series shares is split by length.
-_BAND = 32
+#: Lengths are cut into bands too, so that a gram that a whole series shares is split by length.
+_BAND = 8
 _MIX, _MIX_2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+#: Keys that are asked for are two bits each in so many: 33 MB, whatever the size of the corpus.
+_ASKED = 1 << 28
+_CHUNK = 4096  # bytes of a bitmap of Spark's
+
+
+def _keys(h: np.ndarray, place: np.ndarray, band: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return h.view(np.int64) ^ ((place.astype(np.int64) + 1) * np.int64(_MIX) + (band.astype(np.int64) + 1) * np.int64(_MIX_2))
+
+
+def _bit(keys: np.ndarray, turn: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys.view(np.uint64) * (_MULT, np.uint64(0xD6E8FEB86659FD93))[turn]) >> np.uint64(64 - _ASKED.bit_length() + 1)
 
 
 def slot_counts(texts: DataFrame, plan: JoinPlan) -> np.ndarray:
@@ -157,92 +135,122 @@ def slot_counts(texts: DataFrame, plan: JoinPlan) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["slot", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # columns: as rows a million slots are 500 MB in the driver
+    few = texts.select("text").coalesce(texts.sparkSession.sparkContext.defaultParallelism)  # a task gives up to SLOTS rows
+    found = few.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # columns: as rows a million slots are 500 MB in the driver
     counts = np.zeros(SLOTS, np.float32)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
-def _postings(texts: DataFrame, shared, total: float, plan: JoinPlan, probe: bool) -> DataFrame:
-    """key, id, place (position and length), weight, signature: the listed grams of texts(id, text).
-
-    A text that is listed stands in one bucket of positions and lengths a gram; one that probes looks into all within reach.
-    """
-    k = plan.edits
+def _asked(texts: DataFrame, shared, plan: JoinPlan) -> DataFrame:
+    """key, id, pos, size, sig: the rarest grams of texts(id, text) in all buckets of places and lengths within reach."""
+    k, q = plan.edits, plan.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 4096):
-                part = b.slice(start, 4096)
-                ids, own = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                got = prefixes(own, shared.value, total, plan)
-                sig = signatures(own)
-                t, pos = got["text"], got["pos"]
-                size = sizes[t]
-                place, band = (np.maximum(x - k, 0) // w if probe else x // w for x, w in ((pos, _REACH), (size, _BAND)))
-                for turn in range(4 if probe else 1):
-                    at, of = (np.maximum(pos + k, 0) // _REACH if turn & 1 else place), ((size + k) // _BAND if turn & 2 else band)
+            ids, every = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for block in _blocks(every):
+                own = [every[i] for i in block]
+                h, owner, pos = gram_hashes(own, q)
+                if not len(h):
+                    continue
+                cost, hashes = np.full((len(own), int(pos.max()) + 1), np.inf), np.zeros((len(own), int(pos.max()) + 1), np.uint64)
+                cost[owner, pos], hashes[owner, pos] = shared.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)], h
+                at = rarest_apart(cost, q, k + 1)
+                h, pos, t = np.take_along_axis(hashes, at, 1).ravel(), at.ravel(), np.repeat(np.arange(len(own)), k + 1)
+                size, sig, name = np.fromiter(map(len, own), np.int64, len(own))[t], signatures(own)[t], ids[block][t]
+                place, band = (np.maximum(x - k, 0) // w for x, w in ((pos, _REACH), (size, _BAND)))
+                for turn in range(4):
+                    at, of = ((pos + k) // _REACH if turn & 1 else place), ((size + k) // _BAND if turn & 2 else band)
                     use = (at != place if turn & 1 else np.ones(len(t), bool)) & (of != band if turn & 2 else True)
-                    with np.errstate(over="ignore"):
-                        key = got["hash"] ^ ((at.astype(np.int64) + 1) * np.int64(_MIX) + (of.astype(np.int64) + 1) * np.int64(_MIX_2))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key[use]), pa.array(ids[t][use]), pa.array(pos[use].astype(np.int32)), pa.array(sizes[t][use].astype(np.int32)),
-                            pa.array(got["weight"][use].astype(np.float32)), pa.array(sig[t][use]),
-                        ],
-                        names=["key", "id", "pos", "size", "weight", "sig"],
-                    )
-
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, pos int, size int, weight float, sig long")
-
-
-def _dots(pairs: DataFrame, shared, total: float, plan: JoinPlan) -> DataFrame:
-    """The pairs that both prunings leave, with cosine: what the lists have gathered and the residual norms must reach the
-    larger bound of the two texts, and so must the exact product of their vectors."""
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(h, at, of)[use]), pa.array(name[use]), pa.array(pos[use].astype(np.int32)), pa.array(size[use].astype(np.int32)), pa.array(sig[use])], names=["key", "id", "pos", "size", "sig"])
+
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, pos int, size int, sig long")
+
+
+def asked_bits(asked: DataFrame) -> np.ndarray:
+    """The filter of the keys: two bits of each are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_ASKED // 8, np.uint8)
+        for b in batches:
+            for turn in (0, 1):
+                at = _bit(b.column(0).to_numpy(), turn)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        chunks = bits.reshape(-1, _CHUNK)
+        for some in np.array_split(np.flatnonzero(chunks.any(axis=1)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunks[i].tobytes() for i in some.tolist()], pa.binary())], names=["c", "bits"])
+
+    few = asked.select("key").coalesce(asked.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(run, "c int, bits binary").groupBy("c").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    bits = np.zeros((_ASKED // 8 // _CHUNK, _CHUNK), np.uint8)
+    for c, own in zip(found["c"].to_pylist(), found["bits"]):
+        bits[c] = np.frombuffer(own.as_buffer(), np.uint8)
+    return bits.ravel()
+
+
+def _let_through(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that the filter has; a few others pass too."""
+    use = np.arange(len(keys))
+    for turn in (0, 1):
+        at = _bit(keys[use], turn)
+        use = use[bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]
+    return use
+
+
+def _known(texts: DataFrame, shared) -> DataFrame:
+    """The rows of texts(id, text) whose id the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.take(pa.array(_let_through(shared.value, b.column(0).to_numpy())))
+
+    return texts.select("id", "text").mapInArrow(run, "id long, text string")
+
+
+def _answers(texts: DataFrame, shared, plan: JoinPlan) -> DataFrame:
+    """key, id, pos, size, sig: the grams of texts(id, text), each in its bucket, that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for start in range(0, b.num_rows, 2048):
+                part = b.slice(start, 2048)
+                own = part.column(1).to_pylist()
+                size = np.fromiter(map(len, own), np.int64, len(own))
+                h, t, pos = gram_hashes(own, plan.gram)
+                key = _keys(h, pos // _REACH, size[t] // _BAND)
+                use = _let_through(bits, key)
+                t = t[use]
+                there, again = np.unique(t, return_inverse=True)
+                sig = signatures([own[i] for i in there.tolist()])[again] if len(there) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[use]), part.column(0).take(pa.array(t)), pa.array(pos[use].astype(np.int32)), pa.array(size[t].astype(np.int32)), pa.array(sig)], names=["key", "id", "pos", "size", "sig"])
+
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, pos int, size int, sig long")
+
+
+def _cosines(pairs: DataFrame, shared, total: float, plan: JoinPlan) -> DataFrame:
+    """pairs(left_text, right_text, ...) with the cosine of their vectors."""
     q = plan.gram
 
-    def vectors(texts: list[str]) -> tuple[np.ndarray, ...]:
-        """hash, text and squared weight of each gram once; norm, bound and residual norm of each text."""
-        got = prefixes(texts, shared.value, total, plan)
-        bound, rest = np.zeros(len(texts)), np.zeros(len(texts))
-        bound[got["text"]], rest[got["text"]] = got["bound"], got["rest"]
+    def vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hash and squared weight of each gram once, by text."""
         h, owner, _ = gram_hashes(texts, q)
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
         h, owner = h[once], owner[once]
-        w = weights_of(h, shared.value, total)
-        return h, owner, w, np.bincount(owner, w, len(texts)), bound, rest
-
-    def numbered(texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Each text once, and where each stands: a text is in many pairs."""
-        names, at = np.unique(np.asarray(texts, object), return_inverse=True)
-        return names.tolist(), at.reshape(-1)
+        cut = np.searchsorted(owner, np.arange(1, len(texts)))
+        return list(zip(np.split(h, cut), np.split(weights_of(h, shared.value, total), cut)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 4096):
                 part = b.slice(start, 4096)
-                n = part.num_rows
-                (left, li), (right, ri) = (numbered(part.column(part.schema.get_field_index(c)).to_pylist()) for c in ("left_text", "right_text"))
-                h, owner, w, norm, bound, rest = vectors(left + right)
-                ri = ri + len(left)
-                least = np.maximum(bound[li], bound[ri]) * (1 - 1e-5)
-                gathered = part.column(part.schema.get_field_index("gathered")).to_numpy()
-                keep = np.flatnonzero(gathered + np.maximum(rest[li], rest[ri]) >= least)
-                begin = np.searchsorted(owner, np.arange(len(left) + len(right) + 1))
-                dot = np.zeros(n)
-                for i in keep.tolist():
-                    a, z = begin[li[i]], begin[li[i] + 1]
-                    c, d = begin[ri[i]], begin[ri[i] + 1]
-                    at = np.minimum(np.searchsorted(h[c:d], h[a:z]), d - c - 1)
-                    dot[i] = w[a:z][h[c:d][at] == h[a:z]].sum()
-                keep = keep[dot[keep] >= least[keep]]
-                cosine = np.minimum(dot[keep] / np.sqrt(np.maximum(norm[li[keep]] * norm[ri[keep]], 1e-300)), 1.0)
-                part = part.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cosine)], names=[*part.schema.names, "cosine"])
+                left, right = (vectors(part.column(part.schema.get_field_index(c)).to_pylist()) for c in ("left_text", "right_text"))
+                cosine = [min(float(wa[np.isin(a, b, assume_unique=True)].sum() / np.sqrt(max(wa.sum() * wb.sum(), 1e-300))), 1.0) for (a, wa), (b, wb) in zip(left, right)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cosine, pa.float64())], names=[*part.schema.names, "cosine"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return pairs.mapInArrow(run, f"{kinds}, cosine double")
@@ -274,36 +282,38 @@ def _pieces(texts: DataFrame, plan: JoinPlan, probe: bool) -> DataFrame:
     return near.select("id", "text").mapInArrow(run, "id long, key string")
 
 
-def near_texts(left: DataFrame, right: DataFrame, plan: JoinPlan = JoinPlan(), scratch: Scratch | None = None) -> DataFrame:
+def near_texts(left: DataFrame, right: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     """left_id, right_id, distance, cosine: all pairs of texts of left(id, text) and right(id, text) within plan.edits edits.
 
-    Texts are distinct and non-null on each side. Nothing is lost: every bound holds for any text within reach. The
+    The right table is best the smaller one. Texts are distinct and non-null on each side. Nothing is lost: every bound holds for any text within reach. The
     two tables are read several times and should be written ones. Empty tables give no pairs.
     """
     spark: SparkSession = left.sparkSession
-    scratch = scratch or Scratch(spark)
     every = left.select("text").unionByName(right.select("text"))
     counts = slot_counts(every, plan)
     shared, total = spark.sparkContext.broadcast(counts), float(every.count())
     k = plan.edits
     long = F.length("text") >= plan.short
-    lists = _postings(left.filter(long), shared, total, plan, probe=False)
-    probes = _postings(right.filter(long), shared, total, plan, probe=True).select("key", *(F.col(c).alias(f"r_{c}") for c in ("id", "pos", "size", "weight", "sig")))
-    met = lists.join(probes, "key").filter(
+    asked = _asked(right.filter(long), shared, plan)
+    answers = _answers(left.filter(long), spark.sparkContext.broadcast(asked_bits(asked)), plan)
+    met = answers.join(asked.select("key", *(F.col(c).alias(f"r_{c}") for c in ("id", "pos", "size", "sig"))), "key").filter(
         (F.abs(F.col("pos") - F.col("r_pos")) <= k)
         & (F.abs(F.col("size") - F.col("r_size")) <= k)
         & (F.bit_count(F.col("sig").bitwiseXOR(F.col("r_sig"))) <= 4 * k)
     )
-    gathered = met.groupBy(F.col("id").alias("left_id"), F.col("r_id").alias("right_id")).agg(F.sum("weight").alias("gathered"))
-    sides = (t.filter(long).select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")) for t, side in ((left, "left"), (right, "right")))
-    candidates = gathered.join(next(sides), "left_id").join(next(sides), "right_id").select("left_id", "right_id", "left_text", "right_text", "gathered")
+    scratch = Scratch(spark)
+    candidates = scratch.keep(met.select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id")).distinct())
+    # Few texts are candidates: the others aren't shuffled.
+    few = (_known(t.filter(long), spark.sparkContext.broadcast(asked_bits(candidates.select(F.col(f"{side}_id").alias("key"))))).select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")) for t, side in ((right, "right"), (left, "left")))
     distance = F.levenshtein("left_text", "right_text", k)
-    found = _dots(candidates, shared, total, plan).withColumn("distance", distance).filter("distance >= 0").select("left_id", "right_id", "distance", "cosine")
+    near = candidates.join(next(few), "right_id").join(next(few), "left_id").withColumn("distance", distance).filter("distance >= 0").select("left_id", "right_id", "left_text", "right_text", "distance")
+    found = _cosines(near, shared, total, plan).select("left_id", "right_id", "distance", "cosine")
     # Short texts: one piece of the left text stands whole in the right one.
     met = _pieces(left, plan, probe=False).join(_pieces(right, plan, probe=True).withColumnRenamed("id", "r_id"), "key").select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
+    brief = F.length("text") < plan.short + k  # the longer one of a pair with a short text
     short = (
-        met.join(left.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")), "left_id")
-        .join(right.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")), "right_id")
+        met.join(left.filter(brief).select(F.col("id").alias("left_id"), F.col("text").alias("left_text")), "left_id")
+        .join(right.filter(brief).select(F.col("id").alias("right_id"), F.col("text").alias("right_text")), "right_id")
         .filter((F.length("left_text") < plan.short) | (F.length("right_text") < plan.short))
         .withColumn("distance", distance)
         .filter("distance >= 0")

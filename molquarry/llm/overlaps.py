@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from molquarry.llm.cosine_join import JoinPlan, near_texts
 from molquarry.llm.molecules import molecule_text
@@ -35,18 +36,23 @@ def split_overlaps(train: DataFrame, evaluations: dict[str, DataFrame], key: str
     equal texts are joined once and given back to all their rows. source is the evaluation row's.
     """
     scratch = Scratch(train.sparkSession)
-    rows = scratch.keep(with_molecule(train.filter(F.col(key).isNotNull()), smiles, [key]).withColumnRenamed(key, "train_id"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        """df with id, the same for rows of one text, and whether a row is the first of its text."""
+        alike = Window.partitionBy("text").orderBy("_m")
+        own = df.withColumn("_m", F.monotonically_increasing_id())
+        return own.select(*df.columns, F.first("_m").over(alike).alias("id"), (F.row_number().over(alike) == 1).alias("first"))
+
+    rows = scratch.keep(numbered(with_molecule(train.filter(F.col(key).isNotNull()), smiles, [key]).withColumnRenamed(key, "train_id")))
     tests = None
     for split, df in evaluations.items():
         own = with_molecule(df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(source).cast("string").alias("source"), F.col(smiles).alias("smiles"), F.lit(split).alias("split")), "smiles", ["split", "source", key])
         own = own.withColumnRenamed(key, "eval_id")
         tests = own if tests is None else tests.unionByName(own)
-    tests = scratch.keep(tests)
-    left, right = (scratch.keep(t.select("text").distinct().withColumn("id", F.monotonically_increasing_id())) for t in (rows, tests))
-    pairs = scratch.keep(near_texts(left, right, plan, scratch))
-    ids = left.select(F.col("id").alias("left_id"), "text").join(pairs, "left_id").drop("left_id").withColumnRenamed("text", "train_text")
-    ids = right.select(F.col("id").alias("right_id"), "text").join(ids, "right_id").drop("right_id")
-    return tests.join(ids, "text").drop("text").join(rows.withColumnRenamed("text", "train_text"), "train_text").select("split", "source", "train_id", "eval_id", "distance", "cosine")
+    tests = scratch.keep(numbered(tests))
+    pairs = scratch.keep(near_texts(*(t.filter("first").select("id", "text") for t in (rows, tests)), plan))
+    ids = pairs.join(rows.select(F.col("id").alias("left_id"), "train_id"), "left_id")
+    return ids.join(tests.select(F.col("id").alias("right_id"), "split", "source", "eval_id"), "right_id").select("split", "source", "train_id", "eval_id", "distance", "cosine")
 
 
 def overlap_report(overlaps: DataFrame) -> DataFrame:

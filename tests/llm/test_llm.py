@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from molquarry.llm import copies, encoding, leakage, overlaps, splits, subjects, variety
 from molquarry.llm import queries as llm_queries
 from molquarry.llm.components import group_rows
-from molquarry.llm.cosine_join import JoinPlan, near_texts, slot_counts
+from molquarry.llm.cosine_join import JoinPlan, near_texts, rarest_apart, slot_counts
 from molquarry.llm.molecules import molecule_text
 from molquarry.llm.words import batch_words
 
@@ -74,6 +74,38 @@ def test_slot_counts_come_to_the_driver_as_columns(spark):
     assert peak < 20_000_000
 
 
+def test_rarest_apart():
+    rng = np.random.default_rng(9)
+    cost = rng.integers(0, 5, (30, 14)).astype(float)
+    cost[:10, 11:] = np.inf
+    for row, at in zip(cost, rarest_apart(cost, 3, 4)):
+        least = min(row[list(c)].sum() for c in itertools.combinations(range(14), 4) if all(b - a >= 3 for a, b in zip(c, c[1:])))
+        assert row[at].sum() == least and (np.diff(at) >= 3).all()
+
+
+def test_near_texts_shuffle_few_grams(spark):
+    rng = random.Random(10)
+    parts = ["".join(rng.choices("CNOS=()1", k=6)) for _ in range(60)]
+    ends = ["".join(rng.choices("CNOS=()1", k=40)) for _ in range(2)]
+    left = [ends[0] + "".join(rng.choices(parts, k=9)) + ends[1] for _ in range(2000)]
+    right = [edited(t, 3, rng) for t in left[:40]]
+    a, b = (spark.createDataFrame(list(enumerate(x)), "id long, text string").localCheckpoint() for x in (left, right))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    counted = written()
+    slots = (slot_counts(a.unionByName(b), JoinPlan()) > 0).sum()  # in up to four tasks
+    counted = written() - counted
+    before = written()
+    got = near_texts(a, b).collect()
+    assert {(i, i) for i in range(40)} <= {(r["left_id"], r["right_id"]) for r in got}
+    assert counted >= slots and written() - before - counted < 20 * len(left)
+
+
 def test_split_overlaps(spark):
     mol = "CS(=O)(=O)c1cc(C#N)ccc1c1nc(OCC)c2ccccc2n1CCNOCCOCCSCCSC#CCNNCCCc1cc(oc1)CCOC(=O)C1(CC1)OOCCOC(Cl)CC"
     schema = "row_id long, smiles string, datasource string, distance int, text string"
