@@ -362,14 +362,14 @@ def shuffled_rows(spark, act):
     """What act gives, and the rows that its stages write for others."""
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
 
-    def total():
+    def stages():
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        got = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteRecords() for i in range(got.size())}
 
-    before = total()
+    last = max(stages(), default=-1)  # old stages are forgotten
     got = act()
-    return got, total() - before
+    return got, sum(n for k, n in stages().items() if k > last)
 
 
 def test_similar_sets_shuffle_the_sets_not_the_pairs_that_share_a_token(spark):
