@@ -401,6 +401,21 @@ def test_similar_sets_lose_nothing_at_any_threshold_and_size(spark, threshold):
     assert len(got) == len(want) and {(r["left"], r["right"]): r["jaccard"] for r in got} == want
 
 
+def test_stock_leaders_know_all_pairs_of_copies(spark, tmp_path):
+    from molquarry.plans import selection as PS
+
+    rng = np.random.default_rng(6)
+    sets = [[f"w{i}" for i in rng.choice(14, int(n), replace=False)] for n in rng.integers(6, 11, 60)]
+    texts = [".".join(rng.permutation(sets[i])) for i in rng.integers(0, 60, 240)] + ["a.b.c.d.e", "e.d.c.b.a.f", "f.a.b.c.d.e", "", "", None, None, "()", "()"]
+    spark.createDataFrame(list(enumerate(texts)), "id long, smiles string").write.parquet(str(tmp_path / "stock.parquet"))
+    want, words = [], [set((t or "").replace("()", "").split(".")) - {""} for t in texts]
+    for i, a in enumerate(words):
+        if not any(a and len(a & words[j]) / len(a | words[j]) >= 0.8 for j in want):
+            want.append(i)
+    got = [r["id"] for r in PS.stock_leaders(spark, str(tmp_path)).collect()]
+    assert sorted(got) == want and {240, *range(243, 249)} <= set(want) and not {241, 242} & set(want)
+
+
 @pytest.mark.parametrize("kind", ["distinct", "ties", "one", "two"])
 def test_exact_quantiles_are_those_of_percentile(spark, kind):
     rng = np.random.default_rng(5)
